@@ -1,0 +1,11 @@
+"""Size checks for parameter tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Row
+
+
+def rows_if_small(df: DataFrame, limit: int) -> list[Row] | None:
+    """All rows when there are at most ``limit`` of them, else None; never fetches more than ``limit + 1``."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
