@@ -199,35 +199,28 @@ FROM orders""",
 }
 
 
-def _references(text: str) -> list[str]:
-    words = set(re.findall(r"[a-z_]+", text))
-    return [name for name in VIEWS if name in words]
+def needed(text: str, known: dict[str, str]) -> list[str]:
+    """Names of the known queries a SQL text reads, directly or through others, in definition order."""
 
+    def mentioned(sql: str) -> set[str]:
+        return set(re.findall(r"\w+", sql)) & known.keys()
 
-def needed_views(text: str) -> list[str]:
-    """Names of the views a SQL text reads, directly or through other views, in definition order."""
     found: set[str] = set()
-    todo = _references(text)
+    todo = mentioned(text)
     while todo:
         name = todo.pop()
-        if name not in found:
-            found.add(name)
-            todo.extend(n for n in _references(VIEWS[name]) if n != name)
-    return [name for name in VIEWS if name in found]
+        found.add(name)
+        todo |= mentioned(known[name]) - found
+    return [name for name in known if name in found]
 
 
-def _with_clause(names: list[str]) -> str:
-    return ", ".join(f"{name} AS ({VIEWS[name]})" for name in names)
+def with_clause(names: list[str], known: dict[str, str], hint: str = "") -> str:
+    return ", ".join(f"{name} AS {hint}({known[name]})" for name in names)
 
 
-def checking_sql(text: str) -> str:
-    """The text as one standalone statement for the checking engine: its views become WITH entries."""
-    names = needed_views(text)
-    body = text.strip()
-    if names:
-        clause = _with_clause(names).replace("TIMESTAMP_NTZ", "TIMESTAMP").replace(" AS STRING", " AS VARCHAR")
-        body = f"WITH {clause}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {clause} {body}"
-    return body
+def portable(text: str) -> str:
+    """A view's text with the standard type names other engines use."""
+    return text.replace("TIMESTAMP_NTZ", "TIMESTAMP").replace(" AS STRING", " AS VARCHAR")
 
 
 class Views:
@@ -245,8 +238,7 @@ class Views:
             return self.base(name)
         if name not in VIEWS:
             raise AttributeError(name)
-        names = needed_views(name)
-        text = f"WITH {_with_clause(names)} SELECT * FROM {name}"
+        text = f"WITH {with_clause(needed(name, VIEWS), VIEWS)} SELECT * FROM {name}"
         for table in BASE_TABLES:
             if re.search(rf"\b{table}\b", text):
                 self.base(table).createOrReplaceTempView(table)
