@@ -129,7 +129,7 @@ def issues_pending_closure(v):
 @entry("nest_jobs", status_mart(""))
 def nest_jobs(v):
     """The flat rows that nesting starts from, all columns."""
-    return W.all_workflows(*tables(v))
+    return W.all_workflows(*tables(v)).drop(W.JOB_ROWS)
 
 
 @entry("nest_jobs_exploded", f"SELECT parent_run_id, job_name, job_run_id, job_status, error FROM ({status_mart('')}) f")
@@ -151,12 +151,12 @@ def nest_jobs_by_alert(v):
 
 @entry("actionable_flat", actionable())
 def actionable_flat(v):
-    return W.actionable_workflows(*tables(v))
+    return W.actionable_workflows(*tables(v)).drop(W.JOB_ROWS)
 
 
 @entry("pending_closure_flat", PENDING)
 def pending_closure_flat(v):
-    return W.issues_pending_closure(*tables(v))
+    return W.issues_pending_closure(*tables(v)).drop(W.JOB_ROWS)
 
 
 # Predicates

@@ -22,10 +22,10 @@ def fold_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _next_version(
+def next_version(
     records: DataFrame, folded: DataFrame, keys: list[str], how: str, special: dict[str, Column] | None
 ) -> DataFrame:
-    """Join old and new; ``special`` gives a column's value from ``old``/``new`` instead of "new, else old".
+    """Join records with folded changes; ``special`` gives a column's value from ``old``/``new`` instead of "new, else old".
 
     ``old.known`` is true for a record that existed before.
     """
@@ -49,14 +49,14 @@ def upsert(
     records: DataFrame, changes: DataFrame, keys: list[str], special: dict[str, Column] | None = None
 ) -> DataFrame:
     """Insert unknown keys, update the supplied columns of known ones."""
-    return _next_version(records, fold_changes(changes, keys), keys, "full_outer", special)
+    return next_version(records, fold_changes(changes, keys), keys, "full_outer", special)
 
 
 def update(
     records: DataFrame, changes: DataFrame, keys: list[str], special: dict[str, Column] | None = None
 ) -> DataFrame:
     """Update the supplied columns of known keys; unknown keys are ignored."""
-    return _next_version(records, fold_changes(changes, keys), keys, "left", special)
+    return next_version(records, fold_changes(changes, keys), keys, "left", special)
 
 
 def explode_workflows(requests: DataFrame) -> DataFrame:

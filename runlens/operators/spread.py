@@ -2,7 +2,8 @@
 
 A key may hold a third of a table.  These operators split such keys: joins are written in a
 form adaptive execution can split, numbering works inside small slices of a key, and nested
-arrays are cut into pages of bounded size.  Keys must not be NULL.
+arrays are cut into pages of bounded size.  Keys must not be NULL, but for the left side of a
+left join.
 """
 
 from __future__ import annotations
@@ -13,17 +14,32 @@ from pyspark.sql import functions as F
 PAGE_SIZE = 20_000
 
 
-def left_join_spread(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def left_join_spread(
+    left: DataFrame, right: DataFrame, on: list[str], size: str | None = None, keys_of: DataFrame | None = None
+) -> DataFrame:
     """LEFT JOIN for a right side in which one key may be very frequent.
 
     Adaptive execution splits a skewed partition on either side of an inner join, but never
-    the null-supplying side of an outer join.  So the matched rows come from an inner join
-    and the rest from an anti join against the right side's distinct keys, which are reduced
-    in the map tasks.
+    the null-supplying side of an outer join.  So the right side's rows are first counted per
+    key, reduced in the map tasks; left rows with a count meet the right side in an inner join
+    and the others are kept as they are.
+
+    ``size`` names a column that keeps the count (NULL without a match).  ``keys_of`` is a
+    cheaper input with the same keys as ``right``, and at least as many rows per key, to count.
     """
-    matched = left.join(right, on)
-    unmatched = left.join(right.select(*on).distinct(), on, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    count = size or "_size"
+    sizes = (right if keys_of is None else keys_of).groupBy(*on).agg(F.count(F.lit(1)).alias(count))
+    counted = left.join(sizes, on, "left")
+    matched = counted.filter(F.col(count).isNotNull()).join(right, on)
+    unmatched = counted.filter(F.col(count).isNull())
+    joined = matched.unionByName(unmatched, allowMissingColumns=True)
+    return joined if size else joined.drop(count)
+
+
+def with_group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Rows with the number of rows of their key; for inputs that do not carry it already."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    return df.join(sizes, keys)
 
 
 def number_rows(
@@ -87,35 +103,33 @@ def nest_rows(
     header: list[Column],
     item: list[Column],
     out: str,
+    size: str,
     page_size: int = PAGE_SIZE,
     spread_by: list[str] | None = None,
     first_by: list[Column] | None = None,
 ) -> DataFrame:
-    """One row per key and page: the header of the key's first row and a sorted array of items.
+    """One row per key and page: the header of the page's first row and a sorted array of items.
 
-    A key with at most ``page_size`` rows has the single page 0.  A larger one is cut into
-    pages of about that size by a hash of ``spread_by`` (by default of the item), so no task
-    collects an unbounded group, and every row is on exactly one page.  "First" means
-    smallest ``first_by`` (by default the smallest item).
+    ``size`` is a column with (at least) the number of rows of the key.  A key of at most
+    ``page_size`` rows has the single page 0.  A larger one is cut into pages of about that
+    size by a hash of ``spread_by`` (by default of the item), so no task collects an unbounded
+    group, and every row is on exactly one page.  "First" means smallest ``first_by`` (by
+    default the smallest item).
     """
+    pages = F.ceil(F.col(size) / page_size)
+    spread = F.xxhash64(*(spread_by or [F.struct(*item)]))
+    page = F.when(F.coalesce(F.col(size), F.lit(0)) <= page_size, F.lit(0)).otherwise(F.pmod(spread, pages))
     packed = df.select(
         *keys,
+        page.cast("bigint").alias("page"),
         F.struct(*header).alias("_header"),
         F.struct(*item).alias("_item"),
         (F.struct(*first_by) if first_by else F.struct(*item)).alias("_order"),
-        F.xxhash64(*(spread_by or [F.struct(*item)])).alias("_hash"),
-    )
-    heads = packed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min_by("_header", "_order").alias("_header")
     )
-    pages = F.ceil(F.col("_rows") / page_size)
-    page = F.when(F.col("_rows") <= page_size, F.lit(0)).otherwise(F.pmod("_hash", pages)).cast("bigint")
+    # The shuffle by key and page is explicit: grouping must not inherit a layout by key alone.
     return (
-        packed.drop("_header", "_order")
-        .join(heads, keys)
-        .select(*keys, page.alias("page"), "_header", "_item")
-        .repartition(*keys, "page")
+        packed.repartition(*keys, "page")
         .groupBy(*keys, "page")
-        .agg(F.first("_header").alias("_header"), F.sort_array(F.collect_list("_item")).alias(out))
+        .agg(F.min_by("_header", "_order").alias("_header"), F.sort_array(F.collect_list("_item")).alias(out))
         .select(*keys, "page", "_header.*", out)
     )

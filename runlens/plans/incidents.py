@@ -27,9 +27,27 @@ def _notes_as(prefix: str, notes: DataFrame) -> DataFrame:
     return notes.select(*JOB_KEY, *[F.col(n).alias(f"{prefix}{n}") for n in names])
 
 
-def with_notes(records: DataFrame, notes: DataFrame) -> DataFrame:
-    """Incident records LEFT JOIN their notes; note columns are prefixed ``n_``."""
-    return left_join_spread(records, _notes_as("n_", notes), JOB_KEY)
+NOTE_ROWS = "note_rows"
+
+
+def with_notes(records: DataFrame, notes: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Incident records LEFT JOIN their notes; note columns are prefixed ``n_``.
+
+    ``note_rows`` is the number of rows the group of a record has in the result; by default
+    the group is the record's (run, job).
+    """
+    named = _notes_as("n_", notes)
+    if group is None or group == JOB_KEY:
+        return left_join_spread(records, named, JOB_KEY, NOTE_ROWS)
+    counts = notes.groupBy(*JOB_KEY).agg(F.count(F.lit(1)).alias("_notes"))
+    per_record = F.coalesce(F.col("_notes"), F.lit(1))
+    sizes = (
+        records.select(*dict.fromkeys([*JOB_KEY, *group]))
+        .join(counts, JOB_KEY, "left")
+        .groupBy(*group)
+        .agg(F.sum(per_record).alias(NOTE_ROWS))
+    )
+    return left_join_spread(records.join(sizes, group), named, JOB_KEY)
 
 
 def _note_item() -> list[Column]:
@@ -60,7 +78,7 @@ def notes_json(
     """
     spread = list(dict.fromkeys([*JOB_KEY, "n_notes_skey", "n_notes"]))
     nested = nest_rows(
-        noted, keys, [F.col(c) for c in header], _note_item(), "notes", page_size, spread, first_by
+        noted, keys, [F.col(c) for c in header], _note_item(), "notes", NOTE_ROWS, page_size, spread, first_by
     )
     return nested.withColumn("notes", _notes_text("notes"))
 
@@ -73,7 +91,7 @@ def error_log_search(
     The columns shown are those of the job's newest incident (highest run id among equals).
     """
     found = assignment.filter(F.col("error").rlike(f"(?i){pattern}"))
-    noted = with_notes(found, notes)
+    noted = with_notes(found, notes, ["job_name"])
     newest = [F.negative(F.unix_micros(F.col("created_dt").cast("timestamp"))), F.negative("parent_run_id")]
     rows = notes_json(noted, ["job_name"], SEARCH_COLUMNS, newest, page_size)
     return rows.orderBy(F.desc("created_dt"), "job_name", "page")

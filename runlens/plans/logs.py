@@ -65,26 +65,29 @@ def tracking_lines(log: DataFrame) -> DataFrame:
     return log.select("run_id", "line_no", F.explode(urls).alias("url"))
 
 
-def managed_runs(log: DataFrame, banner: str = BANNER) -> DataFrame:
-    """Runs whose log carries the managed-node banner."""
-    return log.filter(F.col("line").contains(banner)).select("run_id").distinct()
-
-
 def _named(urls: DataFrame) -> DataFrame:
     return urls.withColumn("cluster", T.cluster_of(F.col("url"))).withColumn("project", T.project_of(F.col("url")))
 
 
+def _first_urls(log: DataFrame, banner: str) -> DataFrame:
+    """Per run, from one pass: whether it is managed (its log has the banner), and its first tracking URL."""
+    url = F.regexp_extract("line", T.TRACKING_URL, 0)
+    first = F.min(F.when(url != "", F.struct(F.col("line_no"), url.alias("url"))))
+    noted = log.filter(F.col("line").rlike(T.TRACKING_URL) | F.col("line").contains(banner))
+    return noted.groupBy("run_id").agg(F.bool_or(F.col("line").contains(banner)).alias("managed"), first.alias("first"))
+
+
 def managed_cluster(log: DataFrame, banner: str = BANNER) -> DataFrame:
     """Cluster and project of each managed run, from its first tracking URL."""
-    first = tracking_lines(log).groupBy("run_id").agg(F.min(F.struct("line_no", "url")).alias("first"))
-    return _named(first.select("run_id", "first.*").join(managed_runs(log, banner), ["run_id"], "left_semi"))
+    managed = _first_urls(log, banner).filter(F.col("managed") & F.col("first").isNotNull())
+    return _named(managed.select("run_id", "first.*"))
 
 
 def cluster_details(log: DataFrame, project_marker: str, banner: str = BANNER) -> DataFrame:
     """Cluster and project per run: the first URL of managed runs, every marked URL of the others."""
     marked = tracking_lines(log).filter(F.col("url").contains(T.HOST_MARK + project_marker))
-    others = _named(marked.join(managed_runs(log, banner), ["run_id"], "left_anti"))
-    return managed_cluster(log, banner).unionByName(others)
+    unmanaged = _first_urls(log, banner).filter(~F.col("managed")).select("run_id")
+    return managed_cluster(log, banner).unionByName(_named(marked.join(unmanaged, ["run_id"])))
 
 
 def changed_lines(lines: DataFrame, text: str = "url") -> DataFrame:
@@ -111,7 +114,8 @@ def typed_errors(log: DataFrame, patterns: DataFrame) -> DataFrame:
         F.col("first.pattern_no").alias("pattern_no"),
         F.col("first.line_no").alias("line_no"),
     )
-    sizes = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("match_count"))
+    # Counting a column of the result keeps both inputs of the join alike, so the matching runs once.
+    sizes = errors.groupBy("run_id").agg(F.count("line_no").alias("match_count"))
     return errors.join(sizes, ["run_id"])
 
 

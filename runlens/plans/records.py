@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.labels import alert_flags
-from runlens.operators.changes import explode_workflows, fold_changes, supplied, update, upsert
+from runlens.operators.changes import explode_workflows, next_version, supplied, update, upsert
 from runlens.plans.workflows import JOB_KEY
 
 
@@ -88,33 +88,22 @@ def upsert_tickets(assignment: DataFrame, tickets: DataFrame) -> DataFrame:
     for one record are appended in batch order.  The status, creator and creation time of a
     known record stay.
     """
-    flags = alert_flags(F.col("alert_type"))
-    changes = tickets.select("seq", *JOB_KEY, F.col("requestor").alias("updated_user"),
-                             F.concat(F.lit(","), "ticket_key").alias("jira"),
-                             *[f.alias(c) for c, f in flags.items()])
-    keys = changes.groupBy(*JOB_KEY).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("seq", "jira"))), lambda t: t["jira"]), ""
-        ).alias("jira")
-    )
-    first = tickets.groupBy(*JOB_KEY).agg(F.min_by("requestor", "seq").alias("created_user"))
-    folded = (
-        fold_changes(changes.drop("jira"), JOB_KEY)
-        .drop("_changes")
-        .join(keys, JOB_KEY)
-        .join(first, JOB_KEY)
-        .withColumn("status", F.lit("WIP"))
-        .withColumn("seq", F.lit(0))
+    in_order = F.sort_array(F.collect_list(F.struct("seq", F.concat(F.lit(","), "ticket_key").alias("key"))))
+    folded = tickets.dropna(subset=JOB_KEY).groupBy(*JOB_KEY).agg(
+        F.lit("WIP").alias("status"),
+        F.array_join(F.transform(in_order, lambda t: t["key"]), "").alias("jira"),
+        F.min_by("requestor", "seq").alias("created_user"),
+        F.max_by("requestor", "seq").alias("updated_user"),
+        *[F.max_by(flag, "seq").alias(name) for name, flag in alert_flags(F.col("alert_type")).items()],
     )
     special = {
         "status": F.when(F.col("old.known"), F.col("old.status")).otherwise(F.col("new.status")),
         "created_user": F.when(F.col("old.known"), F.col("old.created_user")).otherwise(F.col("new.created_user")),
-        "jira": F.concat(
-            F.coalesce("old.jira", F.lit("")), F.coalesce("new.jira", F.lit(""))
-        ),
+        "jira": F.when(
+            F.col("new.jira").isNotNull(), F.concat(F.coalesce("old.jira", F.lit("")), "new.jira")
+        ).otherwise(F.col("old.jira")),
     }
-    special["jira"] = F.when(F.col("new.jira").isNotNull(), special["jira"]).otherwise(F.col("old.jira"))
-    return upsert(assignment, folded, JOB_KEY, special)
+    return next_version(assignment, folded, JOB_KEY, "full_outer", special)
 
 
 def edit_notes(notes: DataFrame, edits: DataFrame) -> DataFrame:

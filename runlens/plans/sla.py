@@ -53,14 +53,25 @@ def status_spine(runs: DataFrame) -> DataFrame:
 
 
 def health_counts(runs: DataFrame, masters: DataFrame, as_of: str) -> DataFrame:
-    """The three kinds of counts under one roof; equal rows collapse, differing counts both stay."""
-    totals = sla_total_count(runs, masters).select("domain_name", F.lit("TOTAL_COUNT").alias("status"), "cnt")
-    return (
-        return_code_counts(runs, masters)
-        .unionByName(sla_status_counts_today(runs, masters, as_of))
-        .unionByName(totals)
-        .distinct()
+    """Return codes, today's SLA statuses and totals together.
+
+    The first two are counted in one pass over the latest runs.  Equal rows collapse;
+    differing counts for one status both stay.
+    """
+    today = same_day(F.col("start_time"), moment(as_of))
+    kinds = F.array(
+        F.struct(F.lit("code").alias("kind"), F.upper("return_code_text").alias("status")),
+        F.when(today, F.struct(F.lit("sla").alias("kind"), F.upper("hard_sla_status").alias("status"))),
     )
+    latest = latest_sla_runs(runs, masters, weekly=False)
+    counted = (
+        latest.select("domain_name", F.explode(F.array_compact(kinds)).alias("counted"))
+        .groupBy("domain_name", "counted.kind", "counted.status")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .select("domain_name", "status", "cnt")
+    )
+    totals = sla_total_count(runs, masters).select("domain_name", F.lit("TOTAL_COUNT").alias("status"), "cnt")
+    return counted.unionByName(totals).distinct()
 
 
 def zero_filled(spine: DataFrame, counts: DataFrame) -> DataFrame:

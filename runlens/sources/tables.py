@@ -65,8 +65,11 @@ def write_append(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 def daily_partition_append(df: DataFrame, at: Column, path: str, zone: str = SNAPSHOT_ZONE) -> None:
-    """Append rows to a table partitioned by the calendar day of ``at`` in the zone."""
-    write_append(df.withColumn("day", snapshot_day(at, zone)), path, ["day"])
+    """Append rows to a table partitioned by the calendar day of ``at`` in the zone.
+
+    Rows are rebalanced by day first: few files per day, and a large day is split over tasks.
+    """
+    write_append(df.withColumn("day", snapshot_day(at, zone)).hint("rebalance", "day"), path, ["day"])
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
