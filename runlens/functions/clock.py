@@ -50,6 +50,11 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.floor(seconds_between(start, end) / 86400)
 
 
+def minute_number(at: Column) -> Column:
+    """Minutes since 1970, a whole number that grows with time."""
+    return F.floor(seconds_between(moment("1970-01-01 00:00:00"), at) / 60)
+
+
 def same_day(at: Column, as_of: Column) -> Column:
     return F.to_date(at) == F.to_date(as_of)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 20_000
+LOWEST = -(2**63)
 
 
 def left_join_spread(
@@ -47,11 +48,12 @@ def number_rows(
 ) -> DataFrame:
     """``row_number()`` per key, computed inside slices of the key.
 
-    ``slice_by`` must follow ``order``: a row of a later slice never comes before a row of an
-    earlier one (``descending`` turns that round).  Each slice is numbered alone and shifted
-    by the number of rows in the slices before it, which is a sum over per-slice counts.
+    ``slice_by`` is a whole number that follows ``order``: a row of a higher slice never comes
+    before a row of a lower one (``descending`` turns that round; NULL is below every number).
+    Each slice is numbered alone and shifted by the number of rows in the slices before it,
+    which is a sum over per-slice counts.
     """
-    sliced = df.withColumn("_slice", slice_by)
+    sliced = df.withColumn("_slice", F.coalesce(slice_by.cast("bigint"), F.lit(LOWEST)))
     by_slice = F.desc("_slice") if descending else F.asc("_slice")
     earlier = Window.partitionBy(*keys).orderBy(by_slice).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -94,7 +96,8 @@ def previous_value(
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Distinct keys with the smallest ``order`` at which each was seen; combined in the map tasks."""
-    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias(out))
+    smallest = F.struct(F.min(order[0]).alias(order[0])) if len(order) == 1 else F.min(F.struct(*order))
+    return df.groupBy(*keys).agg(smallest.alias(out))
 
 
 def nest_rows(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.clock import minute_number
 from runlens.operators.latest import keep_latest
 from runlens.operators.spread import PAGE_SIZE, left_join_spread, nest_rows, number_rows
 from runlens.plans.workflows import JOB_KEY
@@ -92,7 +93,8 @@ def error_log_search(
     """
     found = assignment.filter(F.col("error").rlike(f"(?i){pattern}"))
     noted = with_notes(found, notes, ["job_name"])
-    newest = [F.negative(F.unix_micros(F.col("created_dt").cast("timestamp"))), F.negative("parent_run_id")]
+    age = F.timestamp_diff("MICROSECOND", F.col("created_dt"), F.lit("9999-01-01").cast("timestamp_ntz"))
+    newest = [F.coalesce(age, F.lit(2**63 - 1)), F.negative("parent_run_id")]
     rows = notes_json(noted, ["job_name"], SEARCH_COLUMNS, newest, page_size)
     return rows.orderBy(F.desc("created_dt"), "job_name", "page")
 
@@ -135,7 +137,7 @@ def issue_number(assignment: DataFrame) -> DataFrame:
         assignment,
         ["job_name"],
         [F.desc("created_dt"), F.desc("parent_run_id")],
-        F.date_trunc("minute", "created_dt"),
+        minute_number(F.col("created_dt")),
         "issue_number",
         descending=True,
     )

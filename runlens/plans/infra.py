@@ -9,6 +9,7 @@ from runlens.functions.clock import (
     SNAPSHOT_ZONE,
     duration_text,
     local_time,
+    minute_number,
     moment,
     seconds_between,
     snapshot_day,
@@ -54,7 +55,7 @@ def cluster_uptime_list(states: DataFrame, as_of: str, ignore: str = KEPT_CLUSTE
         running_clusters(states, ignore),
         ["project"],
         [F.asc("state_start_time"), F.asc("cluster_name")],
-        F.date_trunc("hour", "state_start_time"),
+        minute_number(F.col("state_start_time")),
         "number",
     )
     elapsed = duration_text(seconds_between(F.col("state_start_time"), moment(as_of)))
