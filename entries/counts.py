@@ -152,7 +152,7 @@ FROM o_spine p LEFT JOIN (SELECT * FROM o_codes UNION SELECT * FROM o_today
 
 @entry("latest_by_start", "SELECT parent_job_name, parent_run_id, start_time FROM o_sla_latest")
 def latest_by_start(v):
-    latest = sla.latest_sla_runs(v.wf_run, v.workflow_master, weekly=False)
+    latest = sla.latest_sla_runs(v.wf_run, v.workflow_master).filter("regular")
     return latest.select("parent_job_name", "parent_run_id", "start_time")
 
 

@@ -29,8 +29,11 @@ def next_version(
 
     ``old.known`` is true for a record that existed before.
     """
-    old, new = records.withColumn("known", F.lit(True)).alias("old"), folded.alias("new")
-    joined = old.join(new, keys, how)
+    old, new, on = records.withColumn("known", F.lit(True)), folded, keys
+    if how == "left":
+        # Many records may share a key here; see ``join_groups`` for why it is packed.
+        old, new, on = old.withColumn("_key", F.struct(*keys)), new.withColumn("_key", F.struct(*keys)).drop(*keys), ["_key"]
+    joined = old.alias("old").join(new.alias("new"), on, how)
     special = special or {}
 
     def value(column: str) -> Column:

@@ -15,6 +15,18 @@ PAGE_SIZE = 20_000
 LOWEST = -(2**63)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table that has one row per key, such as an aggregate.
+
+    Adaptive execution splits a skewed partition only where both join inputs are fresh
+    shuffles.  An aggregate by ``keys`` is laid out by them already and would be joined in
+    place, all rows of a large key in one task.  Joining on the keys packed into a struct
+    gives both sides a shuffle of their own.
+    """
+    packed = groups.dropna(subset=keys).withColumn("_key", F.struct(*keys)).drop(*keys)
+    return rows.withColumn("_key", F.struct(*keys)).join(packed, ["_key"], how).drop("_key")
+
+
 def left_join_spread(
     left: DataFrame, right: DataFrame, on: list[str], size: str | None = None, keys_of: DataFrame | None = None
 ) -> DataFrame:
@@ -30,7 +42,7 @@ def left_join_spread(
     """
     count = size or "_size"
     sizes = (right if keys_of is None else keys_of).groupBy(*on).agg(F.count(F.lit(1)).alias(count))
-    counted = left.join(sizes, on, "left")
+    counted = join_groups(left, sizes, on, "left")
     matched = counted.filter(F.col(count).isNotNull()).join(right, on)
     unmatched = counted.filter(F.col(count).isNull())
     joined = matched.unionByName(unmatched, allowMissingColumns=True)
@@ -40,7 +52,7 @@ def left_join_spread(
 def with_group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Rows with the number of rows of their key; for inputs that do not carry it already."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return df.join(sizes, keys)
+    return join_groups(df, sizes, keys)
 
 
 def number_rows(

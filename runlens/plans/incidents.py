@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.clock import minute_number
 from runlens.operators.latest import keep_latest
-from runlens.operators.spread import PAGE_SIZE, left_join_spread, nest_rows, number_rows
+from runlens.operators.spread import PAGE_SIZE, join_groups, left_join_spread, nest_rows, number_rows
 from runlens.plans.workflows import JOB_KEY
 
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
@@ -42,13 +42,9 @@ def with_notes(records: DataFrame, notes: DataFrame, group: list[str] | None = N
         return left_join_spread(records, named, JOB_KEY, NOTE_ROWS)
     counts = notes.groupBy(*JOB_KEY).agg(F.count(F.lit(1)).alias("_notes"))
     per_record = F.coalesce(F.col("_notes"), F.lit(1))
-    sizes = (
-        records.select(*dict.fromkeys([*JOB_KEY, *group]))
-        .join(counts, JOB_KEY, "left")
-        .groupBy(*group)
-        .agg(F.sum(per_record).alias(NOTE_ROWS))
-    )
-    return left_join_spread(records.join(sizes, group), named, JOB_KEY)
+    noted = join_groups(records.select(*dict.fromkeys([*JOB_KEY, *group])), counts, JOB_KEY, "left")
+    sizes = noted.groupBy(*group).agg(F.sum(per_record).alias(NOTE_ROWS))
+    return left_join_spread(join_groups(records, sizes, group), named, JOB_KEY)
 
 
 def _note_item() -> list[Column]:

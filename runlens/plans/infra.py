@@ -91,9 +91,10 @@ def top_processes(
     samples: DataFrame, usage: DataFrame, metric: str, by: str, limit: int = USAGE_LIMIT, count: int = TOP
 ) -> DataFrame:
     """Largest consumers per host, for hosts at or over the limit of the metric."""
-    chosen = samples.join(_hosts_over(usage, metric, limit), ["host"], "left_semi")
-    top = keep_first(chosen, ["host"], [F.desc(by), F.asc("pid")], count, "place")
-    return top.select("host", "place", "pid", "cmd", by)
+    # Ranked before the hosts are chosen: the ranking then limits each host inside the map tasks.
+    top = keep_first(samples, ["host"], [F.desc(by), F.asc("pid")], count, "place")
+    chosen = top.join(_hosts_over(usage, metric, limit), ["host"], "left_semi")
+    return chosen.select("host", "place", "pid", "cmd", by)
 
 
 def top20_memory(samples: DataFrame, usage: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:

@@ -15,7 +15,7 @@ from runlens.functions.clock import duration_text
 from runlens.functions.labels import last_name_part, runtime_advice
 from runlens.operators.latest import keep_latest
 from runlens.operators.matching import match_keys, match_patterns
-from runlens.operators.spread import first_seen, previous_value
+from runlens.operators.spread import first_seen, join_groups, previous_value
 
 BANNER = "Welcome to the managed edge node"
 PROJECT_SLOT = "$$$gcp"
@@ -87,7 +87,7 @@ def cluster_details(log: DataFrame, project_marker: str, banner: str = BANNER) -
     """Cluster and project per run: the first URL of managed runs, every marked URL of the others."""
     marked = tracking_lines(log).filter(F.col("url").contains(T.HOST_MARK + project_marker))
     unmanaged = _first_urls(log, banner).filter(~F.col("managed")).select("run_id")
-    return managed_cluster(log, banner).unionByName(_named(marked.join(unmanaged, ["run_id"])))
+    return managed_cluster(log, banner).unionByName(_named(join_groups(marked, unmanaged, ["run_id"])))
 
 
 def changed_lines(lines: DataFrame, text: str = "url") -> DataFrame:
@@ -116,7 +116,7 @@ def typed_errors(log: DataFrame, patterns: DataFrame) -> DataFrame:
     )
     # Counting a column of the result keeps both inputs of the join alike, so the matching runs once.
     sizes = errors.groupBy("run_id").agg(F.count("line_no").alias("match_count"))
-    return errors.join(sizes, ["run_id"])
+    return join_groups(errors, sizes, ["run_id"])
 
 
 def suggestions(errors: DataFrame, table: DataFrame, text: str = "error_text") -> DataFrame:
@@ -188,11 +188,12 @@ def runs_of_applications(requests: DataFrame, files: DataFrame) -> DataFrame:
     """
     wanted = requests.filter(~F.col("line").contains("#")).select(F.trim("line").alias("app_id")).distinct()
     mentions = files.select("path", F.explode(F.regexp_extract_all("line", F.lit(APPLICATION_ID), F.lit(0))).alias("app_id"))
-    first_file = mentions.join(wanted, ["app_id"], "left_semi").groupBy("app_id").agg(F.min("path").alias("path"))
+    asked = join_groups(mentions, wanted, ["app_id"], "left_semi")
+    first_file = asked.groupBy("app_id").agg(F.min("path").alias("path"))
     job_lines = files.filter((F.col("line_no") <= JOB_LINE_LIMIT) & F.col("line").contains("JOB"))
     job_line = job_lines.groupBy("path").agg(F.min(F.struct("line_no", "line")).alias("first"))
     run_ids = job_line.select("path", T.part(F.col("first.line"), r"\s+", 3).alias("run_id"))
-    return wanted.join(first_file, ["app_id"], "left").join(run_ids, ["path"], "left")
+    return join_groups(wanted.join(first_file, ["app_id"], "left"), run_ids, ["path"], "left")
 
 
 def files_mentioning(listing: DataFrame, content: DataFrame, text: str, recent: Column) -> DataFrame:

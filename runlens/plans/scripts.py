@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text as T
-from runlens.operators.spread import left_join_spread
+from runlens.operators.spread import join_groups, left_join_spread
 
 SKIPPED_ASSIGNMENT = "SA_AUTH_FILE"
 NAME_TOKEN = r"&[A-Za-z0-9_]+#|[A-Za-z0-9_]+"
@@ -89,7 +89,7 @@ def variables_last_wins(raw: DataFrame, lines: DataFrame, skipped: str = SKIPPED
 def with_values(lines: DataFrame, variables: DataFrame, names: Column) -> DataFrame:
     """Lines with ``vals``, a map from the names used on the line to their values."""
     used = lines.withColumn("key", F.explode_outer(F.array_distinct(names)))
-    valued = used.join(variables.select("job_id", "key", "value"), ["job_id", "key"], "left")
+    valued = join_groups(used, variables.select("job_id", "key", "value"), ["job_id", "key"], "left")
     pair = F.when(F.col("value").isNotNull(), F.struct("key", "value"))
     return valued.groupBy(*lines.columns).agg(F.map_from_entries(F.collect_list(pair)).alias("vals"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.clock import minutes_until, moment, same_day
@@ -15,34 +15,70 @@ EXCLUDED_DOMAIN = "DFS"
 HEALTH_STATUSES = ("Job_Active_SLA_Not_Missed", "Met", "Missed", "RUNNING", "SUCCESS", "FAILED", "Total_Count")
 
 
-def latest_sla_runs(runs: DataFrame, masters: DataFrame, weekly: bool) -> DataFrame:
-    """Newest started run per SLA workflow in the workflow master, without weekly ones unless asked for.
+def latest_sla_runs(runs: DataFrame, masters: DataFrame) -> DataFrame:
+    """Newest started run per SLA workflow in the workflow master; ``regular`` unless the workflow is only weekly.
 
-    Equal start times are settled by the higher run id.
+    Equal start times are settled by the higher run id.  The run is chosen before the master
+    is joined: both go by workflow name, so the order does not matter to the result, and a
+    workflow with very many runs is reduced inside the map tasks.
     """
-    scheduled = masters if weekly else masters.filter(F.col("job_frequency") != "Weekly")
-    sla = runs.filter(F.col("sla_type").isin(*SLA_TYPES))
-    both = sla.join(scheduled.select("wrkflw_nm"), F.col("wrkflw_nm") == F.col("parent_job_name"))
-    return keep_latest(both, ["parent_job_name"], [F.desc("start_time"), F.desc("parent_run_id")])
+    latest = keep_latest(
+        runs.filter(F.col("sla_type").isin(*SLA_TYPES)),
+        ["parent_job_name"],
+        [F.desc("start_time"), F.desc("parent_run_id")],
+    )
+    scheduled = masters.groupBy(F.col("wrkflw_nm").alias("parent_job_name")).agg(
+        F.coalesce(F.bool_or(F.col("job_frequency") != "Weekly"), F.lit(False)).alias("regular")
+    )
+    return latest.join(scheduled, ["parent_job_name"])
+
+
+def _kind(name: str, status: Column) -> Column:
+    return F.struct(F.lit(name).alias("kind"), status.alias("status"))
+
 
+def _counts(latest: DataFrame, *kinds: Column) -> DataFrame:
+    """Counts by domain, kind and status; each kind is a struct, or NULL for a run it does not count."""
+    return (
+        latest.select("domain_name", F.explode(F.array_compact(F.array(*kinds))).alias("counted"))
+        .groupBy("domain_name", "counted.kind", "counted.status")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .select("domain_name", "status", "cnt")
+    )
 
-def _counts(runs: DataFrame, status: str) -> DataFrame:
-    return runs.groupBy("domain_name", F.upper(status).alias("status")).agg(F.count(F.lit(1)).alias("cnt"))
+
+def _code() -> Column:
+    return F.when(F.col("regular"), _kind("code", F.upper("return_code_text")))
+
+
+def _today(as_of: str) -> Column:
+    today = same_day(F.col("start_time"), moment(as_of))
+    return F.when(F.col("regular") & today, _kind("sla", F.upper("hard_sla_status")))
+
+
+def _total() -> Column:
+    return F.when(F.col("bsns_sla_time_date").isNotNull(), _kind("total", F.lit("TOTAL_COUNT")))
 
 
 def return_code_counts(runs: DataFrame, masters: DataFrame) -> DataFrame:
-    return _counts(latest_sla_runs(runs, masters, weekly=False), "return_code_text")
+    return _counts(latest_sla_runs(runs, masters), _code())
 
 
 def sla_status_counts_today(runs: DataFrame, masters: DataFrame, as_of: str) -> DataFrame:
-    latest = latest_sla_runs(runs, masters, weekly=False)
-    return _counts(latest.filter(same_day(F.col("start_time"), moment(as_of))), "hard_sla_status")
+    return _counts(latest_sla_runs(runs, masters), _today(as_of))
 
 
 def sla_total_count(runs: DataFrame, masters: DataFrame) -> DataFrame:
     """Workflows with an SLA time by domain, weekly ones included."""
-    timed = latest_sla_runs(runs, masters, weekly=True).filter(F.col("bsns_sla_time_date").isNotNull())
-    return timed.groupBy("domain_name").agg(F.count(F.lit(1)).alias("cnt"))
+    return _counts(latest_sla_runs(runs, masters), _total()).drop("status")
+
+
+def health_counts(runs: DataFrame, masters: DataFrame, as_of: str) -> DataFrame:
+    """Return codes, today's SLA statuses and totals, counted in one pass over the latest runs.
+
+    Equal rows collapse; differing counts for one status both stay.
+    """
+    return _counts(latest_sla_runs(runs, masters), _code(), _today(as_of), _total()).distinct()
 
 
 def status_spine(runs: DataFrame) -> DataFrame:
@@ -52,28 +88,6 @@ def status_spine(runs: DataFrame) -> DataFrame:
     return domains.withColumn("status", F.explode(statuses))
 
 
-def health_counts(runs: DataFrame, masters: DataFrame, as_of: str) -> DataFrame:
-    """Return codes, today's SLA statuses and totals together.
-
-    The first two are counted in one pass over the latest runs.  Equal rows collapse;
-    differing counts for one status both stay.
-    """
-    today = same_day(F.col("start_time"), moment(as_of))
-    kinds = F.array(
-        F.struct(F.lit("code").alias("kind"), F.upper("return_code_text").alias("status")),
-        F.when(today, F.struct(F.lit("sla").alias("kind"), F.upper("hard_sla_status").alias("status"))),
-    )
-    latest = latest_sla_runs(runs, masters, weekly=False)
-    counted = (
-        latest.select("domain_name", F.explode(F.array_compact(kinds)).alias("counted"))
-        .groupBy("domain_name", "counted.kind", "counted.status")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .select("domain_name", "status", "cnt")
-    )
-    totals = sla_total_count(runs, masters).select("domain_name", F.lit("TOTAL_COUNT").alias("status"), "cnt")
-    return counted.unionByName(totals).distinct()
-
-
 def zero_filled(spine: DataFrame, counts: DataFrame) -> DataFrame:
     joined = spine.join(counts, ["domain_name", "status"], "left")
     return joined.select("domain_name", "status", F.coalesce("cnt", F.lit(0)).alias("status_cnt"))
@@ -94,15 +108,21 @@ def sla_health_map(health: DataFrame) -> DataFrame:
 
 
 def sla_candidates(runs: DataFrame, meta: DataFrame, assignment: DataFrame, as_of: str) -> DataFrame:
-    """Latest unsuccessful business-SLA run per described workflow with its workflow-level incident."""
+    """Latest unsuccessful business-SLA run per described workflow with its workflow-level incident.
+
+    The run is chosen first, see ``latest_sla_runs``.  A workflow described more than once
+    counts with its first description.
+    """
     open_runs = runs.filter((F.col("return_code_text") != "SUCCESS") & (F.col("sla_type") == "B"))
-    described = open_runs.drop("application_name").join(meta, F.col("workflow_name") == F.col("parent_job_name"))
+    latest = keep_latest(open_runs, ["parent_job_name"], [F.desc("activation_time"), F.desc("parent_run_id")])
+    described = keep_latest(meta, ["workflow_name"], [F.asc("application_name"), F.asc("bsns_impact_justification")])
+    named = latest.drop("application_name", "created_dt").join(
+        described, F.col("workflow_name") == F.col("parent_job_name")
+    )
     columns = ["job_name", "jira", "created_dt", "service_now", "zoom_link", "close_code", "root_cause", "error"]
     records = assignment.select("parent_run_id", F.col("job_name").alias("parent_job_name"), *columns)
-    joined = described.drop("created_dt").join(records, ["parent_run_id", "parent_job_name"], "left")
-    order = [F.desc("activation_time"), F.desc("parent_run_id")]
-    latest = keep_latest(joined, ["parent_job_name"], order)
-    return latest.withColumn("min_diff", minutes_until(F.col("bsns_sla_time_date"), moment(as_of)))
+    joined = named.join(records, ["parent_run_id", "parent_job_name"], "left")
+    return joined.withColumn("min_diff", minutes_until(F.col("bsns_sla_time_date"), moment(as_of)))
 
 
 def potential_sla_miss(

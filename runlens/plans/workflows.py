@@ -22,7 +22,7 @@ from runlens.functions.predicates import (
     unfinished_or_missing,
 )
 from runlens.operators.latest import keep_latest
-from runlens.operators.spread import PAGE_SIZE, left_join_spread, nest_rows, with_group_size
+from runlens.operators.spread import PAGE_SIZE, join_groups, left_join_spread, nest_rows, with_group_size
 
 JOB_KEY = ["parent_run_id", "job_name"]
 # Column with the number of job rows of a run; NULL without any.
@@ -175,7 +175,7 @@ def issues_pending_closure(
     )
     per_job = in_work.join(assignee, JOB_KEY).join(job_columns(latest_jobs(jobs)), JOB_KEY)
     records = in_work.groupBy("parent_run_id").agg(F.count(F.lit(1)).alias(JOB_ROWS))
-    scoped = run_columns(runs.filter(domain_scope(domains))).join(records, ["parent_run_id"])
+    scoped = join_groups(run_columns(runs.filter(domain_scope(domains))), records, ["parent_run_id"])
     return per_job.join(scoped, ["parent_run_id"]).withColumn("alert_type", alert_type())
 
 

@@ -224,22 +224,26 @@ def portable(text: str) -> str:
 
 
 class Views:
-    """The derived views of one data directory, each a DataFrame attribute: ``Views(spark, path).wf_run``."""
+    """The derived views of one data directory, each a DataFrame attribute: ``Views(spark, path).wf_run``.
+
+    A view is built once per instance, from temporary views of the tables it reads.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
-    def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.base(name)
-        if name not in VIEWS:
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in VIEWS:
+            words = set(re.findall(r"\w+", VIEWS[name]))
+            inputs = [n for n in (*BASE_TABLES, *VIEWS) if n in words and n != name]
+            for other in inputs:
+                getattr(self, other).createOrReplaceTempView(other)
+            table = self.spark.sql(VIEWS[name])
+        else:
             raise AttributeError(name)
-        text = f"WITH {with_clause(needed(name, VIEWS), VIEWS)} SELECT * FROM {name}"
-        for table in BASE_TABLES:
-            if re.search(rf"\b{table}\b", text):
-                self.base(table).createOrReplaceTempView(table)
-        return self.spark.sql(text)
+        # Later look-ups find the attribute and do not come here again.
+        setattr(self, name, table)
+        return table

@@ -124,3 +124,40 @@ def test_latest_is_limited_before_the_shuffle(table):
     for ties in (True, False):
         plan = plan_of(keep_latest(table, ["key"], [F.desc("id")], ties))
         assert "1, Partial" in plan and "1, Final" in plan
+
+
+def test_large_keys_are_split_in_joins(spark, rows):
+    """With thresholds scaled down to this data, adaptive execution must find joins it can split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+        big = spark.range(0, 60_000, 1, 8).select(key.alias("key"), "id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        big.write.mode("overwrite").format("noop").save()
+        left = big.select("key").distinct().withColumn("mark", F.lit(1))
+
+        def final_plan(df):
+            count = df.count()
+            df.collect()
+            return count, df._jdf.queryExecution().executedPlan().toString()
+
+        for joined in (left_join_spread(left, big, ["key"]), with_group_size(big, ["key"], "n")):
+            count, plan = final_plan(joined)
+            assert count == 60_000 and "skew=true" in plan
+        sized = with_group_size(big, ["key"], "n")
+        nested = nest_rows(sized, ["key"], [F.lit(1).alias("one")], [F.col("id"), F.col("text")], "items", "n", 1000)
+        _, plan = final_plan(nested)
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
