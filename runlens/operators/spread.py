@@ -134,17 +134,19 @@ def nest_rows(
     pages = F.ceil(F.col(size) / page_size)
     spread = F.xxhash64(*(spread_by or [F.struct(*item)]))
     page = F.when(F.coalesce(F.col(size), F.lit(0)) <= page_size, F.lit(0)).otherwise(F.pmod(spread, pages))
+    order = [F.struct(*first_by).alias("_order")] if first_by else []
     packed = df.select(
         *keys,
         page.cast("bigint").alias("page"),
         F.struct(*header).alias("_header"),
         F.struct(*item).alias("_item"),
-        (F.struct(*first_by) if first_by else F.struct(*item)).alias("_order"),
+        *order,
     )
+    first = F.min_by("_header", "_order" if first_by else "_item")
     # The shuffle by key and page is explicit: grouping must not inherit a layout by key alone.
     return (
         packed.repartition(*keys, "page")
         .groupBy(*keys, "page")
-        .agg(F.min_by("_header", "_order").alias("_header"), F.sort_array(F.collect_list("_item")).alias(out))
+        .agg(first.alias("_header"), F.sort_array(F.collect_list("_item")).alias(out))
         .select(*keys, "page", "_header.*", out)
     )

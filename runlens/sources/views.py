@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 AS_OF = "2024-01-15 17:00:00"
 
@@ -51,7 +52,7 @@ SELECT r.*,
 FROM (SELECT b.*, start_time + INTERVAL '1' SECOND * ah_runtime AS end_time,
   start_time + INTERVAL '1' MINUTE * bsns_sla_diff_mins AS bsns_sla_time_date,
   start_time + INTERVAL '1' MINUTE * (30 + custkey % 400) AS hard_sla_time,
-  start_time AS created_dt, start_time AS updated_dt
+  start_time - INTERVAL '1' MINUTE AS created_dt, start_time + INTERVAL '1' MINUTE AS updated_dt
  FROM (SELECT o_orderkey AS parent_run_id, o_custkey AS custkey,
    {_WORKFLOW_NAME} AS parent_job_name,
    CASE WHEN o_custkey % 50 = 0 THEN 'DFS' ELSE r_name END AS domain_name,
@@ -223,6 +224,9 @@ def portable(text: str) -> str:
     return text.replace("TIMESTAMP_NTZ", "TIMESTAMP").replace(" AS STRING", " AS VARCHAR")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Views:
     """The derived views of one data directory, each a DataFrame attribute: ``Views(spark, path).wf_run``.
 
@@ -235,7 +239,7 @@ class Views:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self._base(f"{self.sf_dir}/{name}.parquet")
         elif name in VIEWS:
             words = set(re.findall(r"\w+", VIEWS[name]))
             inputs = [n for n in (*BASE_TABLES, *VIEWS) if n in words and n != name]
@@ -247,3 +251,9 @@ class Views:
         # Later look-ups find the attribute and do not come here again.
         setattr(self, name, table)
         return table
+
+    def _base(self, path: str) -> DataFrame:
+        """Base table; its schema is read from the file once per process."""
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
