@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.sources.views import VIEWS, Views, needed, portable, with_clause
+from runlens.sources.views import AS_OF, VIEWS, Views, needed, portable, with_clause
+
+__all__ = ["AS_OF", "CHECKS", "PARTS", "QUERIES", "check_sql", "entry"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
-AS_OF = "2024-01-15 17:00:00"
-
 # Named parts of checking SQL; a check may read them like views.
 PARTS: dict[str, str] = {
     "o_runs": "SELECT * RENAME (dt_jira_component AS jira_component, dt_xmatter_grp_nm AS xmatter_grp) FROM wf_run",

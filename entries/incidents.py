@@ -20,10 +20,6 @@ NOTE_ORDER = "n.notes_skey NULLS FIRST, n.notes NULLS FIRST, n.updated_dt NULLS
 NOTES = f"'[' || string_agg({NOTE_JSON}, ',' ORDER BY {NOTE_ORDER}) || ']' AS notes"
 
 
-def newest(columns: list[str]) -> str:
-    return ", ".join(f"arg_max_null(i.{c}, (i.created_dt, i.parent_run_id)) AS {c}" for c in columns)
-
-
 PARTS["o_found"] = "SELECT * FROM assignment WHERE regexp_matches(error, '(?i)error|failed')"
 
 

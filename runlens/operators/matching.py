@@ -17,26 +17,34 @@ from runlens.operators.sizes import rows_if_small
 INLINE_LIMIT = 200
 
 
-def _each(lines: DataFrame, table: DataFrame, test: Callable[[Column], Column], number: str, text: str,
-          extra: str, limit: int) -> DataFrame:
-    """Every (line, table row) for which ``test`` gives a non-empty array, one row per array element as ``hit``."""
-    rows = rows_if_small(table.select(number, extra, text), limit)
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _each(
+    lines: DataFrame, table: DataFrame, columns: tuple[str, str, str], test: Callable[[Column], Column], limit: int
+) -> DataFrame:
+    """Every line with every table row, one output row per element of the array ``test`` gives, as ``hit``.
+
+    ``columns`` name the table's number (unique, from 0), the text to test, and a column to keep.
+    """
+    number, text, kept = columns
+    rows = rows_if_small(table.select(*columns), limit)
     if rows is not None:
+        if not rows:
+            return lines.select("*", F.lit(0).alias(number), F.lit("").alias(kept), F.lit("").alias("hit")).limit(0)
         found = [
-            F.struct(
-                F.lit(row[number]).alias(number), F.lit(row[extra]).alias(extra), test(F.lit(row[text])).alias("_hits")
-            )
-            for row in rows
+            F.struct(F.lit(r[number]).alias(number), F.lit(r[kept]).alias(kept), test(F.lit(r[text])).alias("_hits"))
+            for r in rows
         ]
-        if not found:
-            found = [F.struct(F.lit(0).alias(number), F.lit("").alias(extra), F.array().cast("array<string>").alias("_hits"))]
-        candidates = lines.withColumn("_m", F.explode(F.array(*found))).select("*", "_m.*").drop("_m")
-        return candidates.withColumn("hit", F.explode("_hits")).drop("_hits")
+        candidates = lines.withColumn("_found", F.explode(F.array(*found))).select("*", "_found.*")
+        return candidates.withColumn("hit", F.explode("_hits")).drop("_found", "_hits")
 
-    top = table.agg(F.max(number)).first()[0]
+    # Too large to inline: slices of at most ``limit`` numbers, so each broadcast is bounded.
+    last = table.agg(F.max(number)).first()[0]
     result = None
-    for start in range(0, top + 1, limit):
-        part = table.select(number, extra, text).filter(F.col(number).between(start, start + limit - 1))
+    for start in range(0, last + 1, limit):
+        part = table.select(*columns).filter(F.col(number).between(start, start + limit - 1))
         pairs = lines.join(F.broadcast(part), F.size(test(F.col(text))) > 0)
         pairs = pairs.withColumn("hit", F.explode(test(F.col(text)))).drop(text)
         result = pairs if result is None else result.unionByName(pairs)
@@ -48,9 +56,11 @@ def match_patterns(lines: DataFrame, patterns: DataFrame, limit: int = INLINE_LI
 
     ``patterns`` has ``pattern_no`` (unique, from 0), ``name`` and ``pattern`` (without groups).
     """
-    return _each(
-        lines, patterns, lambda p: F.regexp_extract_all("line", p, F.lit(0)), "pattern_no", "pattern", "name", limit
-    )
+
+    def matches(pattern: Column) -> Column:
+        return F.regexp_extract_all("line", pattern, F.lit(0))
+
+    return _each(lines, patterns, ("pattern_no", "pattern", "name"), matches, limit)
 
 
 def match_keys(errors: DataFrame, suggestions: DataFrame, text: str, limit: int = INLINE_LIMIT) -> DataFrame:
@@ -58,5 +68,8 @@ def match_keys(errors: DataFrame, suggestions: DataFrame, text: str, limit: int
 
     ``suggestions`` has ``suggestion_no`` (unique, from 0), ``error_key`` and ``suggestion``.
     """
-    test = lambda key: F.when(F.contains(F.col(text), key), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    return _each(errors, suggestions, test, "suggestion_no", "error_key", "suggestion", limit).drop("hit")
+
+    def contained(key: Column) -> Column:
+        return F.when(F.contains(F.col(text), key), F.array(key)).otherwise(_none())
+
+    return _each(errors, suggestions, ("suggestion_no", "error_key", "suggestion"), contained, limit).drop("hit")

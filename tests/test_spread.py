@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.operators.latest import keep_first, keep_latest
 from runlens.operators.spread import (
     first_seen,
+    join_groups,
     left_join_spread,
     nest_rows,
     number_rows,
@@ -71,6 +72,14 @@ def test_left_join_spread_counts_with_a_cheaper_input(spark, table, rows):
     ]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_groups_equals_plain_join(spark, table, rows, how):
+    left = table.unionByName(spark.createDataFrame([(None, -1, None, "a")], table.schema))
+    groups = spark.createDataFrame([("hot", 1), ("k3", 2), (None, 3)], "key string, mark int")
+    plain = left.join(groups, ["key"], how)
+    assert rows(join_groups(left, groups, ["key"], how), *plain.columns) == rows(plain)
+
+
 def test_nest_rows_splits_only_large_keys(table, skewed):
     sized = with_group_size(table, ["key"], "size")
     nested = nest_rows(sized, ["key"], [F.col("word")], [F.col("id"), F.col("word")], "items", "size", page_size=200)
