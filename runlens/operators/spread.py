@@ -23,7 +23,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str =
     place, all rows of a large key in one task.  Joining on the keys packed into a struct
     gives both sides a shuffle of their own.
     """
-    packed = groups.dropna(subset=keys).withColumn("_key", F.struct(*keys)).drop(*keys)
+    known = groups.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    packed = known.withColumn("_key", F.struct(*keys)).drop(*keys)
     return rows.withColumn("_key", F.struct(*keys)).join(packed, ["_key"], how).drop("_key")
 
 

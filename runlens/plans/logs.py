@@ -107,7 +107,8 @@ def typed_errors(log: DataFrame, patterns: DataFrame) -> DataFrame:
     ``match_count`` is the number of distinct errors of the run: the reports show
     the list only when it is above one.
     """
-    found = first_seen(typed_matches(log, patterns), ["run_id", "hit"], ["pattern_no", "line_no"], "first")
+    matches = typed_matches(log.filter(F.col("run_id").isNotNull()), patterns)
+    found = first_seen(matches, ["run_id", "hit"], ["pattern_no", "line_no"], "first")
     errors = found.select(
         "run_id",
         F.col("hit").alias("error_text"),
