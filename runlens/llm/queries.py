@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import linededup, mixing, quality_rules
+from runlens.llm import extraction, licences, linededup, mixing, quality_cnn, quality_rules, simhash
 from runlens.llm.common import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "linededup", "mixing", "quality_rules"]
+__all__ = ["CHECKS", "QUERIES", "extraction", "licences", "linededup", "mixing", "quality_cnn", "quality_rules", "simhash"]
