@@ -113,10 +113,9 @@ def drop_lines(
     # Only places travel from the hashes to the documents; texts move once, to meet them.
     hits = lines.join(runs.frequent().hint("merge"), HASH, "left_semi")
     drops = hits.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("_drop"))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), known.alias("_text"))
-    packed = packed.withColumn("_hash", F.xxhash64("_text"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(known).alias("_hash"))
     met = packed.join(drops, packed["_id"].eqNullSafe(drops["doc_id"]) & (packed["_hash"] == drops["text_hash"]), "left")
-    met = met.withColumn("_lines", F.split("_text", "\n", -1))
+    met = met.withColumn("_text", F.coalesce(F.col("_row")[text], F.lit(""))).withColumn("_lines", F.split("_text", "\n", -1))
     places = F.sequence(F.lit(0), F.size("_lines") - 1)
     stay = F.array_except(places, F.col("_drop"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
