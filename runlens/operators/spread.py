@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.sources.tables import work_dir
+
 PAGE_SIZE = 20_000
-LOWEST = -(2**63)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -56,30 +57,46 @@ def with_group_size(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return join_groups(df, sizes, keys)
 
 
-def number_rows(
-    df: DataFrame, keys: list[str], order: list[Column], slice_by: Column, out: str, descending: bool = False
-) -> DataFrame:
-    """``row_number()`` per key, computed inside slices of the key.
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns but for maps, which have no order."""
+    return F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+
+
+def ordered_parts(df: DataFrame, keys: list[str], order: list[Column], out: str = "_part") -> DataFrame:
+    """Rows with the number of the range of (keys, order) they are in; ranges have about equally many rows.
+
+    All rows of a part come before those of the next, and a key's rows may lie in many parts,
+    so a large key, or many rows of one moment, is spread over tasks.  Rows equal in keys and
+    order are told apart by a hash of the row.  The parts are written to the shared work folder:
+    a part's number must not depend on which reader computes it again.
+    """
+    spark = df.sparkSession
+    ranged = df.withColumn("_tie", row_hash(df)).repartitionByRange(*[F.asc(k) for k in keys], *order, F.asc("_tie")).drop("_tie")
+    path = work_dir(spark, "ordered-parts")
+    ranged.withColumn(out, F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """``row_number()`` per key, computed inside ordered parts.
 
-    ``slice_by`` is a whole number that follows ``order``: a row of a higher slice never comes
-    before a row of a lower one (``descending`` turns that round; NULL is below every number).
-    Each slice is numbered alone and shifted by the number of rows in the slices before it,
-    which is a sum over per-slice counts.
+    Rows are numbered within their part and shifted by the number of the key's rows in the
+    parts before it, a sum over one count per key and part.
     """
-    sliced = df.withColumn("_slice", F.coalesce(slice_by.cast("bigint"), F.lit(LOWEST)))
-    by_slice = F.desc("_slice") if descending else F.asc("_slice")
-    earlier = Window.partitionBy(*keys).orderBy(by_slice).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered_parts(df, keys, order)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        parts.groupBy(*keys, "_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select(*keys, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    # Ties in the order must fall the same way as between parts.
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order, row_hash(df)))
     return (
-        sliced.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_slice"])
+        parts.withColumn("_inside", inside)
+        .join(offsets, [*keys, "_part"])
         .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_slice", "_inside", "_before")
+        .drop("_part", "_inside", "_before")
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.clock import minute_number
 from runlens.operators.latest import keep_latest
 from runlens.operators.spread import PAGE_SIZE, join_groups, left_join_spread, nest_rows, number_rows
 from runlens.plans.workflows import JOB_KEY
@@ -127,15 +126,13 @@ def workflow_issue_history(
 def issue_number(assignment: DataFrame) -> DataFrame:
     """Incidents numbered per job name, newest first (higher run id first among equals).
 
-    Numbered inside one-minute slices, so a job name with very many incidents is shared out.
+    Numbered inside ordered parts, so a job name with very many incidents is shared out.
     """
     return number_rows(
         assignment,
         ["job_name"],
         [F.desc("created_dt"), F.desc("parent_run_id")],
-        minute_number(F.col("created_dt")),
         "issue_number",
-        descending=True,
     )
 
 

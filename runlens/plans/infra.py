@@ -9,7 +9,6 @@ from runlens.functions.clock import (
     SNAPSHOT_ZONE,
     duration_text,
     local_time,
-    minute_number,
     moment,
     seconds_between,
     snapshot_day,
@@ -55,7 +54,6 @@ def cluster_uptime_list(states: DataFrame, as_of: str, ignore: str = KEPT_CLUSTE
         running_clusters(states, ignore),
         ["project"],
         [F.asc("state_start_time"), F.asc("cluster_name")],
-        minute_number(F.col("state_start_time")),
         "number",
     )
     elapsed = duration_text(seconds_between(F.col("state_start_time"), moment(as_of)))

@@ -12,6 +12,7 @@ from runlens.operators.spread import (
     left_join_spread,
     nest_rows,
     number_rows,
+    ordered_parts,
     previous_value,
     with_group_size,
 )
@@ -32,7 +33,7 @@ def table(spark, skewed):
 @pytest.mark.parametrize("descending", [False, True])
 def test_number_rows(table, skewed, rows, descending):
     order = [F.desc("at") if descending else F.asc("at"), F.asc("id")]
-    numbered = number_rows(table, ["key"], order, F.floor(F.col("at") / 10), "n", descending)
+    numbered = number_rows(table, ["key"], order, "n")
     expected = []
     for key in {r[0] for r in skewed}:
         own = [r for r in skewed if r[0] == key]
@@ -44,6 +45,24 @@ def test_number_rows(table, skewed, rows, descending):
     assert sorted(rows(numbered, "id", "n")) == sorted(expected)
 
 
+@pytest.mark.parametrize("at", [5, None])
+def test_number_rows_spreads_one_moment(spark, at):
+    """A third of all rows in one key at one moment, or without a time, lie in several parts."""
+    data = [("hot", at if i % 3 == 0 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "key string, at bigint, id bigint").repartition(5)
+    order = [F.asc("at"), F.asc("id")]
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # it joins parts as small as these
+    spark.conf.set(setting, "false")
+    try:
+        sizes = [r["count"] for r in ordered_parts(df, ["key"], order).groupBy("_part").count().collect()]
+        got = {r["id"]: r["n"] for r in number_rows(df, ["key"], order, "n").collect()}
+    finally:
+        spark.conf.set(setting, "true")
+    assert len(sizes) > 1 and max(sizes) < 2000
+    ordered = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert got == {r[2]: n for n, r in enumerate(ordered, 1)}
+
+
 @pytest.mark.parametrize("width", [1, 50, 100_000])
 def test_previous_value(table, skewed, width):
     found = {r["id"]: r["before"] for r in previous_value(table, ["key"], "id", "word", "before", width).collect()}
