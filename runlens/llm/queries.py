@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import decontamination, extraction, licences, linededup, mixing, quality_cnn, quality_rules, simhash
+from runlens.llm import decontamination, extraction, licences, linededup, mixing, quality_cnn, quality_rules, revisits, simhash
 from runlens.llm.common import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "decontamination", "extraction", "licences", "linededup", "mixing", "quality_cnn", "quality_rules", "simhash"]
+__all__ = ["CHECKS", "QUERIES", "decontamination", "extraction", "licences", "linededup", "mixing", "quality_cnn", "quality_rules", "revisits", "simhash"]
