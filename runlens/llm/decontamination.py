@@ -93,10 +93,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     item = checkpointed(item.filter(F.col("asked").isNull() | (literals >= MIN_LITERALS)))
     totals = item.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
     found = windows(docs.select(F.col(key).alias("doc_id"), "text"), "doc_id")
-    # A document's id may be NULL, so it is grouped as a struct.
+    # A document's id may be NULL, so it is grouped as a struct.  One shuffle serves all groupings
+    # below; what meets in it, the hits of one item in one document, is bounded by their lengths.
     met = found.join(sized(item), "h").select(
         F.struct("doc_id").alias("d"), "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), "asked", "found"
     )
+    met = met.repartition("d", "item_id")
     alignment = ["d", "item_id", "shift"]
     value = F.explode(F.arrays_zip("asked", "found")).alias("v")
     values = met.filter(F.col("asked").isNotNull()).select(*alignment, value).select(*alignment, "v.asked", "v.found")
