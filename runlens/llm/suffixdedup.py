@@ -156,10 +156,14 @@ def bring_contexts(length: int, gram: int, pieces: int):
                     empty = pa.nulls(int(c.sum()), pa.int32())
                     yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), _binary(view[c]), empty, empty], _names())
             if settled.any():
-                c, none = settled, int(settled.sum())
+                # Both ends follow the anchors' order, so overlapping spans of a document become one.
+                own, start, stop = ids[settled], (at - high)[settled], (at - low + length)[settled]
+                opens = np.r_[True, (own[1:] != own[:-1]) | (start[1:] > stop[:-1])]
+                own, start, stop = own[opens], start[opens], stop[np.r_[opens[1:], True]]
+                none = len(own)
                 nothing = [pa.nulls(none, pa.int32()) for _ in range(2)]
-                columns = [pa.array(ids[c]), *nothing, pa.array(ids[c]), pa.nulls(none, pa.int32()), *nothing, pa.nulls(none, pa.binary())]
-                span = [pa.array((at[c] - high[c]).astype(np.int32)), pa.array((at[c] - low[c] + length).astype(np.int32))]
+                columns = [pa.array(own), *nothing, pa.array(own), pa.nulls(none, pa.int32()), *nothing, pa.nulls(none, pa.binary())]
+                span = [pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*columns, *span], _names())
 
     return bring
@@ -313,7 +317,7 @@ def drop_repeats(
     contexts = near.mapInArrow(bring_contexts(length, gram, pieces), CONTEXT)
     sorted_rows = contexts.repartition("key").sortWithinPartitions("key", "id", "place")
     spans = sorted_rows.mapInArrow(judge_contexts(length, gram, chunk), "id bigint, start int, stop int")
-    per_doc = spans.distinct().groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found")).withColumnRenamed("id", "of")
+    per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found")).withColumnRenamed("id", "of")
     met = known.join(per_doc, known["id"] == per_doc["of"], "left").select("id", "text", "first", "found")
     done = met.mapInArrow(cut_out(length, keep_bytes), REMOVED)
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
