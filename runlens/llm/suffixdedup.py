@@ -104,13 +104,24 @@ def find_anchors(length: int, gram: int):
     return find
 
 
-CONTEXT = "key bigint, lo int, hi int, id bigint, place int, before int, after int, context binary, start int, stop int"
+CONTEXT = "key bigint, id bigint, place int, part int, context binary"
 
 
-def bring_contexts(length: int, gram: int, pieces: int):
-    """Neighbourhoods of candidate anchors; those equal to an earlier one in the batch are settled at once."""
+def pieces_of(length: int, gram: int, pieces: int) -> list[tuple[int, int]]:
+    """Ranges of the bytes a string takes before its anchor: one for each piece, and last the whole."""
     reach = length - gram
     edges = [round(i * (reach + 1) / pieces) for i in range(pieces + 1)]
+    return [*zip(edges, edges[1:], strict=False), (0, reach + 1)]
+
+
+def bring_contexts(length: int, gram: int, pieces: int):
+    """Neighbourhoods of candidate anchors; those equal to an earlier one in the batch are settled at once.
+
+    A row is a neighbourhood to judge, for the range of its ``part``, or without one a settled
+    span from ``place`` to -``part``.
+    """
+    reach = length - gram
+    ranges = pieces_of(length, gram, pieces)
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +130,11 @@ def bring_contexts(length: int, gram: int, pieces: int):
                 data = np.frombuffer(text, np.uint8)
                 padded = np.full(len(data) + reach + length, END, np.uint8)
                 padded[reach : reach + len(data)] = data
-                at = np.array([f["place"] for f in found], np.int64)
+                at = np.array(found, np.int64)
+                hot = at < 0
+                at = np.where(hot, ~at, at)
                 view = np.lib.stride_tricks.sliding_window_view(padded, reach + length)[at]
-                h = np.array([f["h"] for f in found], np.int64)
-                hot = np.array([f["hot"] for f in found], bool)
+                h = gram_hashes(data, gram)[at].view(np.int64)
                 parts.append((np.full(len(at), doc, np.int64), at, h, hot, np.minimum(at, reach), np.minimum(len(data) - at, length), view))
             if not parts:
                 continue
@@ -140,31 +152,26 @@ def bring_contexts(length: int, gram: int, pieces: int):
                     settled[i] = ids[j] != ids[i] or at[j] != at[i]
             low, high = np.maximum(0, length - after), before
             settled &= low <= high
-            rows = [(h, np.zeros(len(h), int), np.full(len(h), reach + 1), stays & ~hot)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
+            rows = [(h, pieces, stays & ~hot)]
+            for part, (lo, hi) in enumerate(ranges[:-1]):
                 if hi > lo and hot.any():
+                    # The bytes that all strings of this range share.
                     key = np.zeros(len(h), np.int64)
                     for i in np.flatnonzero(stays & hot):
                         core = view[i, reach - lo : reach + length - hi + 1].tobytes()
                         key[i] = xxhash.xxh64_intdigest(core, lo) - (1 << 63)
-                    rows.append((key, np.full(len(h), lo), np.full(len(h), hi), stays & hot))
-            for key, lo, hi, chosen in rows:
-                if chosen.any():
-                    c = chosen
-                    numbers = [key[c], lo[c].astype(np.int32), hi[c].astype(np.int32), ids[c], at[c].astype(np.int32)]
-                    numbers += [before[c].astype(np.int32), after[c].astype(np.int32)]
-                    empty = pa.nulls(int(c.sum()), pa.int32())
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), _binary(view[c]), empty, empty], _names())
+                    rows.append((key, part, stays & hot))
+            for key, part, c in rows:
+                if c.any():
+                    numbers = [key[c], ids[c], at[c].astype(np.int32), np.full(int(c.sum()), part, np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), _binary(view[c])], _names())
             if settled.any():
                 # Both ends follow the anchors' order, so overlapping spans of a document become one.
                 own, start, stop = ids[settled], (at - high)[settled], (at - low + length)[settled]
                 opens = np.r_[True, (own[1:] != own[:-1]) | (start[1:] > stop[:-1])]
                 own, start, stop = own[opens], start[opens], stop[np.r_[opens[1:], True]]
-                none = len(own)
-                nothing = [pa.nulls(none, pa.int32()) for _ in range(2)]
-                columns = [pa.array(own), *nothing, pa.array(own), pa.nulls(none, pa.int32()), *nothing, pa.nulls(none, pa.binary())]
-                span = [pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, *span], _names())
+                numbers = [own, own, start.astype(np.int32), -stop.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.nulls(len(own), pa.binary())], _names())
 
     return bring
 
@@ -209,11 +216,14 @@ def repeated(key: np.ndarray, lo, hi, before, after, context: np.ndarray, length
     return least, most
 
 
-def judge_contexts(length: int, gram: int, chunk: int):
+def judge_contexts(length: int, gram: int, pieces: int, chunk: int):
     """Spans of repeated bytes from rows in order of (key, id, place); works on whole keys, ``chunk`` rows or more at a time."""
 
+    reach = length - gram
+    ranges = np.array(pieces_of(length, gram, pieces))
+
     def spans(table: pa.Table) -> pa.RecordBatch:
-        key, lo, hi, ids, place, before, after = (table[n].to_numpy() for n in _names()[:7])
+        key, ids, place, part = (table[n].to_numpy() for n in _names()[:4])
         joined = table["context"].combine_chunks()
         if isinstance(joined, pa.ChunkedArray):
             joined = pa.concat_arrays(joined.chunks)
@@ -224,7 +234,10 @@ def judge_contexts(length: int, gram: int, chunk: int):
         same = np.r_[False, (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])][: len(key)]
         if same.any():
             same[1:] &= (context[1:] == context[:-1]).all(1)
-            key, lo, hi, ids, place, before, after, context = (x[~same] for x in (key, lo, hi, ids, place, before, after, context))
+            key, ids, place, part, context = (x[~same] for x in (key, ids, place, part, context))
+        lo, hi = ranges[part].T
+        before = reach - (context[:, :reach] == END).sum(1)
+        after = length - (context[:, reach:] == END).sum(1)
         least, most = repeated(key, lo, hi, before, after, context, length, gram)
         c = most >= 0
         columns = [ids[c], (place[c] - most[c]).astype(np.int32), (place[c] - least[c] + length).astype(np.int32)]
@@ -235,10 +248,12 @@ def judge_contexts(length: int, gram: int, chunk: int):
         held = 0
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            settled = table.filter(table["start"].is_valid())
-            if len(settled):
-                yield from settled.select(["id", "start", "stop"]).to_batches()
-                table = table.filter(table["start"].is_null())
+            part = table["part"].to_numpy()
+            if (part < 0).any():
+                settled = table.filter(pa.array(part < 0))
+                ends = [settled["id"].to_numpy(), settled["place"].to_numpy(), -settled["part"].to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["id", "start", "stop"])
+                table = table.filter(pa.array(part >= 0))
             waiting.append(table)
             held += len(table)
             if held >= chunk:
@@ -311,12 +326,13 @@ def drop_repeats(
     found = known.mapInArrow(find_anchors(length, gram), "h bigint, id bigint, place int")
     counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     wanted = found.join(counted.select(F.struct("h").alias("k"), "n"), F.struct("h") == F.col("k"))
-    candidate = F.struct("place", "h", (F.col("n") > hot).alias("hot"))
+    # Hot grams are marked by the complement of the place.
+    candidate = F.when(F.col("n") > hot, F.bitwise_not("place")).otherwise(F.col("place"))
     per_doc = wanted.groupBy("id").agg(F.collect_list(candidate).alias("found")).withColumnRenamed("id", "of")
     near = known.join(per_doc, known["id"] == per_doc["of"]).filter("first").select("id", "text", "found")
     contexts = near.mapInArrow(bring_contexts(length, gram, pieces), CONTEXT)
     sorted_rows = contexts.repartition("key").sortWithinPartitions("key", "id", "place")
-    spans = sorted_rows.mapInArrow(judge_contexts(length, gram, chunk), "id bigint, start int, stop int")
+    spans = sorted_rows.mapInArrow(judge_contexts(length, gram, pieces, chunk), "id bigint, start int, stop int")
     per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found")).withColumnRenamed("id", "of")
     met = known.join(per_doc, known["id"] == per_doc["of"], "left").select("id", "text", "first", "found")
     done = met.mapInArrow(cut_out(length, keep_bytes), REMOVED)
