@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many documents share; ``n_chars`` follows the text."""
-    cleaned = drop_lines(docs)
+    cleaned = drop_lines(docs, counts=False)
     columns = [F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cleaned.select(*columns)
 

@@ -122,6 +122,31 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
-@query("op2_decontamination")
+# Digits are left as they are here: where no benchmark item has one, no window with one can match.
+CHECK = r"""
+WITH texts AS (
+ SELECT doc_id AS id, true AS is_doc, translate(coalesce(text, ''), '_' || chr(1) || chr(2) || chr(3), '    ') AS text FROM documents
+ UNION ALL SELECT item_id, false, translate(text, '_', ' ') FROM benchmark WHERE text IS NOT NULL
+ UNION ALL SELECT item_id, false, lower(translate(text, '_', ' ')) FROM benchmark WHERE text IS NOT NULL
+), parts AS (SELECT id, is_doc, string_split(text, ' ') AS p FROM texts),
+named AS (
+ SELECT id, is_doc, list_transform(p, lambda x, i : CASE WHEN i > 1 AND regexp_matches(x, '^\p{Lu}\p{Ll}') AND regexp_matches(p[i - 1], '[\p{L}\p{N},;]$')
+  THEN chr(3) || x ELSE x END) AS p FROM parts
+), templates AS (
+ SELECT id, is_doc, string_split(regexp_replace(trim(regexp_replace(lower(array_to_string(p, ' ')), '[^\p{L}\p{N}_\x{3}]+', ' ', 'g')), '\x{3}[^ ]+', chr(3), 'g'), ' ') AS w
+ FROM named
+), windows AS (
+ SELECT id, is_doc, place, array_to_string(w[place : place + 7], ' ') AS h FROM (SELECT id, is_doc, w, unnest(range(1, len(w) - 6)) AS place FROM templates)
+), items AS (
+ SELECT DISTINCT id AS item_id, place, h FROM windows WHERE NOT is_doc AND length(h) - length(replace(h, chr(3), '')) <= 3
+), totals AS (SELECT item_id, count(DISTINCT place) AS n_windows FROM items GROUP BY item_id),
+met AS (
+ SELECT d.id AS doc_id, i.item_id, count(DISTINCT i.place) AS n_matched FROM windows d JOIN items i ON d.is_doc AND d.h = i.h GROUP BY d.id, i.item_id
+)
+SELECT doc_id, item_id, n_matched, n_windows, false AS reparameterised FROM met JOIN totals USING (item_id) WHERE n_matched >= least(6, n_windows)
+"""
+
+
+@query("op2_decontamination", CHECK)
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -88,13 +88,14 @@ def hashed_lines(docs: DataFrame, min_length: int) -> DataFrame:
 
 
 def drop_lines(
-    docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches: int = 6, fanout: int = 3, text: str = "text"
+    docs: DataFrame, min_docs: int = 10, min_length: int = 1, batches: int = 6, fanout: int = 3, text: str = "text", counts: bool = True
 ) -> DataFrame:
     """Documents without the lines whose key occurs in at least ``min_docs`` documents.
 
     A key is the line without white space at the ends and with A-Z in lower case; keys shorter
     than ``min_length`` code points always stay.  All columns of ``docs`` are kept, ``text`` is
-    replaced (NULL becomes an empty text), and ``n_lines`` (before) and ``n_dropped`` are added.
+    replaced (NULL becomes an empty text), and ``n_lines`` (before) and ``n_dropped`` are added
+    (in place of columns of these names) unless ``counts`` is false.
     Documents are told apart by ``doc_id`` and text, so a row given twice counts once and both
     rows lose the same lines.  NULL ids are allowed.  An empty table gives no rows.
     ``batches`` says in how many parts the table is taken in; it does not change the result.
@@ -120,10 +121,10 @@ def drop_lines(
     stay = F.array_except(places, F.col("_drop"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(kept)
-    columns = [kept.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
-    dropped = F.coalesce(F.size("_drop"), F.lit(0))
-    dropped = F.when(F.col("_drop").isNull(), 0).otherwise(dropped).cast("bigint")
-    return met.select(*columns, F.size("_lines").cast("bigint").alias("n_lines"), dropped.alias("n_dropped"))
+    dropped = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("bigint")
+    added = [F.size("_lines").cast("bigint").alias("n_lines"), dropped.alias("n_dropped")] if counts else []
+    own = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    return met.select(*[kept.alias(c) if c == text else F.col("_row")[c].alias(c) for c in own], *added)
 
 
 CHECK = r"""

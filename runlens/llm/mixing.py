@@ -80,7 +80,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mixed documents themselves: all columns of ``docs`` and ``copy_no`` (from 1), a row for each copy."""
+    """The mixed documents themselves: a row for each copy, numbered by ``copy_no`` (from 1; replaces a column of that name)."""
+    docs = docs.drop("copy_no")
     sizes = docs.select("source", count_words(F.col("text")).alias("size"))
     targets = checkpointed(source_targets(sizes, weights, max_repeats))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "doc_id", "source")
