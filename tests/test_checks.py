@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from entries import base
 from runlens.sources.views import BASE_TABLES, VIEWS, Views, needed, portable, with_clause
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = contract.queries()
-CHECKS = contract.oracle_sql()
+QUERIES, CHECKS = base.QUERIES, base.CHECKS
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
