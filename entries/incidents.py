@@ -9,6 +9,7 @@ from runlens.functions import clock as C
 from runlens.functions import labels as L
 from runlens.functions import predicates as P
 from runlens.operators.changes import fold_changes, upsert
+from runlens.operators.spread import PAGE_SIZE
 from runlens.plans import handover as H
 from runlens.plans import incidents as I
 from runlens.plans import records as R
@@ -17,7 +18,15 @@ from runlens.sources.tables import append_rows
 
 NOTE_JSON = "to_json({'NOTE': n.notes, 'NOTES_SKEY': n.notes_skey, 'UPDATED_DT': n.updated_dt, 'UPDATED_USER': n.updated_user})::VARCHAR"
 NOTE_ORDER = "n.notes_skey NULLS FIRST, n.notes NULLS FIRST, n.updated_dt NULLS FIRST, n.updated_user NULLS FIRST"
-NOTES = f"'[' || string_agg({NOTE_JSON}, ',' ORDER BY {NOTE_ORDER}) || ']' AS notes"
+
+
+def noted(records: str, keys: str) -> str:
+    """Notes of each key as JSON, cut into pages by place."""
+    of_key = ", ".join(f"i.{k}" for k in keys.split(", "))
+    return f"""
+SELECT {keys}, CAST((rn - 1) // {PAGE_SIZE} AS BIGINT) AS page, '[' || string_agg(note, ',' ORDER BY rn) || ']' AS notes
+FROM (SELECT {of_key}, {NOTE_JSON} AS note, row_number() OVER (PARTITION BY {of_key} ORDER BY {NOTE_ORDER}) AS rn
+ FROM {records} i LEFT JOIN notes n ON i.parent_run_id = n.parent_run_id AND i.job_name = n.job_name) p GROUP BY {keys}, page"""
 
 
 PARTS["o_found"] = "SELECT * FROM assignment WHERE regexp_matches(error, '(?i)error|failed')"
@@ -26,8 +35,7 @@ PARTS["o_found"] = "SELECT * FROM assignment WHERE regexp_matches(error, '(?i)er
 @entry(
     "error_log_search",
     f"""
-SELECT h.*, g.notes, 0::BIGINT AS page FROM (SELECT i.job_name, {NOTES} FROM o_found i
- LEFT JOIN notes n ON i.parent_run_id = n.parent_run_id AND i.job_name = n.job_name GROUP BY i.job_name) g
+SELECT h.*, g.notes, g.page FROM ({noted('o_found', 'job_name')}) g
 JOIN (SELECT job_name, {', '.join(I.SEARCH_COLUMNS)} FROM o_found
  QUALIFY row_number() OVER (PARTITION BY job_name ORDER BY created_dt DESC, parent_run_id DESC) = 1) h ON g.job_name = h.job_name""",
 )
@@ -49,8 +57,8 @@ def left_join_notes(v):
 @entry(
     "notes_json",
     f"""
-SELECT i.parent_run_id, i.job_name, 0::BIGINT AS page, max(i.status) AS status, {NOTES} FROM assignment i
-LEFT JOIN notes n ON i.parent_run_id = n.parent_run_id AND i.job_name = n.job_name GROUP BY i.parent_run_id, i.job_name""",
+SELECT g.*, s.status FROM ({noted('assignment', 'parent_run_id, job_name')}) g
+JOIN (SELECT parent_run_id, job_name, max(status) AS status FROM assignment GROUP BY 1, 2) s ON g.parent_run_id = s.parent_run_id AND g.job_name = s.job_name""",
 )
 def notes_json(v):
     return I.notes_json(I.with_notes(v.assignment, v.notes), JOB_KEY, ["status"], [F.col("n_notes_skey")])
@@ -84,8 +92,7 @@ def history_inner(v):
 @entry(
     "workflow_issue_history",
     f"""
-SELECT i.*, 0::BIGINT AS page, g.notes FROM o_history i JOIN (SELECT i.parent_run_id, i.job_name, {NOTES} FROM o_history i
- LEFT JOIN notes n ON i.parent_run_id = n.parent_run_id AND i.job_name = n.job_name GROUP BY 1, 2) g
+SELECT i.*, g.page, g.notes FROM o_history i JOIN ({noted('o_history', 'parent_run_id, job_name')}) g
  ON i.parent_run_id = g.parent_run_id AND i.job_name = g.job_name""",
 )
 def workflow_issue_history(v):

@@ -9,7 +9,7 @@ from entries.counts import COMMERCE
 from runlens.functions import labels as L
 from runlens.functions import predicates as P
 from runlens.operators.latest import keep_latest
-from runlens.operators.spread import left_join_spread
+from runlens.operators.spread import PAGE_SIZE, left_join_spread
 from runlens.plans import workflows as W
 from runlens.plans.incidents import JSON_OPTIONS
 
@@ -68,14 +68,16 @@ def nested(flat: str, extra: tuple[str, ...] = ()) -> str:
     order = ", ".join(f"{c} NULLS FIRST" for c in items if c not in MISSING_JOB)
     record = "{" + ", ".join(f"'{c}': {value[c]}" for c in items) + "}"
     header = [
-        "'KEY_NOT_FOUND' AS " + c if c in MISSING_RUN else f"max({c}) FILTER (WHERE rn = 1) AS {c}"
+        "'KEY_NOT_FOUND' AS " + c if c in MISSING_RUN else f"max(h_{c}) AS {c}"
         for c in (*W.WORKFLOW_COLUMNS, *extra)
         if c != "parent_run_id"
     ]
+    firsts = [f"first_value({c}) OVER jobs_of AS h_{c}" for c in (*W.WORKFLOW_COLUMNS, *extra) if c not in MISSING_RUN and c != "parent_run_id"]
     return f"""
-SELECT parent_run_id, 0::BIGINT AS page, {', '.join(header)}, '[' || string_agg(j, ',' ORDER BY rn) || ']' AS jobs
-FROM (SELECT *, row_number() OVER (PARTITION BY parent_run_id ORDER BY {order}) AS rn, to_json({record})::VARCHAR AS j FROM ({flat}) f) n
-GROUP BY parent_run_id"""
+SELECT parent_run_id, CAST((rn - 1) // {PAGE_SIZE} AS BIGINT) AS page, {', '.join(header)}, '[' || string_agg(j, ',' ORDER BY rn) || ']' AS jobs
+FROM (SELECT parent_run_id, row_number() OVER jobs_of AS rn, {', '.join(firsts)}, to_json({record})::VARCHAR AS j FROM ({flat}) f
+ WINDOW jobs_of AS (PARTITION BY parent_run_id ORDER BY {order})) n
+GROUP BY 1, 2"""
 
 
 def tables(v):
@@ -129,7 +131,7 @@ def issues_pending_closure(v):
 @entry("nest_jobs", status_mart(""))
 def nest_jobs(v):
     """The flat rows that nesting starts from, all columns."""
-    return W.all_workflows(*tables(v)).drop(W.JOB_ROWS)
+    return W.all_workflows(*tables(v))
 
 
 @entry("nest_jobs_exploded", f"SELECT parent_run_id, job_name, job_run_id, job_status, error FROM ({status_mart('')}) f")
@@ -151,12 +153,12 @@ def nest_jobs_by_alert(v):
 
 @entry("actionable_flat", actionable())
 def actionable_flat(v):
-    return W.actionable_workflows(*tables(v)).drop(W.JOB_ROWS)
+    return W.actionable_workflows(*tables(v))
 
 
 @entry("pending_closure_flat", PENDING)
 def pending_closure_flat(v):
-    return W.issues_pending_closure(*tables(v)).drop(W.JOB_ROWS)
+    return W.issues_pending_closure(*tables(v))
 
 
 # Predicates

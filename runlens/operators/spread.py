@@ -1,7 +1,7 @@
 """Per-key work that must not put one large key into one task.
 
 A key may hold a third of a table.  These operators split such keys: joins are written in a
-form adaptive execution can split, numbering works inside small slices of a key, and nested
+form adaptive execution can split, numbering works inside ordered parts of a key, and nested
 arrays are cut into pages of bounded size.  Keys must not be NULL, but for the left side of a
 left join.
 """
@@ -78,12 +78,16 @@ def ordered_parts(df: DataFrame, keys: list[str], order: list[Column], out: str
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """``row_number()`` per key, computed inside ordered parts.
+    """``row_number()`` per key, computed inside ordered parts."""
+    return number_parts(ordered_parts(df, keys, order), keys, order, out).drop("_part")
+
+
+def number_parts(parts: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """``row_number()`` per key over the rows of ``ordered_parts``.
 
     Rows are numbered within their part and shifted by the number of the key's rows in the
     parts before it, a sum over one count per key and part.
     """
-    parts = ordered_parts(df, keys, order)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parts.groupBy(*keys, "_part")
@@ -91,12 +95,12 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], out: str) -
         .select(*keys, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
     # Ties in the order must fall the same way as between parts.
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order, row_hash(df)))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order, row_hash(parts.drop("_part"))))
     return (
         parts.withColumn("_inside", inside)
         .join(offsets, [*keys, "_part"])
         .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_part", "_inside", "_before")
+        .drop("_inside", "_before")
     )
 
 
@@ -136,35 +140,26 @@ def nest_rows(
     header: list[Column],
     item: list[Column],
     out: str,
-    size: str,
     page_size: int = PAGE_SIZE,
-    spread_by: list[str] | None = None,
     first_by: list[Column] | None = None,
 ) -> DataFrame:
-    """One row per key and page: the header of the page's first row and a sorted array of items.
+    """One row per key and page: the header of the key's first row and a sorted array of items.
 
-    ``size`` is a column with (at least) the number of rows of the key.  A key of at most
-    ``page_size`` rows has the single page 0.  A larger one is cut into pages of about that
-    size by a hash of ``spread_by`` (by default of the item), so no task collects an unbounded
-    group, and every row is on exactly one page.  "First" means smallest ``first_by`` (by
-    default the smallest item).
+    Items are in order over the pages of a key: page n holds the items from place
+    n * ``page_size`` on, so no row of the result grows without bound.  "First" means smallest
+    ``first_by`` (by default the smallest item) and does not depend on the pages.
     """
-    pages = F.ceil(F.col(size) / page_size)
-    spread = F.xxhash64(*(spread_by or [F.struct(*item)]))
-    page = F.when(F.coalesce(F.col(size), F.lit(0)) <= page_size, F.lit(0)).otherwise(F.pmod(spread, pages))
     order = [F.struct(*first_by).alias("_order")] if first_by else []
-    packed = df.select(
-        *keys,
-        page.cast("bigint").alias("page"),
-        F.struct(*header).alias("_header"),
-        F.struct(*item).alias("_item"),
-        *order,
-    )
-    first = F.min_by("_header", "_order" if first_by else "_item")
+    packed = df.select(*keys, F.struct(*header).alias("_header"), F.struct(*item).alias("_item"), *order)
+    parts = ordered_parts(packed, keys, [F.asc("_item")])
+    heads = parts.groupBy(*keys).agg(F.min_by("_header", "_order" if first_by else "_item").alias("_header"))
+    placed = number_parts(parts.select(*keys, "_item", "_part"), keys, [F.asc("_item")], "_place")
+    page = F.floor((F.col("_place") - 1) / page_size).cast("bigint")
     # The shuffle by key and page is explicit: grouping must not inherit a layout by key alone.
-    return (
-        packed.repartition(*keys, "page")
+    pages = (
+        placed.select(*keys, page.alias("page"), "_item")
+        .repartition(*keys, "page")
         .groupBy(*keys, "page")
-        .agg(first.alias("_header"), F.sort_array(F.collect_list("_item")).alias(out))
-        .select(*keys, "page", "_header.*", out)
+        .agg(F.sort_array(F.collect_list("_item")).alias(out))
     )
+    return join_groups(pages, heads, keys).select(*keys, "page", "_header.*", out)

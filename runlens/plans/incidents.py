@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.latest import keep_latest
-from runlens.operators.spread import PAGE_SIZE, join_groups, left_join_spread, nest_rows, number_rows
+from runlens.operators.spread import PAGE_SIZE, left_join_spread, nest_rows, number_rows
 from runlens.plans.workflows import JOB_KEY
 
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
@@ -27,23 +27,9 @@ def _notes_as(prefix: str, notes: DataFrame) -> DataFrame:
     return notes.select(*JOB_KEY, *[F.col(n).alias(f"{prefix}{n}") for n in names])
 
 
-NOTE_ROWS = "note_rows"
-
-
-def with_notes(records: DataFrame, notes: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Incident records LEFT JOIN their notes; note columns are prefixed ``n_``.
-
-    ``note_rows`` is the number of rows the group of a record has in the result; by default
-    the group is the record's (run, job).
-    """
-    named = _notes_as("n_", notes)
-    if group is None or group == JOB_KEY:
-        return left_join_spread(records, named, JOB_KEY, NOTE_ROWS)
-    counts = notes.groupBy(*JOB_KEY).agg(F.count(F.lit(1)).alias("_notes"))
-    per_record = F.coalesce(F.col("_notes"), F.lit(1))
-    noted = join_groups(records.select(*dict.fromkeys([*JOB_KEY, *group])), counts, JOB_KEY, "left")
-    sizes = noted.groupBy(*group).agg(F.sum(per_record).alias(NOTE_ROWS))
-    return left_join_spread(join_groups(records, sizes, group), named, JOB_KEY)
+def with_notes(records: DataFrame, notes: DataFrame) -> DataFrame:
+    """Incident records LEFT JOIN their notes; note columns are prefixed ``n_``."""
+    return left_join_spread(records, _notes_as("n_", notes), JOB_KEY)
 
 
 def _note_item() -> list[Column]:
@@ -72,10 +58,7 @@ def notes_json(
     An incident without notes contributes one object of NULLs.  Keys with very many notes
     are cut into pages; see ``nest_rows``.
     """
-    spread = list(dict.fromkeys([*JOB_KEY, "n_notes_skey", "n_notes"]))
-    nested = nest_rows(
-        noted, keys, [F.col(c) for c in header], _note_item(), "notes", NOTE_ROWS, page_size, spread, first_by
-    )
+    nested = nest_rows(noted, keys, [F.col(c) for c in header], _note_item(), "notes", page_size, first_by)
     return nested.withColumn("notes", _notes_text("notes"))
 
 
@@ -87,7 +70,7 @@ def error_log_search(
     The columns shown are those of the job's newest incident (highest run id among equals).
     """
     found = assignment.filter(F.col("error").rlike(f"(?i){pattern}"))
-    noted = with_notes(found, notes, ["job_name"])
+    noted = with_notes(found, notes)
     age = F.timestamp_diff("MICROSECOND", F.col("created_dt"), F.lit("9999-01-01").cast("timestamp_ntz"))
     newest = [F.coalesce(age, F.lit(2**63 - 1)), F.negative("parent_run_id")]
     rows = notes_json(noted, ["job_name"], SEARCH_COLUMNS, newest, page_size)

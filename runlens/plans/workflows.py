@@ -22,11 +22,9 @@ from runlens.functions.predicates import (
     unfinished_or_missing,
 )
 from runlens.operators.latest import keep_latest
-from runlens.operators.spread import PAGE_SIZE, join_groups, left_join_spread, nest_rows, with_group_size
+from runlens.operators.spread import PAGE_SIZE, left_join_spread, nest_rows
 
 JOB_KEY = ["parent_run_id", "job_name"]
-# Column with the number of job rows of a run; NULL without any.
-JOB_ROWS = "job_rows"
 
 # SLA classes, and the columns of the nested result in order.
 SLA_TYPES = ("B", "B&I")
@@ -108,11 +106,11 @@ def with_flagged_jobs(runs: DataFrame, jobs: DataFrame, assignment: DataFrame, m
 
     Jobs are ranked and enriched on (run, job) before they meet the runs.  The rank does not
     depend on run columns, so this equals ranking after the join, and the three inputs keyed
-    by (run, job) are shuffled once each.  ``job_rows`` counts the run's flagged job runs.
+    by (run, job) are shuffled once each.
     """
     enriched = job_columns(flagged_jobs(jobs)).join(incidents(assignment, mapping), JOB_KEY, "left")
     flagged = jobs.filter(flagged_job()).select("parent_run_id")
-    return left_join_spread(run_columns(runs), enriched, ["parent_run_id"], JOB_ROWS, flagged)
+    return left_join_spread(run_columns(runs), enriched, ["parent_run_id"], keys_of=flagged)
 
 
 def _latest_status(runs: DataFrame, jobs: DataFrame, assignment: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -174,22 +172,19 @@ def issues_pending_closure(
         "assigned_user", F.coalesce("assigned_user", F.lit("Not Assigned"))
     )
     per_job = in_work.join(assignee, JOB_KEY).join(job_columns(latest_jobs(jobs)), JOB_KEY)
-    records = in_work.groupBy("parent_run_id").agg(F.count(F.lit(1)).alias(JOB_ROWS))
-    scoped = join_groups(run_columns(runs.filter(domain_scope(domains))), records, ["parent_run_id"])
+    scoped = run_columns(runs.filter(domain_scope(domains)))
     return per_job.join(scoped, ["parent_run_id"]).withColumn("alert_type", alert_type())
 
 
 def nest_jobs(flat: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """One row per run (and page, see ``nest_rows``) with the array ``jobs``.
 
-    Run columns come from the first job shown.  Columns the input lacks carry a fixed notice.
+    Run columns come from the run's first job.  Columns the input lacks carry a fixed notice.
     """
-    if JOB_ROWS not in flat.columns:
-        flat = with_group_size(flat, ["parent_run_id"], JOB_ROWS)
     extra = ["alert_type"] if "alert_type" in flat.columns else []
     header = [column_or_notice(flat, c) for c in WORKFLOW_COLUMNS if c != "parent_run_id"]
     item = [column_or_notice(flat, c) for c in JOB_COLUMNS]
-    return nest_rows(flat, ["parent_run_id"], [*header, *[F.col(c) for c in extra]], item, "jobs", JOB_ROWS, page_size)
+    return nest_rows(flat, ["parent_run_id"], [*header, *[F.col(c) for c in extra]], item, "jobs", page_size)
 
 
 def nest_jobs_by_alert(flat: DataFrame, page_size: int = PAGE_SIZE) -> dict[str, DataFrame]:

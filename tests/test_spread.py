@@ -99,28 +99,27 @@ def test_join_groups_equals_plain_join(spark, table, rows, how):
     assert rows(join_groups(left, groups, ["key"], how), *plain.columns) == rows(plain)
 
 
-def test_nest_rows_splits_only_large_keys(table, skewed):
-    sized = with_group_size(table, ["key"], "size")
-    nested = nest_rows(sized, ["key"], [F.col("word")], [F.col("id"), F.col("word")], "items", "size", page_size=200)
-    pages = nested.collect()
-    seen = sorted(item["id"] for page in pages for item in page["items"])
-    assert seen == [r[1] for r in skewed]
+@pytest.mark.parametrize("page_size", [7, 200, 20_000])
+def test_nested_pages_follow_the_items(table, skewed, page_size):
+    header, item = [F.col("word")], [F.col("id"), F.col("word")]
+    nested = nest_rows(table, ["key"], header, item, "items", page_size, [F.negative("id")])
     by_key = {}
-    for page in pages:
+    for page in sorted(nested.collect(), key=lambda p: p["page"]):
         by_key.setdefault(page["key"], []).append(page)
-        ids = [item["id"] for item in page["items"]]
-        assert ids == sorted(ids)
-        assert page["word"] == page["items"][0]["word"]
-    assert len(by_key["hot"]) > 3
-    assert max(len(page["items"]) for page in by_key["hot"]) < 400
-    assert all([p["page"] for p in found] == [0] for key, found in by_key.items() if key != "hot")
+    for key, pages in by_key.items():
+        own = [r for r in skewed if r[0] == key]
+        assert [p["page"] for p in pages] == list(range(-(-len(own) // page_size)))
+        assert [i["id"] for p in pages for i in p["items"]] == [r[1] for r in own]
+        assert all(len(p["items"]) == page_size for p in pages[:-1])
+        # The header is the key's first row by the given order, here its newest.
+        assert {p["word"] for p in pages} == {own[-1][3]}
+    assert sum(len(p) for p in by_key.values()) >= len({r[0] for r in skewed})
 
 
-def test_equal_items_are_spread_by_other_columns(spark):
-    copies = spark.range(1000).select(F.lit("k").alias("key"), "id", F.lit("same").alias("text"), F.lit(1000).alias("size"))
-    nested = nest_rows(copies, ["key"], [F.col("text")], [F.col("text")], "items", "size", 100, spread_by=["id"])
-    sizes = [len(r["items"]) for r in nested.collect()]
-    assert sum(sizes) == 1000 and max(sizes) < 250
+def test_equal_items_are_cut_into_pages(spark):
+    copies = spark.range(1000).select(F.lit("k").alias("key"), F.lit("same").alias("text"))
+    nested = nest_rows(copies, ["key"], [F.col("text")], [F.col("text")], "items", 100)
+    assert [len(r["items"]) for r in nested.collect()] == [100] * 10
 
 
 def test_keep_latest_ties(spark, rows):
@@ -182,10 +181,8 @@ def test_large_keys_are_split_in_joins(spark, rows):
         for joined in (left_join_spread(left, big, ["key"]), with_group_size(big, ["key"], "n")):
             count, plan = final_plan(joined)
             assert count == 60_000 and "skew=true" in plan
-        sized = with_group_size(big, ["key"], "n")
-        nested = nest_rows(sized, ["key"], [F.lit(1).alias("one")], [F.col("id"), F.col("text")], "items", "n", 1000)
-        _, plan = final_plan(nested)
-        assert "skew=true" in plan
+        nested = nest_rows(big, ["key"], [F.lit(1).alias("one")], [F.col("id"), F.col("text")], "items", 1000)
+        assert max(len(r["items"]) for r in nested.collect()) == 1000
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
