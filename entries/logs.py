@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from entries.base import AS_OF, PARTS, entry
 from runlens.functions import clock as C
 from runlens.functions import labels as L
-from runlens.operators.matching import match_keys, match_patterns
+from runlens.operators.matching import Pattern, Suggestion, match_keys, match_patterns
 from runlens.operators.spread import first_seen
 from runlens.plans import infra, logs, scripts
 
@@ -20,14 +20,11 @@ SUGGESTIONS = [
 ]
 
 
-def patterns(v):
-    rows = [(i, name, pattern) for i, (name, pattern) in enumerate(PATTERNS)]
-    return v.spark.createDataFrame(rows, "pattern_no int, name string, pattern string")
-
-
-def suggestion_table(v):
-    rows = [(i, key, text) for i, (key, text) in enumerate(SUGGESTIONS)]
-    return v.spark.createDataFrame(rows, "suggestion_no int, error_key string, suggestion string")
+BANNER = "managed node is ready"
+TABLE = [Pattern(i, *p) for i, p in enumerate(PATTERNS)]
+ADVICE_TABLE = [Suggestion(i, *s) for i, s in enumerate(SUGGESTIONS)]
+# More patterns than one would write by hand; most match nothing.
+MANY = [(f"part {i}", f"part-{i} .*") for i in range(250)]
 
 
 def values(rows) -> str:
@@ -47,11 +44,14 @@ PARTS["o_suggested"] = f"""
 SELECT run_id, suggestion, min(suggestion_no) AS suggestion_no FROM o_errors, {values(SUGGESTIONS)} s(suggestion_no, error_key, suggestion)
 WHERE contains(error_text, error_key) GROUP BY 1, 2"""
 PARTS["o_urls"] = "SELECT run_id, line_no, unnest(regexp_extract_all(line, '(?i)tracking URL+.*', 0)) AS url FROM job_log"
-PARTS["o_managed"] = "SELECT DISTINCT run_id FROM job_log WHERE contains(line, 'Welcome to the managed edge node')"
+PARTS["o_managed"] = "SELECT DISTINCT run_id FROM job_log WHERE contains(line, 'managed node is ready')"
 NAMED = "string_split(string_split(url, '-m.c.')[1], '//')[-1] AS cluster, coalesce(string_split(string_split(url, '-m.c.')[2], '.')[1], '') AS project"
 PARTS["o_managed_cluster"] = f"""
 SELECT run_id, line_no, url, {NAMED} FROM o_urls WHERE run_id IN (SELECT run_id FROM o_managed)
 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY line_no) = 1"""
+PARTS["o_last_cluster"] = f"""
+SELECT run_id, line_no, url, {NAMED} FROM o_urls WHERE run_id IN (SELECT run_id FROM o_managed)
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) = 1"""
 
 
 # Headers and text
@@ -109,7 +109,7 @@ SELECT * FROM o_managed_cluster UNION ALL
 SELECT run_id, line_no, url, {NAMED} FROM o_urls WHERE run_id NOT IN (SELECT run_id FROM o_managed) AND contains(url, '-m.c.proj1')""",
 )
 def cluster_details(v):
-    return logs.cluster_details(log(v), "proj1")
+    return logs.cluster_details(log(v), "proj1", BANNER)
 
 
 @entry(
@@ -132,7 +132,16 @@ def first_match(v):
 
 @entry("pattern_match_join", "SELECT run_id, line_no, pattern_no, name, hit FROM o_matches")
 def pattern_match_join(v):
-    return match_patterns(log(v), patterns(v)).drop("line")
+    return match_patterns(log(v), TABLE).drop("line")
+
+
+@entry(
+    "pattern_match_many",
+    f"""
+SELECT run_id, line_no, pattern_no, name, unnest(regexp_extract_all(line, pattern, 0)) AS hit FROM job_log, {values(MANY)} p(pattern_no, name, pattern)""",
+)
+def pattern_match_many(v):
+    return match_patterns(log(v), [Pattern(i, *p) for i, p in enumerate(MANY)]).drop("line")
 
 
 @entry(
@@ -141,7 +150,7 @@ def pattern_match_join(v):
 SELECT run_id, line_no, suggestion_no, suggestion FROM job_log, {values(SUGGESTIONS)} s(suggestion_no, error_key, suggestion) WHERE contains(line, error_key)""",
 )
 def suggestion_join(v):
-    return match_keys(log(v), suggestion_table(v), "line").select("run_id", "line_no", "suggestion_no", "suggestion")
+    return match_keys(log(v), ADVICE_TABLE, "line").select("run_id", "line_no", "suggestion_no", "suggestion")
 
 
 @entry("dedup_keep_first", "SELECT run_id, line, min(line_no) AS line_no FROM job_log GROUP BY 1, 2")
@@ -151,11 +160,11 @@ def dedup_keep_first(v):
 
 @entry("typed_errors", "SELECT * FROM o_errors")
 def typed_errors(v):
-    return logs.typed_errors(log(v), patterns(v))
+    return logs.typed_errors(log(v), TABLE)
 
 
 def suggested(v):
-    return logs.suggestions(logs.typed_errors(log(v), patterns(v)), suggestion_table(v))
+    return logs.suggestions(logs.distinct_errors(log(v), TABLE), ADVICE_TABLE)
 
 
 @entry("suggestions", "SELECT * FROM o_suggested")
@@ -167,10 +176,10 @@ def suggestions(v):
     "suggestion_fill",
     """
 SELECT s.run_id, s.suggestion_no, c.cluster, c.project, replace(replace(s.suggestion, '$$$gcp', c.project), '$$$CN', c.cluster) AS suggestion
-FROM o_suggested s JOIN o_managed_cluster c ON s.run_id = c.run_id WHERE contains(s.suggestion, '$$$gcp')""",
+FROM o_suggested s JOIN o_last_cluster c ON s.run_id = c.run_id WHERE contains(s.suggestion, '$$$gcp')""",
 )
 def suggestion_fill(v):
-    return logs.suggestion_fill(suggested(v), log(v))
+    return logs.suggestion_fill(suggested(v), log(v), BANNER)
 
 
 @entry("generic_suggestions", "SELECT * FROM o_suggested WHERE NOT contains(suggestion, '$$$gcp')")
@@ -225,7 +234,7 @@ def run_status_card(v):
 @entry(
     "app_id_to_run",
     """
-WITH wanted AS (SELECT DISTINCT trim(line) AS app_id FROM app_request WHERE NOT contains(line, '#')),
+WITH wanted AS (SELECT DISTINCT unnest(regexp_extract_all(line, '\\S+')) AS app_id FROM app_request WHERE NOT contains(line, '#')),
  mention AS (SELECT path, unnest(regexp_extract_all(line, 'application_\\d+_\\d+', 0)) AS app_id FROM agent_file),
  first_file AS (SELECT app_id, min(path) AS path FROM mention GROUP BY 1),
  job_line AS (SELECT path, string_split(line, ' ')[3] AS run_id FROM agent_file WHERE line_no <= 10 AND contains(line, 'JOB')

@@ -1,75 +1,58 @@
-"""Matching lines against a table of patterns or keys.
+"""Matching lines against configured patterns or keys.
 
-Such tables are configuration and normally small.  A checked-small table becomes literal
-expressions: one pass over the lines, every regular expression compiled once, no join.
-A larger one is joined slice by slice, each slice no larger than the checked size.
+Patterns and keys are configuration, given as lists like any other parameter.  They become
+literal expressions: the lines are read once, without a join, and every regular expression is
+compiled once.  One combined expression first drops the lines that match nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.sizes import rows_if_small
 
-INLINE_LIMIT = 200
+class Pattern(NamedTuple):
+    """A regular expression without groups, its number in the report order and its name."""
 
+    pattern_no: int
+    name: str
+    pattern: str
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
 
+class Suggestion(NamedTuple):
+    """Advice for errors that contain a key text."""
 
-def _each(
-    lines: DataFrame, table: DataFrame, columns: tuple[str, str, str], test: Callable[[Column], Column], limit: int
-) -> DataFrame:
-    """Every line with every table row, one output row per element of the array ``test`` gives, as ``hit``.
+    suggestion_no: int
+    error_key: str
+    suggestion: str
 
-    ``columns`` name the table's number (unique, from 0), the text to test, and a column to keep.
-    """
-    number, text, kept = columns
-    rows = rows_if_small(table.select(*columns), limit)
-    if rows is not None:
-        if not rows:
-            return lines.select("*", F.lit(0).alias(number), F.lit("").alias(kept), F.lit("").alias("hit")).limit(0)
-        found = [
-            F.struct(F.lit(r[number]).alias(number), F.lit(r[kept]).alias(kept), test(F.lit(r[text])).alias("_hits"))
-            for r in rows
-        ]
-        candidates = lines.withColumn("_found", F.explode(F.array(*found))).select("*", "_found.*")
-        return candidates.withColumn("hit", F.explode("_hits")).drop("_found", "_hits")
 
-    # Too large to inline: slices of at most ``limit`` numbers, so each broadcast is bounded.
-    last = table.agg(F.max(number)).first()[0]
-    result = None
-    for start in range(0, last + 1, limit):
-        part = table.select(*columns).filter(F.col(number).between(start, start + limit - 1))
-        pairs = lines.join(F.broadcast(part), F.size(test(F.col(text))) > 0)
-        pairs = pairs.withColumn("hit", F.explode(test(F.col(text)))).drop(text)
-        result = pairs if result is None else result.unionByName(pairs)
-    return result
+def match_patterns(lines: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+    """All matches of all patterns: the line's columns, ``pattern_no``, ``name`` and the matched text ``hit``."""
+    if not patterns:
+        return lines.select("*", F.lit(0).alias("pattern_no"), F.lit("").alias("name"), F.lit("").alias("hit")).filter(F.lit(False))
+    any_pattern = "|".join(f"(?:{p.pattern})" for p in patterns)
 
+    def matches(p: Pattern) -> Column:
+        hits = F.regexp_extract_all("line", F.lit(p.pattern), F.lit(0))
+        return F.struct(F.lit(p.pattern_no).cast("int").alias("pattern_no"), F.lit(p.name).alias("name"), hits.alias("_hits"))
 
-def match_patterns(lines: DataFrame, patterns: DataFrame, limit: int = INLINE_LIMIT) -> DataFrame:
-    """All matches of all patterns: the line's columns, ``pattern_no``, ``name`` and the matched text ``hit``.
+    found = F.filter(F.array(*[matches(p) for p in patterns]), lambda m: F.size(m["_hits"]) > 0)
+    kept = lines.filter(F.col("line").rlike(any_pattern)).withColumn("_found", F.explode(found))
+    return kept.select(*lines.columns, "_found.*").withColumn("hit", F.explode("_hits")).drop("_hits")
 
-    ``patterns`` has ``pattern_no`` (unique, from 0), ``name`` and ``pattern`` (without groups).
-    """
 
-    def matches(pattern: Column) -> Column:
-        return F.regexp_extract_all("line", pattern, F.lit(0))
+def match_keys(errors: DataFrame, suggestions: Sequence[Suggestion], text: str) -> DataFrame:
+    """All suggestions whose key text occurs in the error: the error's columns, ``suggestion_no``, ``suggestion``."""
+    if not suggestions:
+        return errors.select("*", F.lit(0).alias("suggestion_no"), F.lit("").alias("suggestion")).filter(F.lit(False))
 
-    return _each(lines, patterns, ("pattern_no", "pattern", "name"), matches, limit)
+    def fitting(s: Suggestion) -> Column:
+        advice = F.struct(F.lit(s.suggestion_no).cast("int").alias("suggestion_no"), F.lit(s.suggestion).alias("suggestion"))
+        return F.when(F.contains(F.col(text), F.lit(s.error_key)), advice)
 
-
-def match_keys(errors: DataFrame, suggestions: DataFrame, text: str, limit: int = INLINE_LIMIT) -> DataFrame:
-    """All suggestions whose key text occurs in the error: the error's columns, ``suggestion_no``, ``suggestion``.
-
-    ``suggestions`` has ``suggestion_no`` (unique, from 0), ``error_key`` and ``suggestion``.
-    """
-
-    def contained(key: Column) -> Column:
-        return F.when(F.contains(F.col(text), key), F.array(key)).otherwise(_none())
-
-    return _each(errors, suggestions, ("suggestion_no", "error_key", "suggestion"), contained, limit).drop("hit")
+    found = F.array_compact(F.array(*[fitting(s) for s in suggestions]))
+    return errors.withColumn("_found", F.explode(found)).select(*errors.columns, "_found.*")

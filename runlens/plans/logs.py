@@ -7,6 +7,8 @@ of a run, so one run may hold a large share of all lines.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,9 @@ from runlens.functions import text as T
 from runlens.functions.clock import duration_text
 from runlens.functions.labels import last_name_part, runtime_advice
 from runlens.operators.latest import keep_latest
-from runlens.operators.matching import match_keys, match_patterns
+from runlens.operators.matching import Pattern, Suggestion, match_keys, match_patterns
 from runlens.operators.spread import first_seen, join_groups, previous_value
 
-BANNER = "Welcome to the managed edge node"
 PROJECT_SLOT = "$$$gcp"
 CLUSTER_SLOT = "$$$CN"
 LINES_PER_PART = 10_000
@@ -69,25 +70,31 @@ def _named(urls: DataFrame) -> DataFrame:
     return urls.withColumn("cluster", T.cluster_of(F.col("url"))).withColumn("project", T.project_of(F.col("url")))
 
 
-def _first_urls(log: DataFrame, banner: str) -> DataFrame:
-    """Per run, from one pass: whether it is managed (its log has the banner), and its first tracking URL."""
+def _url_ends(log: DataFrame, banner: str) -> DataFrame:
+    """Per run, from one pass: whether it is managed (its log has the banner), and its first and last tracking URL."""
     url = F.regexp_extract("line", T.TRACKING_URL, 0)
-    first = F.min(F.when(url != "", F.struct(F.col("line_no"), url.alias("url"))))
+    place = F.when(url != "", F.struct(F.col("line_no"), url.alias("url")))
     noted = log.filter(F.col("line").rlike(T.TRACKING_URL) | F.col("line").contains(banner))
-    return noted.groupBy("run_id").agg(F.bool_or(F.col("line").contains(banner)).alias("managed"), first.alias("first"))
+    managed = F.bool_or(F.col("line").contains(banner)).alias("managed")
+    return noted.groupBy("run_id").agg(managed, F.min(place).alias("first"), F.max(place).alias("last"))
+
 
+def managed_cluster(log: DataFrame, banner: str, url: str = "first") -> DataFrame:
+    """Cluster and project of each managed run, from its first or last tracking URL.
 
-def managed_cluster(log: DataFrame, banner: str = BANNER) -> DataFrame:
-    """Cluster and project of each managed run, from its first tracking URL."""
-    managed = _first_urls(log, banner).filter(F.col("managed") & F.col("first").isNotNull())
-    return _named(managed.select("run_id", "first.*"))
+    ``banner`` is the text by which the log of a managed run is known.
+    """
+    managed = _url_ends(log, banner).filter(F.col("managed") & F.col(url).isNotNull())
+    return _named(managed.select("run_id", f"{url}.*"))
 
 
-def cluster_details(log: DataFrame, project_marker: str, banner: str = BANNER) -> DataFrame:
+def cluster_details(log: DataFrame, project_marker: str, banner: str) -> DataFrame:
     """Cluster and project per run: the first URL of managed runs, every marked URL of the others."""
-    marked = tracking_lines(log).filter(F.col("url").contains(T.HOST_MARK + project_marker))
-    unmanaged = _first_urls(log, banner).filter(~F.col("managed")).select("run_id")
-    return managed_cluster(log, banner).unionByName(_named(join_groups(marked, unmanaged, ["run_id"])))
+    runs = _url_ends(log, banner).select("run_id", "managed", F.col("first.line_no").alias("_first"))
+    met = join_groups(tracking_lines(log), runs, ["run_id"])
+    marked = F.col("url").contains(T.HOST_MARK + project_marker)
+    wanted = F.when(F.col("managed"), F.col("line_no") == F.col("_first")).otherwise(marked)
+    return _named(met.filter(wanted).select("run_id", "line_no", "url"))
 
 
 def changed_lines(lines: DataFrame, text: str = "url") -> DataFrame:
@@ -96,40 +103,41 @@ def changed_lines(lines: DataFrame, text: str = "url") -> DataFrame:
     return before.filter(~F.col(text).eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def typed_matches(log: DataFrame, patterns: DataFrame) -> DataFrame:
+def typed_matches(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     """Pattern matches except those that mention WARN or INFO."""
     return match_patterns(log, patterns).filter(~F.col("hit").contains("WARN") & ~F.col("hit").contains("INFO"))
 
 
-def typed_errors(log: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Distinct error texts per run with the place first seen, by pattern and then line.
-
-    ``match_count`` is the number of distinct errors of the run: the reports show
-    the list only when it is above one.
-    """
+def distinct_errors(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+    """Distinct error texts per run with the place first seen, by pattern and then line."""
     matches = typed_matches(log.filter(F.col("run_id").isNotNull()), patterns)
     found = first_seen(matches, ["run_id", "hit"], ["pattern_no", "line_no"], "first")
-    errors = found.select(
+    return found.select(
         "run_id",
         F.col("hit").alias("error_text"),
         F.col("first.pattern_no").alias("pattern_no"),
         F.col("first.line_no").alias("line_no"),
     )
+
+
+def typed_errors(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+    """Distinct errors with ``match_count``, their number per run: the reports show the list only when it is above one."""
+    errors = distinct_errors(log, patterns)
     # Counting a column of the result keeps both inputs of the join alike, so the matching runs once.
     sizes = errors.groupBy("run_id").agg(F.count("line_no").alias("match_count"))
     return join_groups(errors, sizes, ["run_id"])
 
 
-def suggestions(errors: DataFrame, table: DataFrame, text: str = "error_text") -> DataFrame:
+def suggestions(errors: DataFrame, table: Sequence[Suggestion], text: str = "error_text") -> DataFrame:
     """Distinct suggestions per run; ``suggestion_no`` is the first table entry that gave the text."""
     matches = match_keys(errors, table, text)
     return matches.groupBy("run_id", "suggestion").agg(F.min("suggestion_no").alias("suggestion_no"))
 
 
-def suggestion_fill(suggested: DataFrame, log: DataFrame, banner: str = BANNER) -> DataFrame:
-    """Suggestions with a project slot, filled in for managed runs."""
+def suggestion_fill(suggested: DataFrame, log: DataFrame, banner: str) -> DataFrame:
+    """Suggestions with a project slot, filled in for managed runs from their last tracking URL."""
     slots = suggested.filter(F.col("suggestion").contains(PROJECT_SLOT))
-    filled = slots.join(managed_cluster(log, banner).select("run_id", "cluster", "project"), ["run_id"])
+    filled = slots.join(managed_cluster(log, banner, "last").select("run_id", "cluster", "project"), ["run_id"])
     text = F.replace(F.replace("suggestion", F.lit(PROJECT_SLOT), F.col("project")), F.lit(CLUSTER_SLOT), F.col("cluster"))
     return filled.withColumn("suggestion", text)
 
@@ -184,10 +192,12 @@ JOB_LINE_LIMIT = 10
 def runs_of_applications(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Run id of each requested application: third word of the job line of the first file that mentions it.
 
-    Request lines with ``#`` are comments.  Files are ordered by path.  Ids are compared as
-    whole ids.  An application without a file has NULL in ``path`` and ``run_id``.
+    Every word of a request line is an id; lines with ``#`` are comments.  Files are ordered by
+    path.  Ids are compared as whole ids.  An application without a file has NULL in ``path``
+    and ``run_id``.
     """
-    wanted = requests.filter(~F.col("line").contains("#")).select(F.trim("line").alias("app_id")).distinct()
+    words = F.explode(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))).alias("app_id")
+    wanted = requests.filter(~F.col("line").contains("#")).select(words).distinct()
     mentions = files.select("path", F.explode(F.regexp_extract_all("line", F.lit(APPLICATION_ID), F.lit(0))).alias("app_id"))
     asked = join_groups(mentions, wanted, ["app_id"], "left_semi")
     first_file = asked.groupBy("app_id").agg(F.min("path").alias("path"))

@@ -15,7 +15,6 @@ from runlens.functions import text as T
 from runlens.operators.spread import join_groups, left_join_spread
 
 SKIPPED_ASSIGNMENT = "SA_AUTH_FILE"
-NAME_TOKEN = r"&[A-Za-z0-9_]+#|[A-Za-z0-9_]+"
 USER_SLOT = "$USER"
 
 
@@ -94,15 +93,26 @@ def with_values(lines: DataFrame, variables: DataFrame, names: Column) -> DataFr
     return valued.groupBy(*lines.columns).agg(F.map_from_entries(F.collect_list(pair)).alias("vals"))
 
 
-def substitute_regex(lines: DataFrame, variables: DataFrame, token: str = NAME_TOKEN) -> DataFrame:
-    """Replace variable names anywhere in a line in one pass.
+def with_known_names(lines: DataFrame, variables: DataFrame) -> DataFrame:
+    """Lines with ``vals``, a map of the job's variable names that stand anywhere in the line to their values.
 
-    ``token`` is the regular expression of a variable name; tokens without a value stay.
+    Names meet lines on their first two characters (a name of one character on that), an equi
+    join, and are then looked for in the line.
     """
     line = F.col("line")
-    names = F.regexp_extract_all(line, F.lit(token), F.lit(0))
-    valued = with_values(lines, variables, names)
-    return valued.withColumn("replaced", T.replace_each(line, token, F.col("vals"))).drop("vals")
+    places = F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1)))
+    starts = F.array_union(F.transform(places, lambda i: F.substr(line, i, F.lit(2))), F.transform(places, lambda i: F.substr(line, i, F.lit(1))))
+    named = variables.filter("key <> ''").select("job_id", F.left("key", F.lit(2)).alias("start"), F.struct("key", "value").alias("pair"))
+    asked = lines.select(*lines.columns, F.explode(starts).alias("start"))
+    met = asked.join(named, ["job_id", "start"], "left")
+    found = F.when(line.contains(F.col("pair.key")) & F.col("pair.value").isNotNull(), F.col("pair"))
+    return met.groupBy(*lines.columns).agg(F.map_from_entries(F.collect_set(found)).alias("vals"))
+
+
+def substitute_regex(lines: DataFrame, variables: DataFrame) -> DataFrame:
+    """Replace variable names wherever they stand in a line, in one pass from the left, longer names first."""
+    valued = with_known_names(lines, variables)
+    return valued.withColumn("replaced", T.replace_names(F.col("line"), F.col("vals"))).drop("vals")
 
 
 def substitute_tokens(lines: DataFrame, variables: DataFrame) -> DataFrame:
@@ -120,10 +130,10 @@ def substitute_source_path(lines: DataFrame, variables: DataFrame) -> DataFrame:
     return valued.withColumn("replaced", T.replace_path(line, F.col("vals"))).drop("vals")
 
 
-def shell_scripts_with_values(lines: DataFrame, variables: DataFrame, token: str = NAME_TOKEN) -> DataFrame:
+def shell_scripts_with_values(lines: DataFrame, variables: DataFrame) -> DataFrame:
     """Shell lines beside their substituted form; a job without shell lines has one NA row."""
     shell = command_lines(lines).filter("command = 'shell'").drop("command")
-    replaced = substitute_regex(shell, variables, token).select("job_id", "line_no", "line", "replaced")
+    replaced = substitute_regex(shell, variables).select("job_id", "line_no", "line", "replaced")
     listed = left_join_spread(lines.select("job_id").distinct(), replaced, ["job_id"])
     return listed.fillna("NA", ["line", "replaced"])
 

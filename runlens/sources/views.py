@@ -132,7 +132,7 @@ SELECT event_id AS line_no, user_id AS run_id, ts,
   WHEN 'view' THEN 'diagnostics: ' || CASE WHEN event_id % 2 = 0 THEN 'N/A' ELSE 'container ' || CAST(event_id % 9 AS STRING) || ' killed' END
   WHEN 'click' THEN 'tracking URL: https://cl' || CAST(user_id % 7 AS STRING) || '-m.c.proj' || CAST(user_id % 3 AS STRING) || '.internal:8088/proxy/application_1_' || CAST(event_id % 2 AS STRING)
   WHEN 'purchase' THEN 'input part-' || CAST(event_id % 50 AS STRING) || ' is not available'
-  ELSE CASE WHEN event_id % 5 = 0 THEN 'Welcome to the managed edge node' ELSE CAST(event_id % 6 AS STRING) || ' rules failed!' END END AS line
+  ELSE CASE WHEN event_id % 5 = 0 THEN 'managed node is ready' ELSE CAST(event_id % 6 AS STRING) || ' rules failed!' END END AS line
 FROM events""",
     "process_tab": """
 SELECT p_partkey % 49 AS job_id, p_partkey AS line_no,
@@ -155,7 +155,8 @@ SELECT 'OUT' || CAST(l_orderkey AS STRING) || '.TXT' AS path, CAST(l_linenumber
 FROM lineitem""",
     "app_request": """
 SELECT p_partkey AS line_no, CASE p_partkey % 10 WHEN 0 THEN '# application_1_' || CAST(p_partkey AS STRING)
-  WHEN 1 THEN 'application_9_' || CAST(p_partkey AS STRING) ELSE 'application_1_' || CAST(p_partkey AS STRING) END AS line
+  WHEN 1 THEN 'application_9_' || CAST(p_partkey AS STRING) WHEN 2 THEN '  ' WHEN 3 THEN 'application_1_' || CAST(p_partkey AS STRING) || '  application_8_' || CAST(p_partkey AS STRING)
+  ELSE 'application_1_' || CAST(p_partkey AS STRING) END AS line
 FROM part""",
     "cluster_state": """
 SELECT 'proj' || CAST(s_nationkey % 5 AS STRING) AS project,

@@ -6,11 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from runlens.operators.matching import match_keys, match_patterns
+from runlens.operators.matching import Pattern, Suggestion, match_keys, match_patterns
 from runlens.plans import logs, scripts
 
-PATTERN = "pattern_no int, name string, pattern string"
-SUGGESTION = "suggestion_no int, error_key string, suggestion string"
 
 
 def log_of(spark, *runs):
@@ -30,25 +28,38 @@ def errors_log(spark):
     return log_of(spark, ["WARN error a", "Error b", "5 rules failed!!", "error b", "Error b", "INFO: Error c"], ["fine"], ["error only"])
 
 
-@pytest.fixture
-def patterns(spark):
-    return spark.createDataFrame([(0, "generic", "(?i)error.*"), (1, "dq", "(?i).*rules failed!+.*")], PATTERN)
+PATTERNS = [Pattern(0, "generic", "(?i)error.*"), Pattern(1, "dq", "(?i).*rules failed!+.*")]
+BANNER = "managed node is ready"
+
+
+@pytest.mark.parametrize("more", [0, 300])
+def test_matching_by_brute_force(errors_log, rows, more):
+    """One program for tables of any size; numbers may be negative and need not follow each other."""
+    table = [*PATTERNS, Pattern(-7, "b", "b"), *[Pattern(1000 + 3 * i, f"n{i}", f"nothing {i}") for i in range(more)]]
+    found = match_patterns(errors_log, table)
+    expected = [(r["run_id"], r["line_no"], p.pattern_no, h) for r in errors_log.collect() for p in table for h in re.findall(p.pattern, r["line"])]
+    assert sorted(rows(found, "run_id", "line_no", "pattern_no", "hit")) == sorted(expected)
+    assert dict(found.dtypes)["pattern_no"] == "int"
+
+
+def test_no_patterns(errors_log):
+    assert match_patterns(errors_log, []).count() == 0 and match_keys(errors_log, [], "line").count() == 0
+    assert match_patterns(errors_log, []).dtypes == match_patterns(errors_log, PATTERNS).dtypes
 
 
-def test_inline_and_joined_matching_agree(errors_log, patterns, rows):
-    inline = match_patterns(errors_log, patterns)
-    joined = match_patterns(errors_log, patterns, limit=1)
-    columns = ["run_id", "line_no", "pattern_no", "name", "hit"]
-    assert rows(inline, *columns) == rows(joined, *columns)
-    assert len(rows(inline)) == 7
+def scans(df):
+    return str(df._jdf.queryExecution().optimizedPlan()).count("LogicalRDD")
 
 
-def test_no_patterns(spark, errors_log):
-    assert match_patterns(errors_log, spark.createDataFrame([], PATTERN)).count() == 0
+def test_the_log_is_read_once(errors_log):
+    assert scans(logs.distinct_errors(errors_log, PATTERNS)) == 1
+    assert scans(logs.suggestions(logs.distinct_errors(errors_log, PATTERNS), [Suggestion(0, "a", "b")])) == 1
+    # Once for the runs and once for their lines.
+    assert scans(logs.cluster_details(errors_log, "p", BANNER)) == 2
 
 
-def test_errors_are_distinct_and_in_first_seen_order(errors_log, patterns, rows):
-    found = rows(logs.typed_errors(errors_log, patterns), "run_id", "pattern_no", "line_no", "error_text", "match_count")
+def test_errors_are_distinct_and_in_first_seen_order(errors_log, rows):
+    found = rows(logs.typed_errors(errors_log, PATTERNS), "run_id", "pattern_no", "line_no", "error_text", "match_count")
     assert found == [
         (0, 0, 0, "error a", 5), (0, 0, 1, "Error b", 5), (0, 0, 3, "error b", 5), (0, 0, 5, "Error c", 5),
         (0, 1, 2, "5 rules failed!!", 5), (2, 0, 0, "error only", 1),
@@ -57,26 +68,26 @@ def test_errors_are_distinct_and_in_first_seen_order(errors_log, patterns, rows)
 
 def test_matches_that_mention_warn_or_info_are_dropped(spark, rows):
     log = log_of(spark, ["WARN error", "warn error", "INFO error", "error"])
-    whole = spark.createDataFrame([(0, "generic", "(?i).*error.*")], PATTERN)
+    whole = [Pattern(0, "generic", "(?i).*error.*")]
     assert rows(logs.typed_errors(log, whole), "error_text") == [("error",), ("warn error",)]
 
 
 def test_suggestions_and_slots(spark, rows):
     log = log_of(
         spark,
-        ["Welcome to the managed edge node", "tracking URL: https://c1-m.c.p1.x:80/a", "Tracking URL: https://c2-m.c.p2.x", "disk error"],
+        [BANNER, "tracking URL: https://c1-m.c.p1.x:80/a", "Tracking URL: https://c2-m.c.p2.x", "disk error"],
         ["tracking URL: https://c3-m.c.p3.x", "tracking URL: https://other", "disk error"],
     )
-    errors = logs.typed_errors(log, spark.createDataFrame([(0, "e", ".*error.*")], PATTERN))
-    table = spark.createDataFrame([(0, "disk", "free $$$CN in $$$gcp"), (1, "disk", "call"), (2, "err", "call")], SUGGESTION)
+    errors = logs.typed_errors(log, [Pattern(0, "e", ".*error.*")])
+    table = [Suggestion(0, "disk", "free $$$CN in $$$gcp"), Suggestion(1, "disk", "call"), Suggestion(2, "err", "call")]
     suggested = logs.suggestions(errors, table)
     assert rows(suggested, "run_id", "suggestion_no", "suggestion") == [
         (0, 0, "free $$$CN in $$$gcp"), (0, 1, "call"), (1, 0, "free $$$CN in $$$gcp"), (1, 1, "call"),
     ]
-    assert rows(logs.suggestion_fill(suggested, log), "run_id", "suggestion") == [(0, "free c1 in p1")]
+    assert rows(logs.suggestion_fill(suggested, log, BANNER), "run_id", "suggestion") == [(0, "free c2 in p2")]
     assert rows(logs.generic_suggestions(suggested), "run_id") == [(0,), (1,)]
-    assert rows(logs.cluster_details(log, "p3"), "run_id", "cluster", "project") == [(0, "c1", "p1"), (1, "c3", "p3")]
-    assert rows(match_keys(errors, table, "error_text", limit=1), "run_id", "suggestion_no") == [
+    assert rows(logs.cluster_details(log, "p3", BANNER), "run_id", "cluster", "project") == [(0, "c1", "p1"), (1, "c3", "p3")]
+    assert rows(match_keys(errors, table, "error_text"), "run_id", "suggestion_no") == [
         (r, n) for r in (0, 1) for n in (0, 1, 2)
     ]
 
@@ -136,16 +147,29 @@ def one_pass(line, values):
     return re.sub("|".join(map(re.escape, values)), lambda m: values[m.group()], line)
 
 
+def test_names_stand_anywhere(spark):
+    values = {"a.b": "1", "x-y": "2", "REGION": "east", "REG": "no", "q": "Q", "\\E": "e", "": "never", "none": None}
+    lines = ["a.b x-y aXb", "MYREGION/REG", "$q \\E none"]
+    found = scripts.substitute_regex(script_of(spark, lines), variables_of(spark, values)).orderBy("line_no").collect()
+    assert [r["replaced"] for r in found] == ["1 2 aXb", "MYeast/no", "$Q e none"]
+
+
+def test_request_words(spark, rows):
+    wanted = spark.createDataFrame([(1, " application_1_1  application_1_2 "), (2, "   "), (3, "# application_1_3"), (4, "")], "line_no bigint, line string")
+    files = spark.createDataFrame([("f", 1, "JOB x 77"), ("f", 2, "application_1_2")], "path string, line_no bigint, line string")
+    assert rows(logs.runs_of_applications(wanted, files), "app_id", "run_id") == [("application_1_1", None), ("application_1_2", "77")]
+
+
 def test_substitution_is_one_pass(spark):
     values = {"&A#": "&B#", "&B#": "two", "&AB#": "x&A#"}
     lines = ["run &A# &B#", "&A#&B#&AB#", "none", "", "&C# stays", "é &A# ü"]
-    found = scripts.substitute_regex(script_of(spark, lines), variables_of(spark, values), "&[A-Z]+#").collect()
+    found = scripts.substitute_regex(script_of(spark, lines), variables_of(spark, values)).collect()
     assert {r["line"]: r["replaced"] for r in found} == {line: one_pass(line, values) for line in lines}
 
 
 def test_variables_of_another_job_are_not_used(spark, rows):
     lines = script_of(spark, ["&A#"])
-    assert rows(scripts.substitute_regex(lines, variables_of(spark, {"&A#": "x"}, job=2), "&A#"), "replaced") == [("&A#",)]
+    assert rows(scripts.substitute_regex(lines, variables_of(spark, {"&A#": "x"}, job=2)), "replaced") == [("&A#",)]
 
 
 def test_word_substitution_fails_as_a_whole(spark):
