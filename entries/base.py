@@ -36,8 +36,8 @@ FROM process_tab t JOIN run_header h ON t.job_id = h.job_id""",
 SELECT *, string_split(login, '.')[-1] AS service_id FROM run_header
 QUALIFY row_number() OVER (PARTITION BY job_name ORDER BY last_modified DESC, run_id DESC) = 1""",
     "o_usage": """
-SELECT host, metric, ts, CAST(floor(100 * used / total) AS BIGINT) AS pct FROM host_metric
-QUALIFY row_number() OVER (PARTITION BY host, metric ORDER BY ts DESC, event_id DESC) = 1""",
+SELECT host, metric, mount, ts, CAST(floor(100 * used / nullif(total, 0)) AS BIGINT) AS pct FROM host_metric
+QUALIFY row_number() OVER (PARTITION BY host, metric, mount ORDER BY ts DESC, event_id DESC) = 1""",
 }
 
 

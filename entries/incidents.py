@@ -396,16 +396,19 @@ PARTS["o_report"] = f"""
 SELECT r.parent_run_id, r.parent_job_name, i.job_name, r.sla_type, r.domain_name, i.error, i.root_cause, i.jira, i.service_now, i.status, r.run_hist_url
 FROM wf_run r JOIN assignment i ON r.parent_run_id = i.parent_run_id WHERE i.updated_dt BETWEEN {WINDOW}"""
 REPORT = ", ".join(H.REPORT_COLUMNS)
-SHIFT = "TEAM_SUPPORT_SHIFT1"
+# An invented calendar.
+EARLY = C.Shift("HARBOUR_DESK_EARLY", "06:00:00", "14:00:00")
+NIGHT = C.Shift("RIVER_NIGHT", "20:30:00", "08:15:00", -1)
+CALENDAR = [EARLY, C.Shift("HARBOUR_DESK_LATE", "13:45:00", "23:00:00"), C.Shift("RIVER_DAY", "08:00:00", "20:45:00"), NIGHT]
 
 
 def window():
-    return H.report_window(SHIFT, AS_OF)
+    return H.report_window(EARLY, AS_OF)
 
 
 @entry("report_join", "SELECT r.parent_run_id, i.job_name, r.domain_name, i.status FROM wf_run r JOIN assignment i ON r.parent_run_id = i.parent_run_id")
 def report_join(v):
-    everything = H.report_window("custom", start="1970-01-01 00:00:00", end="2100-01-01 00:00:00")
+    everything = H.report_window(None, start="1970-01-01 00:00:00", end="2100-01-01 00:00:00")
     return H.report_rows(v.wf_run, v.assignment, everything).select("parent_run_id", "job_name", "domain_name", "status")
 
 
@@ -443,12 +446,12 @@ FROM wf_run r JOIN assignment i ON r.parent_run_id = i.parent_run_id
 WHERE i.updated_dt BETWEEN TIMESTAMP '2024-01-14 10:00:00' AND TIMESTAMP '2024-01-15 02:00:00' AND i.status = 'WIP'""",
 )
 def oncall_report_custom(v):
-    custom = H.report_window("custom", start="2024-01-14 10:00:00", end="2024-01-15 02:00:00")
+    custom = H.report_window(None, start="2024-01-14 10:00:00", end="2024-01-15 02:00:00")
     return H.oncall_report(v.wf_run, v.assignment, custom)["pending_issues"]
 
 
 ZONE = "America/Chicago"
-SHIFT_VALUES = ", ".join(f"('{n}', '{a}', '{b}', {d})" for n, (a, b, d) in C.SHIFTS.items())
+SHIFT_VALUES = ", ".join(str(tuple(shift)) for shift in CALENDAR)
 LOCAL_DAY = f"CAST((updated_dt AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}' AS DATE)"
 
 
@@ -463,7 +466,7 @@ FROM (SELECT s.shift, i.updated_dt,
  FROM assignment i, (VALUES {SHIFT_VALUES}) s(shift, a, b, off)) t GROUP BY 1, 2, 3""",
 )
 def shift_window(v):
-    windows = C.with_shift_windows(v.assignment.select("updated_dt"), F.col("updated_dt"), ZONE)
+    windows = C.with_shift_windows(v.assignment.select("updated_dt"), F.col("updated_dt"), CALENDAR, ZONE)
     inside = F.col("updated_dt").between(F.col("window_start"), F.col("window_end"))
     return windows.groupBy("shift", "window_start", "window_end").agg(
         F.count(F.lit(1)).alias("incidents"), F.count_if(inside).alias("inside")
@@ -477,7 +480,7 @@ SELECT n.conv_id, n.turn, n.shift, strftime(CAST(TIMESTAMP '{AS_OF}' AS DATE) +
 FROM handover_note n JOIN (VALUES {SHIFT_VALUES}) s(shift, a, b, off) ON n.shift = s.shift""",
 )
 def oncall_date(v):
-    day = C.shift_start_date(C.moment(AS_OF), C.shift_offset(F.col("shift")))
+    day = C.shift_start_date(C.moment(AS_OF), C.shift_offset(F.col("shift"), CALENDAR))
     return v.handover_note.select("conv_id", "turn", "shift", F.date_format(day, "yyyyMMdd").alias("oncall_date"))
 
 
@@ -490,33 +493,38 @@ def shift_name_split(v):
     return v.handover_note.select("conv_id", "turn", "shift", *[c.alias(n) for n, c in L.split_shift_name("shift").items()])
 
 
-@entry("select_where", f"SELECT team, oncall_summary FROM handover_note WHERE shift = '{SHIFT}' AND shift_date = '20240115'")
+@entry("select_where", f"SELECT team, oncall_summary FROM handover_note WHERE shift = '{EARLY.name}' AND shift_date = '20240115'")
 def select_where(v):
-    return H.select_where(v.handover_note, {"shift": SHIFT, "shift_date": "20240115"}, ["team", "oncall_summary"])
+    return H.select_where(v.handover_note, {"shift": EARLY.name, "shift_date": "20240115"}, ["team", "oncall_summary"])
 
 
 @entry(
     "handover_notes",
-    "SELECT team, shift, shift_date, oncall_summary FROM handover_note WHERE shift = 'TEAM_ENG_WEST' AND shift_date = '20240114'",
+    "SELECT team, shift, shift_date, oncall_summary FROM handover_note WHERE shift = 'RIVER_NIGHT' AND shift_date = '20240114'",
 )
 def handover_notes(v):
-    return H.handover_notes(v.handover_note, "TEAM_ENG_WEST", AS_OF)
+    return H.handover_notes(v.handover_note, NIGHT, AS_OF)
 
 
-CELLS = " || ".join(f"'<td>' || coalesce({c}, 'None') || '</td>'" for c in H.REPORT_COLUMNS[:-1])
-TITLES = "".join(f"<td>{c.upper()}</td>" for c in H.REPORT_COLUMNS)
+def escaped(text: str) -> str:
+    return f"replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+CARD = " || ".join(
+    f"coalesce('<dt>{c.replace('_', ' ')}</dt><dd>' || {escaped(c)} || '</dd>', '')" for c in H.REPORT_COLUMNS if c != "run_hist_url"
+)
 
 
 @entry(
     "handover_html",
     f"""
-SELECT 0 AS section, NULL::BIGINT AS parent_run_id, NULL::VARCHAR AS job_name, 'Shift Handover : 2024-01-15 - TEAM_SUPPORT_SHIFT1' AS html
-UNION ALL SELECT 1, NULL, NULL, '<HTML><Table><tr><td><b>Team</b></td><td>TEAM_SUPPORT</td></tr><tr><td><b>Shift</b></td><td>SHIFT1</td></tr>'
- || '<tr><td><b>OnCall Date</b></td><td>2024-01-15</td></tr><tr><td><b>Handover Notes</b></td><td>'
- || coalesce((SELECT min(oncall_summary) FROM handover_note WHERE shift = '{SHIFT}' AND shift_date = '20240115'), 'NA')
- || '</td></tr></Table><table border = 1><tr><td colspan=10><b>PENDING ISSUES :- </b></td></tr><tr>{TITLES}</tr>'
-UNION ALL SELECT 2, parent_run_id, job_name, '<tr>' || {CELLS} || '<td><a href= "' || run_hist_url || '">Link</a></td></tr>' FROM o_report WHERE status = 'WIP'
-UNION ALL SELECT 3, NULL, NULL, '</table><Table><tr><td>Regards,</td></tr><tr><td>On-call team</td></tr></Table></HTML>'""",
+SELECT 0 AS section, NULL::BIGINT AS parent_run_id, NULL::VARCHAR AS job_name, '{EARLY.name}, 2024-01-15: what is open' AS html
+UNION ALL SELECT 1, NULL, NULL, '<article><h1>{EARLY.name}, 2024-01-15: what is open</h1><p>'
+ || coalesce((SELECT {escaped('min(oncall_summary)')} FROM handover_note WHERE shift = '{EARLY.name}' AND shift_date = '20240115'), 'nothing noted')
+ || '</p><h2>Open issues</h2>'
+UNION ALL SELECT 2, parent_run_id, job_name, '<section><h3><a href="' || {escaped('run_hist_url')} || '">run</a></h3><dl>' || {CARD} || '</dl></section>'
+FROM o_report WHERE status = 'WIP'
+UNION ALL SELECT 3, NULL, NULL, '<p>On-call team</p></article>'""",
 )
 def handover_html(v):
-    return H.handover_html(v.wf_run, v.assignment, v.handover_note, SHIFT, AS_OF, "On-call team")
+    return H.handover_html(v.wf_run, v.assignment, v.handover_note, EARLY, AS_OF, "On-call team")

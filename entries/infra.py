@@ -76,19 +76,20 @@ def cluster_uptime_list(v):
 # Hosts
 
 
-@entry("usage_percent", "SELECT event_id, host, metric, CAST(floor(100 * used / total) AS BIGINT) AS pct FROM host_metric")
+@entry("usage_percent", "SELECT event_id, host, metric, CAST(floor(100 * used / nullif(total, 0)) AS BIGINT) AS pct FROM host_metric")
 def usage_percent(v):
     return v.host_metric.select("event_id", "host", "metric", infra.usage_percent(F.col("used"), F.col("total")).alias("pct"))
 
 
-@entry("host_any_alert", "SELECT host, bool_or(pct >= 60) AS alert FROM o_usage GROUP BY 1")
+@entry("host_any_alert", "SELECT host, bool_or(coalesce(pct >= 60, false)) AS alert FROM o_usage GROUP BY 1")
 def host_any_alert(v):
     return infra.host_any_alert(infra.latest_usage(v.host_metric), 60)
 
 
 def top(metric: str, by: str, limit: int) -> str:
     return f"""
-SELECT host, CAST(row_number() OVER (PARTITION BY host ORDER BY {by} DESC, pid) AS INTEGER) AS place, pid, cmd, {by} FROM process_sample
+SELECT host, CAST(row_number() OVER (PARTITION BY host ORDER BY {by} DESC, pid) AS INTEGER) AS place, pid, cmd, {by}
+FROM (SELECT * FROM process_sample QUALIFY rank() OVER (PARTITION BY host ORDER BY ts DESC) = 1) p
 WHERE host IN (SELECT host FROM o_usage WHERE metric = '{metric}' AND pct >= {limit}) QUALIFY place <= 20"""
 
 
@@ -106,15 +107,16 @@ def top20_cpu(v):
     return infra.top20_cpu(v.process_sample, infra.latest_usage(v.host_metric), 60)
 
 
-@entry(
-    "top20_disk",
-    """
-SELECT *, CAST(row_number() OVER (PARTITION BY mount ORDER BY size_bytes DESC, path) AS INTEGER) AS place FROM (
- SELECT *, CAST(floor(CAST(regexp_extract(size_text, '^([0-9.]+)', 1) AS DOUBLE) * CASE right(size_text, 1) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576
-  WHEN 'G' THEN 1073741824 WHEN 'T' THEN 1099511627776 ELSE 1 END) AS BIGINT) AS size_bytes FROM dir_usage) s QUALIFY place <= 20""",
-)
+PARTS["o_top_disk"] = """
+SELECT *, CAST(row_number() OVER (PARTITION BY host, mount ORDER BY size_bytes DESC NULLS LAST, path) AS INTEGER) AS place FROM (
+ SELECT *, CAST(floor(TRY_CAST(regexp_extract(size_text, '^([0-9.]+)', 1) AS DOUBLE) * CASE right(size_text, 1) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576
+  WHEN 'G' THEN 1073741824 WHEN 'T' THEN 1099511627776 ELSE 1 END) AS BIGINT) AS size_bytes FROM dir_usage) s
+WHERE (host, mount) IN (SELECT (host, mount) FROM o_usage WHERE metric IN ('disk', 'mount') AND pct >= 60) QUALIFY place <= 20"""
+
+
+@entry("top20_disk", "SELECT * FROM o_top_disk")
 def top20_disk(v):
-    return infra.top20_disk(v.dir_usage)
+    return infra.top20_disk(v.dir_usage, infra.latest_usage(v.host_metric), 60)
 
 
 @entry("split_mount_list", "SELECT config_id, host, unnest(string_split(mounts, ',')) AS mount FROM host_config")
@@ -124,7 +126,9 @@ def split_mount_list(v):
 
 PARTS["o_hosts"] = f"""
 SELECT host, {', '.join(f"max(pct) FILTER (WHERE metric = '{m}') AS {m}_pct" for m in ('memory', 'disk', 'cpu', 'mount'))},
- count(*) FILTER (WHERE pct >= 60) AS breached, bool_or(pct >= 60) AS alert FROM o_usage GROUP BY 1"""
+ count(*) FILTER (WHERE pct >= 60) AS breached, bool_or(coalesce(pct >= 60, false)) AS alert,
+ string_agg(mount || ' ' || coalesce(CAST(pct AS VARCHAR) || '%', 'NA'), chr(10) ORDER BY mount) FILTER (WHERE metric = 'mount') AS mounts
+FROM o_usage GROUP BY 1"""
 
 
 @entry(
@@ -137,21 +141,23 @@ def host_health(v):
     return infra.host_health(v.host_metric, v.process_sample, 60)
 
 
+def tasks(part: str) -> str:
+    return f"(SELECT host, string_agg(CAST(pid AS VARCHAR) || ' ' || cmd, chr(10) ORDER BY place) AS tasks FROM {part} GROUP BY 1)"
+
+
 @entry(
     "host_health_report",
-    """
-SELECT h.host, 'Alert from ' || h.host AS subject, 'Please find the utilization report for ' || h.host || ' below' || chr(10)
- || 'disk usage is: ' || coalesce(CAST(disk_pct AS VARCHAR), 'NA') || '%' || chr(10) || 'Memory Usage is: ' || coalesce(CAST(memory_pct AS VARCHAR), 'NA') || '%' || chr(10)
- || 'CPU usage is: ' || coalesce(CAST(cpu_pct AS VARCHAR), 'NA') || '%' || chr(10) || 'NFS Mount Usage: ' || coalesce(CAST(mount_pct AS VARCHAR), 'NA') || '%' || chr(10)
- || 'One of the above parameters has reached threshold of 60%.' || chr(10) || 'Memory Consuming Tasks :' || chr(10) || coalesce(m.tasks, '') || chr(10)
- || 'Tasks consuming CPU :' || chr(10) || coalesce(c.tasks, '') AS message
-FROM o_hosts h
-LEFT JOIN (SELECT host, string_agg(CAST(pid AS VARCHAR) || ' ' || cmd, chr(10) ORDER BY place) AS tasks FROM o_top_memory GROUP BY 1) m ON h.host = m.host
-LEFT JOIN (SELECT host, string_agg(CAST(pid AS VARCHAR) || ' ' || cmd, chr(10) ORDER BY place) AS tasks FROM o_top_cpu GROUP BY 1) c ON h.host = c.host
+    f"""
+SELECT h.host, 'Alert from ' || h.host AS subject, h.host || ': a limit of 60% is reached' || chr(10) || 'disk ' || coalesce(CAST(disk_pct AS VARCHAR), 'NA')
+ || '%, memory ' || coalesce(CAST(memory_pct AS VARCHAR), 'NA') || '%, cpu ' || coalesce(CAST(cpu_pct AS VARCHAR), 'NA') || '%' || chr(10)
+ || 'mounts:' || chr(10) || coalesce(mounts, '') || chr(10) || 'most memory:' || chr(10) || coalesce(m.tasks, '') || chr(10)
+ || 'most cpu:' || chr(10) || coalesce(c.tasks, '') || chr(10) || 'largest directories:' || chr(10) || coalesce(d.paths, '') AS message
+FROM o_hosts h LEFT JOIN {tasks('o_top_memory')} m ON h.host = m.host LEFT JOIN {tasks('o_top_cpu')} c ON h.host = c.host
+LEFT JOIN (SELECT host, string_agg(size_text || ' ' || path, chr(10) ORDER BY mount, place) AS paths FROM o_top_disk GROUP BY 1) d ON h.host = d.host
 WHERE h.alert""",
 )
 def host_health_report(v):
-    return infra.host_health_report(v.host_metric, v.process_sample, 60)
+    return infra.host_health_report(v.host_metric, v.process_sample, v.dir_usage, 60)
 
 
 # Reservations
@@ -163,7 +169,8 @@ SELECT event_id, poll_time, project, zone, json_extract_string(j, '$.name') AS r
  CAST(json_extract_string(j, '$.specificReservation.inUseCount') AS BIGINT) AS in_use_count,
  CAST(json_extract_string(j, '$.specificReservation.assuredCount') AS BIGINT) AS assured_count,
  json_extract_string(j, '$.creationTimestamp') AS res_timestamp
-FROM (SELECT *, CASE WHEN json_valid(body) THEN body END AS j FROM reservation_raw) r WHERE j IS NOT NULL"""
+FROM (SELECT *, CASE WHEN json_valid(body) THEN body END AS j FROM reservation_raw) r
+WHERE json_extract(j, '$.specificReservation.instanceProperties') IS NOT NULL"""
 PARTS["o_usage_rows"] = """
 SELECT event_id, project AS teams_space,
  strftime((date_trunc('second', poll_time) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago', '%Y-%m-%d %H:%M:%S') AS curr_time_cst,
@@ -176,7 +183,7 @@ def reservation_flatten(v):
     return infra.reservation_flatten(v.reservation_raw)
 
 
-@entry("reservation_rejects", "SELECT event_id, poll_time, project, zone, body FROM reservation_raw WHERE NOT json_valid(body)")
+@entry("reservation_rejects", "SELECT event_id, poll_time, project, zone, body FROM reservation_raw WHERE event_id NOT IN (SELECT event_id FROM o_reservation)")
 def reservation_rejects(v):
     return infra.reservation_rejects(v.reservation_raw)
 
@@ -189,7 +196,8 @@ def reservation_usage(v):
 @entry(
     "csv_row_text",
     """
-SELECT event_id, concat_ws(',', teams_space, curr_time_cst, res_timestamp, reservation_name, machine_type, zne, res_cnt, in_use_count, assured_count, teams_space) AS row
+SELECT event_id, concat_ws(',', teams_space, curr_time_cst, res_timestamp, coalesce(reservation_name, 'None'), coalesce(machine_type, 'None'), zne, res_cnt,
+ coalesce(CAST(in_use_count AS VARCHAR), 'None'), assured_count, teams_space) AS row
 FROM o_usage_rows""",
 )
 def csv_row_text(v):

@@ -10,6 +10,7 @@ from runlens.functions import labels as L
 from runlens.operators.matching import Pattern, Suggestion, match_keys, match_patterns
 from runlens.operators.spread import first_seen
 from runlens.plans import infra, logs, scripts
+from runlens.sources.tables import read_log_files, work_dir
 
 # Parameter tables: invented patterns and suggestions.
 PATTERNS = [("generic", "(?i).*error.*"), ("dq", "(?i).*rules failed!+.*"), ("file", "(?i).*is not available.*")]
@@ -77,6 +78,23 @@ def log(v):
     return v.job_log.select("run_id", "line_no", "line")
 
 
+@entry(
+    "raw_file_lines",
+    """
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, nth) AS line_no, line
+FROM (SELECT source, doc_id, generate_subscripts(parts, 1) AS nth, unnest(parts) AS line
+ FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents) d) x""",
+)
+def raw_file_lines(v):
+    """Documents written as one text file per source and read back as numbered lines."""
+    folder = work_dir(v.spark, "raw-files")
+    docs = v.documents.select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
+    docs.select("source", "text").write.partitionBy("source").text(folder)
+    lines = logs.numbered_lines(read_log_files(v.spark, folder))
+    source = F.regexp_extract("path", "source=([^/]*)", 1)
+    return lines.select(source.alias("source"), F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
 @entry("dq_rule_failures", f"{LOG} WHERE line ILIKE '%rules failed!%'")
 def dq_rule_failures(v):
     return logs.dq_rule_failures(log(v))

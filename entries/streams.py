@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from entries.base import entry
 from runlens.plans.infra import USAGE_LIMIT
 from runlens.sources.tables import work_dir
+from runlens.sources.views import VIEWS
 from runlens.streaming import polls
 
 
-def event_stream(v):
-    return polls.snapshot_stream(v.spark, v.sf_dir, v.events.schema, "events.parquet")
+def streamed_view(v, name):
+    """A derived view over the events as they arrive."""
+    polls.snapshot_stream(v.spark, v.sf_dir, v.events.schema, "events.parquet").createOrReplaceTempView("arriving_events")
+    return v.spark.sql(VIEWS[name].replace("FROM events", "FROM arriving_events"))
 
 
 @entry(
@@ -19,26 +20,7 @@ def event_stream(v):
     "SELECT *, CAST((poll_time AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago' AS DATE) AS day FROM o_reservation",
 )
 def reservation_stream(v):
-    user = F.col("user_id")
-    body = F.to_json(
-        F.struct(
-            F.format_string("res-%d", user % 16).alias("name"),
-            F.lit("2024-01-01T00:00:00").alias("creationTimestamp"),
-            F.struct(
-                F.lit(100).alias("count"),
-                (F.col("event_id") % 101).alias("inUseCount"),
-                F.lit(100).alias("assuredCount"),
-                F.struct(F.format_string("m%d", user % 4).alias("machineType")).alias("instanceProperties"),
-            ).alias("specificReservation"),
-        )
-    )
-    raw = event_stream(v).select(
-        "event_id",
-        F.col("ts").alias("poll_time"),
-        F.format_string("project-%d", user % 5).alias("project"),
-        F.format_string("zone-%d", user % 3).alias("zone"),
-        F.when(F.col("event_type") == "error", "gateway timeout").otherwise(body).alias("body"),
-    )
+    raw = streamed_view(v, "reservation_raw")
     folder = work_dir(v.spark, "reservation-stream")
     polls.reservation_stream(raw, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return v.spark.read.parquet(f"{folder}/table")
@@ -47,18 +29,10 @@ def reservation_stream(v):
 @entry(
     "host_alert_stream",
     f"""
-SELECT event_id, host, ts, metric, CAST(floor(100 * used / total) AS BIGINT) AS pct FROM host_metric WHERE floor(100 * used / total) >= {USAGE_LIMIT}""",
+SELECT event_id, host, ts, metric, CAST(floor(100 * used / nullif(total, 0)) AS BIGINT) AS pct FROM host_metric WHERE floor(100 * used / nullif(total, 0)) >= {USAGE_LIMIT}""",
 )
 def host_alert_stream(v):
-    kind = F.col("event_type")
-    samples = event_stream(v).select(
-        "event_id",
-        F.format_string("host%d", F.col("user_id") % 20).alias("host"),
-        "ts",
-        F.when(kind == "view", "memory").when(kind == "click", "cpu").when(kind == "purchase", "disk").otherwise("mount").alias("metric"),
-        F.least("value", F.lit(100.0)).alias("used"),
-        F.lit(100.0).alias("total"),
-    )
+    samples = streamed_view(v, "host_metric")
     folder = work_dir(v.spark, "host-alert-stream")
     polls.host_alert_stream(samples, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return v.spark.read.parquet(f"{folder}/table")

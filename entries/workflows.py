@@ -128,8 +128,13 @@ def issues_pending_closure(v):
     return as_text(W.nest_jobs(W.issues_pending_closure(*tables(v))))
 
 
-@entry("nest_jobs", status_mart(""))
+@entry("nest_jobs", nested(status_mart("WHERE domain_name = 'ASIA'")))
 def nest_jobs(v):
+    return as_text(W.nest_jobs(W.all_workflows(*tables(v), ["ASIA"])))
+
+
+@entry("all_workflows_flat", status_mart(""))
+def all_workflows_flat(v):
     """The flat rows that nesting starts from, all columns."""
     return W.all_workflows(*tables(v))
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Start, end and day offset of each shift's start; night shifts start the day before.
-SHIFTS = {
-    "TEAM_SUPPORT_SHIFT1": ("06:00:00", "14:00:00", 0),
-    "TEAM_SUPPORT_SHIFT2": ("14:00:00", "22:00:00", 0),
-    "TEAM_SUPPORT_SHIFT3": ("22:00:00", "06:00:00", -1),
-    "TEAM_ENG_EAST": ("07:00:00", "19:00:00", 0),
-    "TEAM_ENG_WEST": ("19:00:00", "07:00:00", -1),
-}
+
+class Shift(NamedTuple):
+    """A shift of the caller's calendar: wall-clock start and end, and the day its start is from the day of its end."""
+
+    name: str
+    start: str
+    end: str
+    day_offset: int = 0
+
 
 SLA_OFFSET = "-05:00"
 SNAPSHOT_ZONE = "America/Chicago"
@@ -50,11 +54,6 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.floor(seconds_between(start, end) / 86400)
 
 
-def minute_number(at: Column) -> Column:
-    """Minutes since 1970, a whole number that grows with time."""
-    return F.floor(seconds_between(moment("1970-01-01 00:00:00"), at) / 60)
-
-
 def same_day(at: Column, as_of: Column) -> Column:
     return F.to_date(at) == F.to_date(as_of)
 
@@ -75,11 +74,11 @@ def duration_text(seconds: Column) -> Column:
     return F.when(seconds.isNotNull(), F.concat(prefix, clock))
 
 
-def shift_offset(shift: Column) -> Column:
-    """Day offset of a named shift; NULL for an unknown name."""
+def shift_offset(shift: Column, calendar: Sequence[Shift]) -> Column:
+    """Day offset of a named shift; NULL for a name that is not in the calendar."""
     result = F.lit(None).cast("int")
-    for name, (_, _, offset) in SHIFTS.items():
-        result = F.when(shift == name, F.lit(offset)).otherwise(result)
+    for known in calendar:
+        result = F.when(shift == known.name, F.lit(known.day_offset)).otherwise(result)
     return result
 
 
@@ -88,12 +87,10 @@ def shift_start_date(as_of: Column, day_offset: Column, zone: str = "UTC") -> Co
     return F.date_add(F.to_date(local_time(as_of, zone)), day_offset)
 
 
-def with_shift_windows(df: DataFrame, as_of: Column, zone: str = "UTC") -> DataFrame:
+def with_shift_windows(df: DataFrame, as_of: Column, calendar: Sequence[Shift], zone: str = "UTC") -> DataFrame:
     """One row per input row and shift with the shift's UTC bounds around ``as_of``."""
     names = ("shift", "shift_start", "shift_end", "day_offset")
-    shifts = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (shift, *hours))]) for shift, hours in SHIFTS.items()
-    ]
+    shifts = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, shift, strict=True)]) for shift in calendar]
     today = F.to_date(local_time(as_of, zone))
     return (
         df.withColumn("_shift", F.explode(F.array(*shifts)))
@@ -108,8 +105,8 @@ def _at(day: Column, clock: Column) -> Column:
     return F.concat_ws(" ", day.cast("string"), clock).cast("timestamp_ntz")
 
 
-def shift_bounds(shift: str, as_of: str, zone: str = "UTC") -> tuple[Column, Column]:
-    """UTC start and end of one named shift as constants the scan can be filtered by."""
-    start, end, offset = SHIFTS[shift]
+def shift_bounds(shift: Shift, as_of: str, zone: str = "UTC") -> tuple[Column, Column]:
+    """UTC start and end of a shift as constants the scan can be filtered by."""
     today = F.to_date(local_time(moment(as_of), zone))
-    return utc_time(_at(F.date_add(today, offset), F.lit(start)), zone), utc_time(_at(today, F.lit(end)), zone)
+    start, end = _at(F.date_add(today, shift.day_offset), F.lit(shift.start)), _at(today, F.lit(shift.end))
+    return utc_time(start, zone), utc_time(end, zone)

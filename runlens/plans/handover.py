@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.clock import SHIFTS, moment, shift_bounds, shift_start_date
+from runlens.functions.clock import Shift, moment, shift_bounds, shift_start_date
 from runlens.functions.predicates import matches_all, within_closed_interval
 
 # The columns of a report row, in order.
@@ -21,14 +21,14 @@ def select_where(df: DataFrame, conditions: dict[str, object], columns: list[str
 
 
 def report_window(
-    shift: str, as_of: str | None = None, start: str | None = None, end: str | None = None, zone: str = "UTC"
+    shift: Shift | None, as_of: str | None = None, start: str | None = None, end: str | None = None, zone: str = "UTC"
 ) -> tuple[Column, Column]:
-    """UTC bounds of a named shift, or of "custom" with both bounds given."""
-    if shift == "custom":
-        if not (start and end):
-            raise ValueError("a custom window needs start and end")
-        return moment(start), moment(end)
-    return shift_bounds(shift, as_of, zone)
+    """UTC bounds of a shift around ``as_of``, or without a shift the bounds given."""
+    if shift is not None:
+        return shift_bounds(shift, as_of, zone)
+    if not (start and end):
+        raise ValueError("a window without a shift needs start and end")
+    return moment(start), moment(end)
 
 
 def report_rows(runs: DataFrame, assignment: DataFrame, window: tuple[Column, Column]) -> DataFrame:
@@ -63,60 +63,60 @@ def oncall_report(
 
 
 def handover_notes(
-    notes: DataFrame, shift: str, as_of: str, shift_date: str | None = None, zone: str = "UTC"
+    notes: DataFrame, shift: Shift, as_of: str, shift_date: str | None = None, zone: str = "UTC"
 ) -> DataFrame:
     """Notes of a shift on a date (``yyyyMMdd``), by default the start of the current shift."""
     if shift_date:
         day = F.lit(shift_date)
     else:
-        day = F.date_format(shift_start_date(moment(as_of), F.lit(SHIFTS[shift][2]), zone), "yyyyMMdd")
-    return notes.filter((F.col("shift") == shift) & (F.col("shift_date") == day)).select(*NOTE_COLUMNS)
+        day = F.date_format(shift_start_date(moment(as_of), F.lit(shift.day_offset), zone), "yyyyMMdd")
+    return notes.filter((F.col("shift") == shift.name) & (F.col("shift_date") == day)).select(*NOTE_COLUMNS)
 
 
-def _cells(row: str, names: list[str]) -> Column:
-    return F.format_string(row, *[F.coalesce(F.col(n), F.lit("None")) for n in names])
+def escaped(text: Column) -> Column:
+    """Text that is safe inside an HTML element or attribute."""
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return text
+
+
+def _issue_card(names: list[str]) -> Column:
+    """A definition list of an issue's known fields, its run linked from the heading."""
+    fields = [
+        F.when(F.col(n).isNotNull(), F.concat(F.lit(f"<dt>{n.replace('_', ' ')}</dt><dd>"), escaped(F.col(n)), F.lit("</dd>"))) for n in names
+    ]
+    link = F.coalesce(F.concat(F.lit('<a href="'), escaped(F.col("run_hist_url")), F.lit('">run</a>')), F.lit("run"))
+    return F.concat(F.lit("<section><h3>"), link, F.lit("</h3><dl>"), F.concat_ws("", *fields), F.lit("</dl></section>"))
 
 
 def handover_html(
     runs: DataFrame,
     assignment: DataFrame,
     notes: DataFrame,
-    shift: str,
+    shift: Shift,
     as_of: str,
     sender: str,
     zone: str = "UTC",
 ) -> DataFrame:
-    """The handover message as ordered HTML pieces: head, one table row per pending issue, signature.
+    """The handover message as ordered HTML pieces: subject, head, one card per pending issue, end.
 
-    ``section`` 0 is the title line, 1 the head, 2 an issue row and 3 the end; issue rows are
+    ``section`` 0 is the subject line, 1 the head, 2 an issue and 3 the end; issues are
     ordered by run and job.  Pieces stay separate so a report of any length is written in
     parallel.  Delivery is left to the caller.
     """
     rows = report_rows(runs, assignment, shift_bounds(shift, as_of, zone)).filter(F.col("status") == "WIP")
-    plain = "".join("<td>%s</td>" for _ in REPORT_COLUMNS[:-1])
-    issues = rows.select(
-        F.lit(2).alias("section"),
-        "parent_run_id",
-        "job_name",
-        _cells(f'<tr>{plain}<td><a href= "%s">Link</a></td></tr>', REPORT_COLUMNS).alias("html"),
-    )
-    team, part = shift.rsplit("_", 1)
-    day = shift_start_date(moment(as_of), F.lit(SHIFTS[shift][2]), zone).cast("string")
+    card = _issue_card([c for c in REPORT_COLUMNS if c != "run_hist_url"])
+    issues = rows.select(F.lit(2).alias("section"), "parent_run_id", "job_name", card.alias("html"))
+    day = shift_start_date(moment(as_of), F.lit(shift.day_offset), zone).cast("string")
     written = handover_notes(notes, shift, as_of, zone=zone)
-    note = written.agg(F.coalesce(F.min("oncall_summary"), F.lit("NA")).alias("note"))
-    titles = "".join(f"<td>{c.upper()}</td>" for c in REPORT_COLUMNS)
-    head = F.format_string(
-        "<HTML><Table><tr><td><b>Team</b></td><td>%s</td></tr><tr><td><b>Shift</b></td><td>%s</td></tr>"
-        "<tr><td><b>OnCall Date</b></td><td>%s</td></tr><tr><td><b>Handover Notes</b></td><td>%s</td></tr></Table>"
-        f"<table border = 1><tr><td colspan=10><b>PENDING ISSUES :- </b></td></tr><tr>{titles}</tr>",
-        F.lit(team), F.lit(part), day, F.col("note"),
-    )
-    tail = F.lit(f"</table><Table><tr><td>Regards,</td></tr><tr><td>{sender}</td></tr></Table></HTML>")
-    title = F.concat(F.lit("Shift Handover : "), day, F.lit(f" - {team}_{part}"))
+    note = written.agg(F.coalesce(F.min("oncall_summary"), F.lit("nothing noted")).alias("note"))
+    subject = F.concat(F.lit(f"{shift.name}, "), day, F.lit(": what is open"))
+    head = F.concat(F.lit("<article><h1>"), escaped(subject), F.lit("</h1><p>"), escaped(F.col("note")), F.lit("</p><h2>Open issues</h2>"))
+    tail = F.concat(F.lit("<p>"), escaped(F.lit(sender)), F.lit("</p></article>"))
     pieces = F.array(*[
         F.struct(F.lit(section).alias("section"), F.lit(None).cast("bigint").alias("parent_run_id"),
                  F.lit(None).cast("string").alias("job_name"), html.alias("html"))
-        for section, html in ((0, title), (1, head), (3, tail))
+        for section, html in ((0, subject), (1, head), (3, tail))
     ])
     frame = note.select(F.explode(pieces).alias("piece")).select("piece.*")
     return frame.unionByName(issues).orderBy("section", "parent_run_id", "job_name")

@@ -65,34 +65,38 @@ def cluster_uptime_list(states: DataFrame, as_of: str, ignore: str = KEPT_CLUSTE
 
 
 def usage_percent(used: Column, total: Column) -> Column:
-    """Whole percent, cut off."""
-    return F.floor(100 * used / total)
+    """Whole percent, cut off; NULL for a total of zero."""
+    return F.floor(F.try_divide(100 * used, total))
 
 
 def latest_usage(metrics: DataFrame) -> DataFrame:
-    """Newest sample per host and metric with its percentage."""
-    latest = keep_latest(metrics, ["host", "metric"], [F.desc("ts"), F.desc("event_id")])
-    return latest.select("host", "metric", "ts", usage_percent(F.col("used"), F.col("total")).alias("pct"))
+    """Newest sample per host, metric and mount with its percentage; ``mount`` is NULL for metrics of the whole host."""
+    latest = keep_latest(metrics, ["host", "metric", "mount"], [F.desc("ts"), F.desc("event_id")])
+    return latest.select("host", "metric", "mount", "ts", usage_percent(F.col("used"), F.col("total")).alias("pct"))
+
+
+def _over(limit: int) -> Column:
+    return F.coalesce(F.col("pct") >= limit, F.lit(False))
 
 
 def host_any_alert(usage: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:
-    """Whether any metric of a host has reached the limit."""
-    return usage.groupBy("host").agg(F.bool_or(F.col("pct") >= limit).alias("alert"))
+    """Whether any metric or mount of a host has reached the limit."""
+    return usage.groupBy("host").agg(F.bool_or(_over(limit)).alias("alert"))
 
 
-def _hosts_over(usage: DataFrame, metric: str, limit: int) -> DataFrame:
-    over = usage.filter((F.col("metric") == metric) & (F.col("pct") >= limit))
-    return over.select("host").distinct()
+def newest_poll(samples: DataFrame) -> DataFrame:
+    """The processes of each host's newest poll."""
+    return keep_latest(samples, ["host"], [F.desc("ts")], ties=True)
 
 
 def top_processes(
     samples: DataFrame, usage: DataFrame, metric: str, by: str, limit: int = USAGE_LIMIT, count: int = TOP
 ) -> DataFrame:
-    """Largest consumers per host, for hosts at or over the limit of the metric."""
+    """Largest consumers in the newest poll of each host at or over the limit of the metric."""
     # Ranked before the hosts are chosen: the ranking then limits each host inside the map tasks.
-    top = keep_first(samples, ["host"], [F.desc(by), F.asc("pid")], count, "place")
-    chosen = top.join(_hosts_over(usage, metric, limit), ["host"], "left_semi")
-    return chosen.select("host", "place", "pid", "cmd", by)
+    top = keep_first(newest_poll(samples), ["host"], [F.desc(by), F.asc("pid")], count, "place")
+    over = usage.filter((F.col("metric") == metric) & _over(limit)).select("host").distinct()
+    return top.join(over, ["host"], "left_semi").select("host", "place", "pid", "cmd", by)
 
 
 def top20_memory(samples: DataFrame, usage: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:
@@ -108,19 +112,22 @@ SIZE_FACTORS = {"K": 1024, "M": 1024**2, "G": 1024**3, "T": 1024**4}
 
 
 def size_in_bytes(text: str) -> Column:
-    """Bytes of a size such as ``12K`` or ``3.5M``."""
+    """Bytes of a size such as ``12K`` or ``3.5M``; NULL for a text that is none."""
     suffix = F.right(F.col(text), F.lit(1))
     factor = F.lit(1)
     for name, value in SIZE_FACTORS.items():
         factor = F.when(suffix == name, F.lit(value)).otherwise(factor)
-    number = F.regexp_extract(text, r"^([0-9.]+)", 1).cast("double")
+    number = F.regexp_extract(text, r"^([0-9.]+)", 1).try_cast("double")
     return F.floor(number * factor).cast("bigint")
 
 
-def top20_disk(directories: DataFrame, count: int = TOP) -> DataFrame:
-    """Largest directories per mount."""
+def top20_disk(directories: DataFrame, usage: DataFrame, limit: int = USAGE_LIMIT, count: int = TOP) -> DataFrame:
+    """Largest directories of each host's mounts and disks at or over the limit; unreadable sizes come last."""
     sized = directories.withColumn("size_bytes", size_in_bytes("size_text"))
-    return keep_first(sized, ["mount"], [F.desc("size_bytes"), F.asc("path")], count, "place")
+    order = [F.desc_nulls_last("size_bytes"), F.asc("path")]
+    top = keep_first(sized, ["host", "mount"], order, count, "place")
+    over = usage.filter(F.col("metric").isin("disk", "mount") & _over(limit)).select("host", "mount").distinct()
+    return top.join(over, ["host", "mount"], "left_semi")
 
 
 def split_mount_list(config: DataFrame) -> DataFrame:
@@ -128,48 +135,61 @@ def split_mount_list(config: DataFrame) -> DataFrame:
     return config.withColumn("mount", F.explode(F.split("mounts", ","))).drop("mounts")
 
 
+def _listed(rows: DataFrame, keys: list[str], place: list[Column], line: Column, out: str) -> DataFrame:
+    """Lines of a bounded list per key, joined in order."""
+    entry = F.sort_array(F.collect_list(F.struct(*place, line.alias("line"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(entry, lambda t: t["line"]), "\n").alias(out))
+
+
 def host_health(metrics: DataFrame, samples: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:
-    """One row per host: newest percentages, breached metrics, largest memory and CPU consumer.
+    """One row per host: newest percentages, its mounts, what has reached the limit, largest memory and CPU consumer.
 
-    The consumer of a metric is named only while that metric is at or over the limit.
+    ``mount_pct`` is the fullest mount's, ``mounts`` lists each of them.  The consumer of a
+    metric is named only while that metric is at or over the limit.
     """
     usage = latest_usage(metrics)
     pct = {m: F.max(F.when(F.col("metric") == m, F.col("pct"))) for m in ("memory", "disk", "cpu", "mount")}
     hosts = usage.groupBy("host").agg(
         *[value.alias(f"{m}_pct") for m, value in pct.items()],
-        F.count_if(F.col("pct") >= limit).alias("breached"),
-        F.bool_or(F.col("pct") >= limit).alias("alert"),
+        F.count_if(_over(limit)).alias("breached"),
+        F.bool_or(_over(limit)).alias("alert"),
     )
+    each = F.concat_ws(" ", "mount", F.coalesce(F.concat(F.col("pct").cast("string"), F.lit("%")), F.lit("NA")))
+    mounts = usage.filter((F.col("metric") == "mount") & F.col("mount").isNotNull())
+    hosts = hosts.join(_listed(mounts, ["host"], [F.col("mount")], each, "mounts"), ["host"], "left")
     for metric, by, prefix in (("memory", "pct_mem", "mem"), ("cpu", "pct_cpu", "cpu")):
         top = top_processes(samples, usage, metric, by, limit, count=1)
         hosts = hosts.join(top.select("host", F.col("pid").alias(f"{prefix}_top_pid")), ["host"], "left")
     return hosts
 
 
-def host_health_report(metrics: DataFrame, samples: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:
-    """Message text per host in alert, with its largest consumers; the text holds at most two lists of 20."""
+def host_health_report(metrics: DataFrame, samples: DataFrame, directories: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:
+    """Message text per host in alert: its usage, largest consumers, and largest directories of its full mounts.
+
+    The lists hold at most 20 lines each; the text grows with the number of mounts only.
+    """
     usage = latest_usage(metrics)
     hosts = host_health(metrics, samples, limit).filter("alert")
     for metric, by, name in (("memory", "pct_mem", "memory_tasks"), ("cpu", "pct_cpu", "cpu_tasks")):
-        top = top_processes(samples, usage, metric, by, limit)
         line = F.format_string("%d %s", "pid", "cmd")
-        lists = top.groupBy("host").agg(
-            F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda t: t["line"]), "\n"
-            ).alias(name)
-        )
+        lists = _listed(top_processes(samples, usage, metric, by, limit), ["host"], [F.col("place")], line, name)
         hosts = hosts.join(lists, ["host"], "left")
+    line = F.concat_ws(" ", "size_text", "path")
+    large = _listed(top20_disk(directories, usage, limit), ["host"], [F.col("mount"), F.col("place")], line, "directories")
+    hosts = hosts.join(large, ["host"], "left")
 
     def shown(metric: str) -> Column:
         return F.coalesce(F.col(f"{metric}_pct").cast("string"), F.lit("NA"))
 
+    def listed(name: str) -> Column:
+        return F.coalesce(name, F.lit(""))
+
     message = F.format_string(
-        "Please find the utilization report for %s below\n"
-        "disk usage is: %s%%\nMemory Usage is: %s%%\nCPU usage is: %s%%\nNFS Mount Usage: %s%%\n"
-        f"One of the above parameters has reached threshold of {limit}%%.\n"
-        "Memory Consuming Tasks :\n%s\nTasks consuming CPU :\n%s",
-        "host", shown("disk"), shown("memory"), shown("cpu"), shown("mount"),
-        F.coalesce("memory_tasks", F.lit("")), F.coalesce("cpu_tasks", F.lit("")),
+        f"%s: a limit of {limit}%% is reached\n"
+        "disk %s%%, memory %s%%, cpu %s%%\nmounts:\n%s\n"
+        "most memory:\n%s\nmost cpu:\n%s\nlargest directories:\n%s",
+        "host", shown("disk"), shown("memory"), shown("cpu"), listed("mounts"),
+        listed("memory_tasks"), listed("cpu_tasks"), listed("directories"),
     )
     return hosts.select("host", F.concat(F.lit("Alert from "), "host").alias("subject"), message.alias("message"))
 
@@ -192,11 +212,18 @@ def _parsed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("_body", F.from_json("body", RESERVATION_SCHEMA))
 
 
+def _is_reservation() -> Column:
+    return F.col("_body.specificReservation.instanceProperties").isNotNull()
+
+
 def reservation_flatten(raw: DataFrame) -> DataFrame:
-    """Readable response bodies as flat rows; works on batch and streaming input."""
+    """Response bodies with the properties of a reservation as flat rows, other fields NULL where missing.
+
+    Works on batch and streaming input.
+    """
     body = F.col("_body")
     spec = body["specificReservation"]
-    return _parsed(raw).filter(body["name"].isNotNull()).select(
+    return _parsed(raw).filter(_is_reservation()).select(
         "event_id", "poll_time", "project", "zone",
         body["name"].alias("reservation_name"),
         spec["instanceProperties"]["machineType"].alias("machine_type"),
@@ -208,8 +235,8 @@ def reservation_flatten(raw: DataFrame) -> DataFrame:
 
 
 def reservation_rejects(raw: DataFrame) -> DataFrame:
-    """Response bodies that are not a reservation."""
-    return _parsed(raw).filter(F.col("_body.name").isNull()).drop("_body")
+    """Response bodies that are not a reservation: no JSON, or without its properties."""
+    return _parsed(raw).filter(~_is_reservation()).drop("_body")
 
 
 def reservation_usage(raw: DataFrame, zone: str = SNAPSHOT_ZONE) -> DataFrame:
@@ -224,18 +251,23 @@ def reservation_usage(raw: DataFrame, zone: str = SNAPSHOT_ZONE) -> DataFrame:
     )
 
 
+# Fixed value: the text of a missing cell.
+MISSING_CELL = "None"
+
+
 def csv_row_text(usage: DataFrame) -> DataFrame:
-    """Snapshot rows as comma text, project repeated at the end."""
+    """Snapshot rows as comma text, project repeated at the end; a cell with a comma is quoted, a missing one is a fixed text."""
     names = [field.split()[0] for field in RESERVATION_ROW.split(", ")]
-    return usage.select("event_id", F.concat_ws(",", *names, "teams_space").alias("row"))
+    cells = [*names, F.col("teams_space").alias("again")]
+    return usage.select("event_id", F.to_csv(F.struct(*cells), {"nullValue": MISSING_CELL}).alias("row"))
 
 
 def csv_row_split(rows: DataFrame) -> DataFrame:
-    """Nine columns of a comma row; what follows is dropped."""
-    parts = F.split("row", ",")
-    fields = [field.split() for field in RESERVATION_ROW.split(", ")]
-    return rows.select(
-        "event_id", *[F.get(parts, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(fields)]
+    """Nine columns of a comma row; what follows is dropped, and a cell that is missing or of another type is NULL."""
+    names = [field.split() for field in RESERVATION_ROW.split(", ")]
+    cells = F.from_csv("row", ", ".join(f"{name} string" for name, _ in names) + ", again string", {"nullValue": MISSING_CELL})
+    return rows.select("event_id", cells.alias("c")).select(
+        "event_id", *[F.col(f"c.{name}").try_cast(kind).alias(name) for name, kind in names]
     )
 
 

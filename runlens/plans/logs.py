@@ -17,7 +17,7 @@ from runlens.functions.clock import duration_text
 from runlens.functions.labels import last_name_part, runtime_advice
 from runlens.operators.latest import keep_latest
 from runlens.operators.matching import Pattern, Suggestion, match_keys, match_patterns
-from runlens.operators.spread import first_seen, join_groups, previous_value
+from runlens.operators.spread import first_seen, join_groups, number_rows, previous_value
 
 PROJECT_SLOT = "$$$gcp"
 CLUSTER_SLOT = "$$$CN"
@@ -31,6 +31,15 @@ def latest_run_header(headers: DataFrame, job_name: str | None = None) -> DataFr
     return latest.withColumn("service_id", last_name_part("login"))
 
 
+def numbered_lines(raw: DataFrame) -> DataFrame:
+    """(path, line_no, line) from the lines of raw files, numbered from 1 within each file.
+
+    A file of any size is numbered in parts, not in one task.
+    """
+    numbered = number_rows(raw, ["path"], [F.asc("block"), F.asc("place")], "line_no")
+    return numbered.select("path", "line_no", "line")
+
+
 def job_log_text(log: DataFrame, lines_per_part: int = LINES_PER_PART, separator: str = "") -> DataFrame:
     """Log text per run, in numbered parts of a bounded line range; the parts in order are the whole text.
 

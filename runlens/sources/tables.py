@@ -50,8 +50,18 @@ def jdbc_reader(
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as (path, line); where order matters, lines must carry their own number."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    """Lines of text files as (path, line, block, place); ``block`` and ``place`` order the lines of a file.
+
+    A block is read by one task in order, so a line's place in that task follows its place in
+    the block.  ``plans.logs.numbered_lines`` turns both into line numbers.
+    """
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(
+        meta["file_path"].alias("path"),
+        F.col("value").alias("line"),
+        meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
 
 
 def append_rows(table: DataFrame, rows: DataFrame) -> DataFrame:

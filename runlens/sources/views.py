@@ -110,8 +110,8 @@ SELECT {_WORKFLOW_NAME} AS wrkflw_nm,
  CASE c_custkey % 4 WHEN 0 THEN 'Weekly' WHEN 1 THEN 'Hourly' ELSE 'Daily' END AS job_frequency
 FROM customer WHERE c_acctbal > 0""",
     "handover_note": """
-SELECT 'TEAM_' || CASE WHEN conv_id % 5 < 3 THEN 'SUPPORT' ELSE 'ENG' END AS team,
- CASE conv_id % 5 WHEN 0 THEN 'TEAM_SUPPORT_SHIFT1' WHEN 1 THEN 'TEAM_SUPPORT_SHIFT2' WHEN 2 THEN 'TEAM_SUPPORT_SHIFT3' WHEN 3 THEN 'TEAM_ENG_EAST' ELSE 'TEAM_ENG_WEST' END AS shift,
+SELECT CASE WHEN conv_id % 4 < 2 THEN 'HARBOUR' ELSE 'RIVER' END AS team,
+ CASE conv_id % 4 WHEN 0 THEN 'HARBOUR_DESK_EARLY' WHEN 1 THEN 'HARBOUR_DESK_LATE' WHEN 2 THEN 'RIVER_DAY' ELSE 'RIVER_NIGHT' END AS shift,
  CASE WHEN conv_id % 2 = 0 THEN '20240114' ELSE '20240115' END AS shift_date, conv_id, turn, text AS oncall_summary,
  'user1' AS created_user, 'user1' AS updated_user
 FROM conversations""",
@@ -167,22 +167,30 @@ FROM supplier""",
     "host_metric": """
 SELECT event_id, 'host' || CAST(user_id % 20 AS STRING) AS host, ts,
  CASE event_type WHEN 'view' THEN 'memory' WHEN 'click' THEN 'cpu' WHEN 'purchase' THEN 'disk' ELSE 'mount' END AS metric,
- least(value, CAST(100 AS DOUBLE)) AS used, CAST(100 AS DOUBLE) AS total
+ CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN NULL WHEN 'purchase' THEN '/'
+  ELSE CASE event_id % 3 WHEN 0 THEN '/nfs/en' WHEN 1 THEN '/nfs/fr' ELSE '/nfs/de' END END AS mount,
+ least(value, CAST(100 AS DOUBLE)) AS used, CAST(CASE WHEN event_id % 37 = 0 THEN 0 ELSE 100 END AS DOUBLE) AS total
 FROM events""",
     "process_sample": """
-SELECT 'host' || CAST(user_id % 20 AS STRING) AS host, event_id AS pid, ts, value AS pct_mem,
+SELECT 'host' || CAST(user_id % 20 AS STRING) AS host, event_id % 997 AS pid, CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS ts, value AS pct_mem,
  CAST(event_id * 7 % 1000 AS DOUBLE) / 10 AS pct_cpu, 'cmd' || CAST(event_id % 13 AS STRING) AS cmd FROM events""",
     "host_config": """
 SELECT s_suppkey AS config_id, 'host' || CAST(s_suppkey % 20 AS STRING) AS host,
  '/nfs/' || CAST(s_nationkey AS STRING) || ',/nfs/home' || CAST(s_suppkey % 3 AS STRING) AS mounts FROM supplier""",
     "dir_usage": """
-SELECT '/nfs/' || lang AS mount, '/nfs/' || lang || '/' || source || '/' || CAST(doc_id AS STRING) AS path,
- CAST(n_chars AS STRING) || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'K' WHEN 2 THEN '.5M' ELSE 'G' END AS size_text
+SELECT 'host' || CAST(doc_id % 20 AS STRING) AS host, CASE WHEN doc_id % 7 = 0 THEN '/' ELSE '/nfs/' || lang END AS mount,
+ '/nfs/' || lang || '/' || source || '/' || CAST(doc_id AS STRING) AS path,
+ CASE WHEN doc_id % 41 = 0 THEN '-' WHEN doc_id % 43 = 0 THEN '' ELSE CAST(n_chars AS STRING) END
+ || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'K' WHEN 2 THEN '.5M' ELSE 'G' END AS size_text
 FROM documents""",
     "reservation_raw": """
 SELECT event_id, ts AS poll_time, 'project-' || CAST(user_id % 5 AS STRING) AS project, 'zone-' || CAST(user_id % 3 AS STRING) AS zone,
  CASE WHEN event_type = 'error' THEN 'gateway timeout' ELSE
- '{"name":"res-' || CAST(user_id % 16 AS STRING) || '","creationTimestamp":"2024-01-01T00:00:00","specificReservation":{"count":100,"inUseCount":' || CAST(event_id % 101 AS STRING) || ',"assuredCount":100,"instanceProperties":{"machineType":"m' || CAST(user_id % 4 AS STRING) || '"}}}' END AS body
+ '{' || CASE WHEN event_id % 17 = 0 THEN '' ELSE '"name":"res-' || CAST(user_id % 16 AS STRING) || '",' END
+ || '"creationTimestamp":"2024-01-01T00:00:00","specificReservation":{"count":100,'
+ || CASE WHEN event_id % 23 = 0 THEN '' ELSE '"inUseCount":' || CAST(event_id % 101 AS STRING) || ',' END || '"assuredCount":100'
+ || CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 19 = 0 THEN ',"instanceProperties":{}'
+  ELSE ',"instanceProperties":{"machineType":"m' || CAST(user_id % 4 AS STRING) || '"}' END || '}}' END AS body
 FROM events""",
     "file_listing": """
 SELECT source || '/' || CAST(doc_id AS STRING) || '.log' AS path, CASE WHEN doc_id % 3 = 0 THEN 'svc' || source ELSE source END AS owner,

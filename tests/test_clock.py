@@ -12,6 +12,10 @@ def value(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
+EARLY = C.Shift("EARLY", "06:00:00", "14:00:00")
+NIGHT = C.Shift("NIGHT", "22:00:00", "06:00:00", -1)
+
+
 @pytest.mark.parametrize("seconds", [0, 59, 60, 3599, 3600, 86399, 86400, 86461, 172800, 1_000_000])
 def test_duration_text_is_that_of_a_time_difference(spark, seconds):
     assert value(spark, C.duration_text(F.lit(seconds).cast("bigint"))) == str(dt.timedelta(seconds=seconds))
@@ -24,13 +28,13 @@ def test_duration_of_nothing(spark):
 @pytest.mark.parametrize(
     "shift, as_of, zone, start, end",
     [
-        ("TEAM_SUPPORT_SHIFT1", "2024-01-15 17:00:00", "UTC", "2024-01-15 06:00", "2024-01-15 14:00"),
-        ("TEAM_SUPPORT_SHIFT3", "2024-01-15 17:00:00", "UTC", "2024-01-14 22:00", "2024-01-15 06:00"),
-        ("TEAM_SUPPORT_SHIFT1", "2024-01-15 17:00:00", "America/Chicago", "2024-01-15 12:00", "2024-01-15 20:00"),
+        (EARLY, "2024-01-15 17:00:00", "UTC", "2024-01-15 06:00", "2024-01-15 14:00"),
+        (NIGHT, "2024-01-15 17:00:00", "UTC", "2024-01-14 22:00", "2024-01-15 06:00"),
+        (EARLY, "2024-01-15 17:00:00", "America/Chicago", "2024-01-15 12:00", "2024-01-15 20:00"),
         # 03:00 UTC is still the day before in Chicago.
-        ("TEAM_SUPPORT_SHIFT1", "2024-01-15 03:00:00", "America/Chicago", "2024-01-14 12:00", "2024-01-14 20:00"),
+        (EARLY, "2024-01-15 03:00:00", "America/Chicago", "2024-01-14 12:00", "2024-01-14 20:00"),
         # The clock goes forward at 02:00 on 10 March: the night shift is an hour shorter.
-        ("TEAM_SUPPORT_SHIFT3", "2024-03-10 18:00:00", "America/Chicago", "2024-03-10 04:00", "2024-03-10 11:00"),
+        (NIGHT, "2024-03-10 18:00:00", "America/Chicago", "2024-03-10 04:00", "2024-03-10 11:00"),
     ],
 )
 def test_shift_bounds(spark, shift, as_of, zone, start, end):
@@ -42,8 +46,8 @@ def test_shift_bounds(spark, shift, as_of, zone, start, end):
 def test_windows_per_row_equal_the_named_bounds(spark):
     moments = ["2024-01-15 17:00:00", "2024-03-10 18:00:00", "2024-11-03 12:00:00"]
     df = spark.createDataFrame([(m,) for m in moments], "m string").withColumn("at", F.col("m").cast("timestamp_ntz"))
-    for row in C.with_shift_windows(df, F.col("at"), "America/Chicago").collect():
-        bounds = spark.range(1).select(*C.shift_bounds(row["shift"], row["m"], "America/Chicago")).first()
+    for row in C.with_shift_windows(df, F.col("at"), [EARLY, NIGHT], "America/Chicago").collect():
+        bounds = spark.range(1).select(*C.shift_bounds({EARLY.name: EARLY, NIGHT.name: NIGHT}[row["shift"]], row["m"], "America/Chicago")).first()
         assert (row["window_start"], row["window_end"]) == tuple(bounds)
 
 
@@ -71,8 +75,8 @@ def test_results_do_not_depend_on_the_session_zone(spark):
         found = set()
         for zone in ("UTC", "Asia/Kolkata", "America/New_York"):
             spark.conf.set("spark.sql.session.timeZone", zone)
-            begin, end = C.shift_bounds("TEAM_SUPPORT_SHIFT3", "2024-03-10 18:00:00", "America/Chicago")
-            row = spark.range(1).select(begin, end, C.minute_number(C.moment("2024-03-10 07:30:00"))).first()
+            begin, end = C.shift_bounds(NIGHT, "2024-03-10 18:00:00", "America/Chicago")
+            row = spark.range(1).select(begin, end).first()
             found.add(tuple(row))
         assert len(found) == 1
     finally:

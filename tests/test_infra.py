@@ -27,54 +27,71 @@ def test_clusters(spark, rows):
 
 
 def metrics(spark, *values):
-    return spark.createDataFrame(
-        [(i, h, m, NOW + dt.timedelta(minutes=t), float(u), 100.0) for i, (h, m, t, u) in enumerate(values)],
-        "event_id bigint, host string, metric string, ts timestamp_ntz, used double, total double",
-    )
+    rows = [(i, h, m, mount, NOW + dt.timedelta(minutes=t), float(u), 100.0) for i, (h, m, mount, t, u) in enumerate(values)]
+    rows.append((99, "d", "disk", "/", NOW, 5.0, 0.0))
+    return spark.createDataFrame(rows, "event_id bigint, host string, metric string, mount string, ts timestamp_ntz, used double, total double")
 
 
 def test_hosts(spark, rows):
     table = metrics(
-        spark, ("a", "memory", 0, 99), ("a", "memory", 1, 79.99), ("a", "cpu", 0, 80), ("b", "disk", 0, 79), ("c", "mount", 0, 95), ("c", "memory", 0, 85)
-    )
-    samples = spark.createDataFrame(
-        [(h, i, float(i), float(30 - i), f"cmd{i}") for h in "abc" for i in range(30)], "host string, pid bigint, pct_mem double, pct_cpu double, cmd string"
+        spark,
+        *[("a", "memory", None, 0, 99), ("a", "memory", None, 1, 79.99), ("a", "cpu", None, 0, 80), ("b", "disk", "/", 0, 79)],
+        *[("c", "mount", "/x", 0, 95), ("c", "mount", "/y", 9, 5), ("c", "memory", None, 0, 85)],
     )
+    old, new = NOW - dt.timedelta(hours=1), NOW
+    polls = [(h, i, new, float(i), float(30 - i), f"cmd{i}") for h in "abc" for i in range(30)]
+    # The same process was larger in earlier polls.
+    polls += [(h, 3, old - dt.timedelta(hours=n), 99.0, 99.0, "cmd3") for h in "abc" for n in range(2)]
+    samples = spark.createDataFrame(polls, "host string, pid bigint, ts timestamp_ntz, pct_mem double, pct_cpu double, cmd string")
     usage = infra.latest_usage(table)
     assert rows(usage.filter("host = 'a'"), "metric", "pct") == [("cpu", 80), ("memory", 79)]
-    assert rows(infra.host_any_alert(usage)) == [("a", True), ("b", False), ("c", True)]
+    assert rows(usage.filter("host = 'd'"), "pct") == [(None,)]
+    assert rows(usage.filter("metric = 'mount'"), "mount", "pct") == [("/x", 95), ("/y", 5)]
+    assert rows(infra.host_any_alert(usage)) == [("a", True), ("b", False), ("c", True), ("d", False)]
     top = infra.top20_memory(samples, usage).orderBy("place").collect()
     assert [r["pid"] for r in top] == list(range(29, 9, -1)) and {r["host"] for r in top} == {"c"}
     assert {r["host"] for r in infra.top20_cpu(samples, usage).collect()} == {"a"}
     health = {r["host"]: r for r in infra.host_health(table, samples).collect()}
     assert (health["a"]["cpu_top_pid"], health["a"]["mem_top_pid"], health["a"]["breached"]) == (0, None, 1)
-    assert health["b"]["alert"] is False
-    messages = {r["host"]: r["message"] for r in infra.host_health_report(table, samples).collect()}
-    assert messages.keys() == {"a", "c"} and "disk usage is: NA%" in messages["a"] and "29 cmd29\n28 cmd28" in messages["c"]
+    assert health["b"]["alert"] is False and health["c"]["mount_pct"] == 95 and health["c"]["mounts"] == "/x 95%\n/y 5%"
+    directories = spark.createDataFrame(
+        [("c", "/x", "/x/a", "1K"), ("c", "/x", "/x/b", "2G"), ("c", "/y", "/y/a", "9G"), ("b", "/", "/z", "1G")], "host string, mount string, path string, size_text string"
+    )
+    messages = {r["host"]: r["message"] for r in infra.host_health_report(table, samples, directories).collect()}
+    assert messages.keys() == {"a", "c"} and "disk NA%" in messages["a"] and "29 cmd29\n28 cmd28" in messages["c"]
+    assert messages["c"].endswith("largest directories:\n2G /x/b\n1K /x/a")
 
 
 def test_sizes(spark):
-    texts = {"512": 512, "4.0K": 4096, "1.5M": 1572864, "2G": 2 * 1024**3, "1T": 1024**4}
-    df = spark.createDataFrame([("m", t, t) for t in texts], "mount string, path string, size_text string")
+    texts = {"512": 512, "4.0K": 4096, "1.5M": 1572864, "2G": 2 * 1024**3, "1T": 1024**4, "-": None, "": None, "1.2.3K": None}
+    df = spark.createDataFrame([("h", "m", t, t) for t in texts], "host string, mount string, path string, size_text string")
     assert {r["size_text"]: r["size_bytes"] for r in df.withColumn("size_bytes", infra.size_in_bytes("size_text")).collect()} == texts
-    assert [r["path"] for r in infra.top20_disk(df, 2).orderBy("place").collect()] == ["1T", "2G"]
+    usage = spark.createDataFrame([("h", "mount", "m", 80)], "host string, metric string, mount string, pct bigint")
+    assert [r["path"] for r in infra.top20_disk(df, usage, count=2).orderBy("place").collect()] == ["1T", "2G"]
+    assert infra.top20_disk(df, usage, limit=81).count() == 0
 
 
 def test_reservations(spark, rows):
     good = '{"name":"r,1","specificReservation":{"count":5,"instanceProperties":{}},"extra":[1]}'
     raw = spark.createDataFrame(
-        [(1, dt.datetime(2024, 1, 15, 5, 59, 59, 999999), "p", "z", good), (2, NOW, "p", "z", "Some Error"), (3, NOW, "p", "z", None), (4, NOW, "p", "z", "{}")],
+        [(1, dt.datetime(2024, 1, 15, 5, 59, 59, 999999), "p", "z", good), (2, NOW, "p", "z", "Some Error"), (3, NOW, "p", "z", None), (4, NOW, "p", "z", "{}"),
+         (5, NOW, "p", "z", '{"name":"only a name"}'), (6, NOW, "p", "z", '{"specificReservation":{"instanceProperties":{"machineType":"m"}}}')],
         "event_id bigint, poll_time timestamp_ntz, project string, zone string, body string",
     )
-    assert rows(infra.reservation_flatten(raw), "event_id", "reservation_name", "res_cnt", "in_use_count", "machine_type") == [(1, "r,1", 5, None, None)]
-    assert rows(infra.reservation_rejects(raw), "event_id") == [(2,), (3,), (4,)]
-    (usage,) = infra.reservation_usage(raw).collect()
+    assert rows(infra.reservation_flatten(raw), "event_id", "reservation_name", "res_cnt", "in_use_count", "machine_type") == [
+        (1, "r,1", 5, None, None), (6, None, None, None, "m"),
+    ]
+    assert rows(infra.reservation_rejects(raw), "event_id") == [(2,), (3,), (4,), (5,)]
+    stored = infra.reservation_usage(raw)
+    assert rows(infra.csv_row_split(infra.csv_row_text(stored))) == rows(stored.drop("day"))
+    (usage,) = stored.filter("event_id = 1").collect()
     assert (usage["curr_time_cst"], str(usage["day"])) == ("2024-01-14 23:59:59", "2024-01-14")
 
 
 def test_short_comma_rows(spark):
     df = spark.createDataFrame([(1, "a,b"), (2, "t,c,r,n,m,z,1,x,3,p")], "event_id bigint, row string")
-    found = {r["event_id"]: r for r in infra.csv_row_split(df.filter("event_id = 1")).collect()}
+    found = {r["event_id"]: r for r in infra.csv_row_split(df).collect()}
+    assert (found[2]["zne"], found[2]["res_cnt"], found[2]["in_use_count"], found[2]["assured_count"]) == ("z", 1, None, 3)
     assert (found[1]["teams_space"], found[1]["curr_time_cst"], found[1]["res_timestamp"], found[1]["res_cnt"]) == ("a", "b", None, None)
 
 
@@ -90,5 +107,5 @@ def test_files(spark, rows):
 
 
 def test_percent_is_cut_off(spark):
-    df = spark.createDataFrame([(7999.0, 10000.0), (8000.0, 10000.0)], "u double, t double")
-    assert [r[0] for r in df.select(infra.usage_percent(F.col("u"), F.col("t"))).collect()] == [79, 80]
+    df = spark.createDataFrame([(7999.0, 10000.0), (8000.0, 10000.0), (1.0, 0.0)], "u double, t double")
+    assert [r[0] for r in df.select(infra.usage_percent(F.col("u"), F.col("t"))).collect()] == [79, 80, None]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators.changes import explode_workflows, fold_changes, update, upsert
+from runlens.functions.clock import Shift
 from runlens.plans import handover as H
 from runlens.plans import incidents as I
 from runlens.plans import records as R
@@ -169,23 +170,24 @@ def test_report_window_is_closed_and_joined_on_the_run_only(spark, rows):
     incidents = spark.createDataFrame(
         [record(1, "a", "WIP", at=at[0]), record(1, "b", "CLOSED", at=at[1]), record(1, "c", "WIP", at=at[2]), record(1, "d", "OPEN", at=at[0])], RECORD
     )
-    window = H.report_window("TEAM_SUPPORT_SHIFT1", "2024-01-15 17:00:00")
+    window = H.report_window(Shift("EARLY", "06:00:00", "14:00:00"), "2024-01-15 17:00:00")
     report = H.oncall_report(runs, incidents, window, closed_issues=True)
     assert [tuple(r) for r in report["counters"].collect()] == [(3, 1, 1)]
     assert rows(report["pending_issues"], "job_name") == [("a",)] and rows(report["closed_issues"], "job_name") == [("b",)]
     assert "closed_issues" not in H.oncall_report(runs, incidents, window)
     with pytest.raises(ValueError):
-        H.report_window("custom", start="2024-01-15 00:00:00")
+        H.report_window(None, start="2024-01-15 00:00:00")
 
 
 def test_message_without_note_or_issue(spark):
     empty = spark.createDataFrame([], "team string, shift string, shift_date string, oncall_summary string")
     runs = spark.createDataFrame([], RUN)
     incidents = spark.createDataFrame([], RECORD)
-    pieces = H.handover_html(runs, incidents, empty, "TEAM_ENG_WEST", "2024-01-15 17:00:00", "me").collect()
+    pieces = H.handover_html(runs, incidents, empty, Shift("NIGHT & DAY", "19:00:00", "07:00:00", -1), "2024-01-15 17:00:00", "<me>").collect()
     assert [p["section"] for p in pieces] == [0, 1, 3]
-    assert pieces[0]["html"] == "Shift Handover : 2024-01-14 - TEAM_ENG_WEST"
-    assert "<td>NA</td>" in pieces[1]["html"]
+    assert pieces[0]["html"] == "NIGHT & DAY, 2024-01-14: what is open"
+    assert "<h1>NIGHT &amp; DAY, " in pieces[1]["html"] and "<p>nothing noted</p>" in pieces[1]["html"]
+    assert "&lt;me&gt;" in pieces[2]["html"]
 
 
 def test_notes_of_one_job(spark, notes):

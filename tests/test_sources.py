@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.plans import logs
 from runlens.plans.infra import reservation_flatten
 from runlens.sources import tables
 from runlens.streaming import polls
@@ -14,7 +15,7 @@ RAW = "event_id bigint, poll_time timestamp_ntz, project string, zone string, bo
 
 def raw(spark, *ids):
     rows = [
-        (i, dt.datetime(2024, 1, 15, i % 24), "p", "z", "broken" if i % 5 == 0 else f'{{"name":"r{i}","specificReservation":{{"count":{i}}}}}')
+        (i, dt.datetime(2024, 1, 15, i % 24), "p", "z", "broken" if i % 5 == 0 else f'{{"name":"r{i}","specificReservation":{{"count":{i},"instanceProperties":{{}}}}}}')
         for i in ids
     ]
     return spark.createDataFrame(rows, RAW)
@@ -69,8 +70,16 @@ def test_daily_append(spark, tmp_path, rows):
 
 def test_log_files(spark, tmp_path, rows):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
-    lines = tables.read_log_files(spark, str(tmp_path))
-    assert rows(lines, "line") == [("one",), ("two",)]
+    (tmp_path / "b.txt").write_text("\n".join(f"line {i}" for i in range(5000)))
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "4096")
+    try:
+        lines = logs.numbered_lines(tables.read_log_files(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert sorted((r["line_no"], r["line"]) for r in lines if r["path"].endswith("a.txt")) == [(1, "one"), (2, "two")]
+    assert sorted((r["line_no"], r["line"]) for r in lines if r["path"].endswith("b.txt")) == [(i + 1, f"line {i}") for i in range(5000)]
 
 
 def test_reservation_stream_equals_batch_and_goes_on_after_a_restart(spark, tmp_path, rows):
