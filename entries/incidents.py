@@ -218,6 +218,16 @@ def bulk_update_notes(v):
     return R.bulk_notes(requests(v))
 
 
+@entry(
+    "bulk_notes_applied",
+    """
+SELECT notes_skey, parent_run_id, job_name, notes, updated_user, updated_dt FROM notes UNION ALL
+SELECT NULL, parent_run_id, job_name, 'seen ' || CAST(l_partkey AS VARCHAR), 'user' || CAST(l_partkey % 7 AS VARCHAR), NULL FROM o_requests WHERE l_partkey % 6 = 1""",
+)
+def bulk_notes_applied(v):
+    return R.add_bulk_notes(v.notes, requests(v))
+
+
 @entry(
     "capture_error",
     merged(

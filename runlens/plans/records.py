@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from runlens.functions.labels import alert_flags
 from runlens.operators.changes import explode_workflows, next_version, supplied, update, upsert
 from runlens.plans.workflows import JOB_KEY
+from runlens.sources.tables import append_rows
 
 
 def _closed_status():
@@ -66,6 +67,11 @@ def bulk_notes(requests: DataFrame) -> DataFrame:
     return noted.select("seq", *JOB_KEY, "notes", F.col("modified_by").alias("updated_user"))
 
 
+def add_bulk_notes(notes: DataFrame, requests: DataFrame) -> DataFrame:
+    """The notes table after the bulk requests; new notes have no key yet, the store gives it."""
+    return append_rows(notes, bulk_notes(requests).drop("seq"))
+
+
 def capture_errors(assignment: DataFrame, errors: DataFrame) -> DataFrame:
     """Upsert error texts. Changes: seq, parent_run_id, job_name, error, updated_user."""
     return upsert(assignment, errors.select("seq", *JOB_KEY, "error", "updated_user"), JOB_KEY)

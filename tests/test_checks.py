@@ -61,6 +61,25 @@ def test_query(spark, name):
     assert not [word for word in FORBIDDEN if word in plan]
 
 
+# Results whose order is part of them, by the columns that fix it.
+ORDERED = {
+    "order_created_desc": ["created_dt"],
+    "order_domain_status": ["domain_name", "status"],
+    "user_notes": ["notes_skey"],
+    "handover_html": ["section", "parent_run_id", "job_name"],
+}
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_order(spark, name):
+    found = [tuple(r[c] for c in ORDERED[name]) for r in QUERIES[name](spark, SF_DIR).collect()]
+    assert found and len(set(found)) > 1 or name == "user_notes"
+    columns = ", ".join(ORDERED[name])
+    direction = "DESC" if name in ("order_created_desc", "user_notes") else "ASC NULLS FIRST"
+    order = ", ".join(f"{c} {direction}" for c in ORDERED[name])
+    assert found == connection().execute(f"SELECT {columns} FROM ({CHECKS[name]}) ORDER BY {order}").fetchall()
+
+
 @pytest.mark.parametrize("name", VIEWS)
 def test_view(spark, name):
     known = {n: portable(sql) for n, sql in VIEWS.items()}
