@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import checkpointed, query, read, sized
+from runlens.llm.common import query, read, sized
 
 WINDOW = 8
 # Windows of the benchmark with fewer ordinary words say too little.
@@ -90,7 +90,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     items = items.unionByName(items.withColumn("text", F.lower("text"))).distinct()
     item = windows(items, "item_id").withColumnsRenamed({"place": "item_place", "found": "asked"}).distinct()
     literals = WINDOW - F.coalesce(F.size("asked"), F.lit(0))
-    item = checkpointed(item.filter(F.col("asked").isNull() | (literals >= MIN_LITERALS)))
+    # Cheap beside the documents, so it is computed again where it is used instead of written.
+    item = item.filter(F.col("asked").isNull() | (literals >= MIN_LITERALS))
     totals = item.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
     found = windows(docs.select(F.col(key).alias("doc_id"), "text"), "doc_id")
     # A document's id may be NULL, so it is grouped as a struct.  One shuffle serves all groupings
