@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so a question asked again with other
 parameters has the same template.  Windows of the documents' templates are hash-joined with
 those of the benchmark.  Where a window has placeholders, its values are checked: over one
-alignment, every value of the benchmark item must stand for one value in the document.
+alignment, every value of the benchmark item must stand for one value in the document.  Beside
+the templates, windows are joined as they are, so a verbatim copy needs no ordinary words.
 Only DataFrame functions are used.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from runlens.llm.common import query, read, sized
 
 WINDOW = 8
-# Windows of the benchmark with fewer ordinary words say too little.
+# Templates of the benchmark with fewer ordinary words say too little; with their values they count.
 MIN_LITERALS = 5
 # So many windows of an item (13 words) must be found, or all of a shorter item.
 MIN_MATCHED = 6
@@ -49,20 +50,25 @@ def with_marked(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def windows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """A row for each run of ``WINDOW`` words: key, ``h`` (hash of its template), ``place``, ``found`` (its marked values or NULL).
+    """Rows for each run of ``WINDOW`` words: key, ``h`` (hash of its template), ``place``, ``found`` (its marked values or NULL), ``more``.
 
-    Hashes of 8 words are made of those of 4, and these of 2, so a word is hashed once only.
+    A run with values has a second row, where ``h`` is the hash of its words without marks,
+    ``found`` is NULL, as in runs without values, and ``more`` is true.  Hashes of 8 words are made of those of 4, and
+    these of 2, so a word is hashed once only in each form.
     """
     words = with_marked(docs.select(key, text), text).select(key, "marked")
     words = words.withColumn("has", F.col("marked").rlike("[\u0001-\u0003]"))
     template = F.when(F.col("has"), F.regexp_replace("marked", "([\u0001-\u0003])[^ ]+", "$1")).otherwise(F.col("marked"))
-    runs = words.withColumn("h", F.transform(F.split(template, " "), lambda w: F.xxhash64(w)))
-    half = 1
-    while half < WINDOW:
-        left = F.greatest(F.size("h") - half, F.lit(0))
-        pairs = F.zip_with(F.slice("h", F.lit(1), left), F.slice("h", F.lit(half + 1), left), lambda a, b: F.xxhash64(a, b))
-        runs = runs.withColumn("h", pairs)
-        half *= 2
+    verbatim = F.when(F.col("has"), F.translate("marked", NUMBER + UNIT + NAME, ""))
+    runs = words
+    for name, form in (("h", template), ("same", verbatim)):
+        runs = runs.withColumn(name, F.transform(F.split(form, " "), lambda w: F.xxhash64(w)))
+        half = 1
+        while half < WINDOW:
+            left = F.greatest(F.size(name) - half, F.lit(0))
+            pairs = F.zip_with(F.slice(name, F.lit(1), left), F.slice(name, F.lit(half + 1), left), lambda a, b: F.xxhash64(a, b))
+            runs = runs.withColumn(name, pairs)
+            half *= 2
     runs = runs.withColumn("words", F.when(F.col("has"), F.split("marked", " ")))
 
     def values(at: Column) -> Column:
@@ -71,16 +77,22 @@ def windows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         return F.when(F.array_min(run) < "\u0004", F.filter(run, lambda w: w < "\u0004"))
 
     found = F.when(F.col("has"), F.transform("h", lambda _, i: values(i + 1)))
-    zipped = F.arrays_zip(F.col("h"), F.coalesce(found, F.array().cast("array<array<string>>")).alias("found"))
-    return runs.select(key, F.posexplode(zipped).alias("place", "w")).select(key, "w.h", "place", F.col("w")["found"].alias("found"))
+    # The second rows follow the first ones; runs without values have no second hash.
+    second = F.zip_with("same", "h", lambda a, b: F.when(a != b, a))
+    hashes = F.concat("h", F.coalesce(second, F.array().cast("array<bigint>"))).alias("h")
+    zipped = F.arrays_zip(hashes, F.coalesce(found, F.array().cast("array<array<string>>")).alias("found"))
+    rows = runs.select(key, F.size("h").alias("n"), F.posexplode(zipped).alias("at", "w")).filter(F.col("w")["h"].isNotNull())
+    place, more = (F.col("at") % F.col("n")).alias("place"), (F.col("at") >= F.col("n")).alias("more")
+    return rows.select(key, "w.h", place, F.col("w")["found"].alias("found"), more)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents that hold a benchmark item, one row for each document and item.
 
-    Columns: ``doc_id, item_id, n_matched`` (windows of the item found), ``n_windows`` (of the item,
-    with enough ordinary words), ``reparameterised`` (some value differs from the item's).  A
-    pair is given if at least ``MIN_MATCHED`` windows, or all windows of a shorter item, are found
+    Columns: ``doc_id, item_id, n_matched`` (windows of the item found; templates only, where these
+    are enough), ``n_windows`` (all of the item), ``reparameterised`` (some value differs from the
+    item's).  A window is found if its words and values are, or its template, where that has
+    ``MIN_LITERALS`` ordinary words.  A pair is given if at least ``MIN_MATCHED`` windows, or all windows of a shorter item, are found
     in alignments with consistent values.  Items are also indexed in lower case, where nothing is
     a name, so a copy in other case is found as well.  Items of fewer than ``WINDOW`` words, NULL
     and empty texts match nothing.  Rows with a NULL id are searched like others.  Rows given twice give
@@ -88,17 +100,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     """
     items = benchmark.select("item_id", "text").distinct()
     items = items.unionByName(items.withColumn("text", F.lower("text"))).distinct()
-    item = windows(items, "item_id").withColumnsRenamed({"place": "item_place", "found": "asked"}).distinct()
+    item = windows(items, "item_id").withColumnsRenamed({"place": "item_place", "found": "asked", "more": "_more"}).distinct()
     literals = WINDOW - F.coalesce(F.size("asked"), F.lit(0))
     # Cheap beside the documents, so it is computed again where it is used instead of written.
-    item = item.filter(F.col("asked").isNull() | (literals >= MIN_LITERALS))
     totals = item.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
+    item = item.filter(F.col("asked").isNull() | (literals >= MIN_LITERALS))
     found = windows(docs.select(F.col(key).alias("doc_id"), "text"), "doc_id")
     # A document's id may be NULL, so it is grouped as a struct.  One shuffle serves all groupings
     # below; what meets in it, the hits of one item in one document, is bounded by their lengths.
-    met = found.join(sized(item), "h").select(
-        F.struct("doc_id").alias("d"), "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), "asked", "found"
-    )
+    shift, more = (F.col("place") - F.col("item_place")).alias("shift"), (F.col("more") | F.col("_more")).alias("more")
+    met = found.join(sized(item), "h").select(F.struct("doc_id").alias("d"), "item_id", "item_place", shift, "asked", "found", more)
     met = met.repartition("d", "item_id")
     alignment = ["d", "item_id", "shift"]
     value = F.explode(F.arrays_zip("asked", "found")).alias("v")
@@ -107,14 +118,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     judged = values.groupBy(*alignment).agg(
         F.max(F.col("least") != F.col("most")).alias("broken"), F.max(F.col("most") != F.col("asked")).alias("changed")
     )
-    runs = met.groupBy(*alignment).agg(F.collect_set("item_place").alias("places")).join(judged, alignment, "left")
+    by_template = F.collect_set(F.when(~F.col("more"), F.col("item_place"))).alias("by_template")
+    runs = met.groupBy(*alignment).agg(by_template, F.collect_set("item_place").alias("places")).join(judged, alignment, "left")
     runs = runs.filter(~F.coalesce("broken", F.lit(False)))
+
+    def n_places(name: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("bigint")
+
     pairs = runs.groupBy("d", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_matched"),
+        n_places("by_template").alias("by_template"),
+        n_places("places").alias("n_matched"),
         F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised"),
     )
-    enough = F.col("n_matched") >= F.least(F.lit(MIN_MATCHED), F.col("n_windows"))
-    return pairs.join(totals, "item_id").filter(enough).select("d.doc_id", "item_id", "n_matched", "n_windows", "reparameterised")
+    needed = F.least(F.lit(MIN_MATCHED), F.col("n_windows"))
+    found = pairs.join(totals, "item_id").filter(F.col("n_matched") >= needed)
+    n_matched = F.when(F.col("by_template") >= needed, F.col("by_template")).otherwise(F.col("n_matched")).alias("n_matched")
+    return found.select("d.doc_id", "item_id", n_matched, "n_windows", "reparameterised")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -188,6 +188,30 @@ def test_leaks(spark):
     assert decontamination.leaks(df.limit(0), items).count() == 0 and decontamination.leaks(df, items.limit(0)).count() == 0
 
 
+def leaked(spark, docs, items):
+    """(doc_id, item_id) -> the row of ``leaks``."""
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = decontamination.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len({(r["doc_id"], r["item_id"]) for r in found}) == len(found)
+    return {(r["doc_id"], r["item_id"]): r for r in found}
+
+
+def test_leaks_of_items_with_few_ordinary_words(spark):
+    sums = "12 plus 30 is 42 and 7 times 8 is 56 or 9 less 3 is 6"
+    scores = "10 20 30 40 50 60 70 80 90 100"
+    usable = "what is the sum of all these numbers here 1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    docs = [
+        (1, f"Before. {sums} After."),
+        (2, f"Table: {scores}."),
+        (3, "10 20 30 40 50 60 70 80 90 101"),
+        (4, "he asked what is the sum of all these numbers here 77 of them"),
+        (5, usable),
+    ]
+    found = leaked(spark, docs, [(1, sums), (2, scores), (3, usable)])
+    assert found.keys() == {(1, 1), (2, 2), (5, 3)}
+    assert {k: (r["n_matched"], r["n_windows"]) for k, r in found.items()} == {(1, 1): (10, 10), (2, 2): (3, 3), (5, 3): (16, 16)}
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("In 2024, the Greens ran 10km, not 5 miles. Then John said 3.5",)], "text string")
     marks = decontamination.with_marked(df).first()["marked"]
