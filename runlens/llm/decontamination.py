@@ -94,13 +94,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     item's).  A window is found if its words and values are, or its template, where that has
     ``MIN_LITERALS`` ordinary words.  A pair is given if at least ``MIN_MATCHED`` windows, or all windows of a shorter item, are found
     in alignments with consistent values.  Items are also indexed in lower case, where nothing is
-    a name, so a copy in other case is found as well.  Items of fewer than ``WINDOW`` words, NULL
+    a name, so a copy in other case is found as well, and with their first word as within a
+    sentence, where it may be a name.  Items of fewer than ``WINDOW`` words, NULL
     and empty texts match nothing.  Rows with a NULL id are searched like others.  Rows given twice give
     one row.  Copies of a benchmark row count once.
     """
     items = benchmark.select("item_id", "text").distinct()
     items = items.unionByName(items.withColumn("text", F.lower("text"))).distinct()
-    item = windows(items, "item_id").withColumnsRenamed({"place": "item_place", "found": "asked", "more": "_more"}).distinct()
+    within = windows(benchmark.select("item_id", F.concat(F.lit(", "), F.ltrim("text")).alias("text")), "item_id")
+    within = within.filter((F.col("place") == 0) & F.col("found").isNotNull()).withColumn("more", F.lit(True))
+    item = windows(items, "item_id").unionByName(within).distinct()
+    item = item.withColumnsRenamed({"place": "item_place", "found": "asked", "more": "_more"})
     literals = WINDOW - F.coalesce(F.size("asked"), F.lit(0))
     # Cheap beside the documents, so it is computed again where it is used instead of written.
     totals = item.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))

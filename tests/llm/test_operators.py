@@ -212,6 +212,25 @@ def test_leaks_of_items_with_few_ordinary_words(spark):
     assert {k: (r["n_matched"], r["n_windows"]) for k, r in found.items()} == {(1, 1): (10, 10), (2, 2): (3, 3), (5, 3): (16, 16)}
 
 
+def test_leaks_within_a_sentence(spark):
+    asked = "Which planet has the most moons of all known ones"
+    docs = [
+        (1, f"and then, as they ask {asked}, nobody answers"),
+        (2, f"they ask: {asked}?"),
+        (3, "as they ask Which planet has the most rings of all known ones"),
+        (4, "so they ask, Anna sold all 30 of her red apples to us"),
+        (5, "so they ask, Anna sold all 30 of her red apples to Tom"),
+        (6, "so they ask, Mary sold all 12 of her red apples to us"),
+    ]
+    found = leaked(spark, docs, [(1, asked), (2, "  Mary sold all 12 of her red apples to us")])
+    assert {k: (r["n_matched"], r["reparameterised"]) for k, r in found.items()} == {
+        (1, 1): (3, False),
+        (2, 1): (3, False),
+        (4, 2): (3, True),
+        (6, 2): (3, False),
+    }
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("In 2024, the Greens ran 10km, not 5 miles. Then John said 3.5",)], "text string")
     marks = decontamination.with_marked(df).first()["marked"]
