@@ -90,10 +90,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     """Documents that hold a benchmark item, one row for each document and item.
 
     Columns: ``doc_id, item_id, n_matched`` (windows of the item found; templates only, where these
-    are enough), ``n_windows`` (all of the item), ``reparameterised`` (some value differs from the
+    are enough), ``n_windows`` (all of the item), ``reparameterised`` (some counted value differs from the
     item's).  A window is found if its words and values are, or its template, where that has
     ``MIN_LITERALS`` ordinary words.  A pair is given if at least ``MIN_MATCHED`` windows, or all windows of a shorter item, are found
-    in alignments with consistent values.  Items are also indexed in lower case, where nothing is
+    in alignments with consistent values; windows equal in words and values count in every
+    alignment.  Items are also indexed in lower case, where nothing is
     a name, so a copy in other case is found as well, and with their first word as within a
     sentence, where it may be a name.  Items of fewer than ``WINDOW`` words, NULL
     and empty texts match nothing.  Rows with a NULL id are searched like others.  Rows given twice give
@@ -115,16 +116,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     shift, more = (F.col("place") - F.col("item_place")).alias("shift"), (F.col("more") | F.col("_more")).alias("more")
     met = found.join(sized(item), "h").select(F.struct("doc_id").alias("d"), "item_id", "item_place", shift, "asked", "found", more)
     met = met.repartition("d", "item_id")
-    alignment = ["d", "item_id", "shift"]
-    value = F.explode(F.arrays_zip("asked", "found")).alias("v")
-    values = met.filter(F.col("asked").isNotNull()).select(*alignment, value).select(*alignment, "v.asked", "v.found")
-    values = values.groupBy(*alignment, "asked").agg(F.min("found").alias("least"), F.max("found").alias("most"))
-    judged = values.groupBy(*alignment).agg(
-        F.max(F.col("least") != F.col("most")).alias("broken"), F.max(F.col("most") != F.col("asked")).alias("changed")
+    # A value of the item must stand for one value; else only windows that are as in the item count.
+    runs = met.groupBy("d", "item_id", "shift").agg(
+        F.collect_set(F.when(~F.col("more"), F.col("item_place"))).alias("by_template"),
+        F.collect_set(F.when(F.col("asked").isNull(), F.col("item_place"))).alias("verbatim"),
+        F.collect_set("item_place").alias("places"),
+        F.collect_set(F.when(F.col("asked").isNotNull(), F.arrays_zip("asked", "found"))).alias("values"),
+    )
+    runs = runs.withColumn("values", F.array_distinct(F.flatten("values")))
+    runs = runs.withColumn("broken", F.size("values") != F.size(F.array_distinct("values.asked")))
+    runs = runs.select(
+        "d",
+        "item_id",
+        F.when(F.col("broken"), F.array_intersect("by_template", "verbatim")).otherwise(F.col("by_template")).alias("by_template"),
+        F.when(F.col("broken"), F.col("verbatim")).otherwise(F.col("places")).alias("places"),
+        (~F.col("broken") & F.exists("values", lambda v: v["asked"] != v["found"])).alias("changed"),
     )
-    by_template = F.collect_set(F.when(~F.col("more"), F.col("item_place"))).alias("by_template")
-    runs = met.groupBy(*alignment).agg(by_template, F.collect_set("item_place").alias("places")).join(judged, alignment, "left")
-    runs = runs.filter(~F.coalesce("broken", F.lit(False)))
 
     def n_places(name: str) -> Column:
         return F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("bigint")
@@ -132,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     pairs = runs.groupBy("d", "item_id").agg(
         n_places("by_template").alias("by_template"),
         n_places("places").alias("n_matched"),
-        F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised"),
+        F.max("changed").alias("reparameterised"),
     )
     needed = F.least(F.lit(MIN_MATCHED), F.col("n_windows"))
     found = pairs.join(totals, "item_id").filter(F.col("n_matched") >= needed)

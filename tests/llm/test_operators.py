@@ -231,6 +231,23 @@ def test_leaks_within_a_sentence(spark):
     }
 
 
+def test_leaks_with_one_edited_value(spark):
+    """By one of two mentions edited, a copy of the rest is still a leak; a rewritten one with two names for one is not."""
+    asked = (
+        "Long ago, John Smith had many apples and pears and plums in the big old house by the river and gave all of them away"
+        " to the poor people of the town, so how much did John keep"
+    )
+    docs = [
+        (1, asked.replace("John keep", "Bob keep")),
+        (2, asked.replace("John", "Anna").replace("Anna keep", "Bob keep")),
+        (3, asked.replace("John", "Anna")),
+        (4, "x " + " ".join(asked.replace("John keep", "Bob keep").split()[-14:])),
+    ]
+    found = leaked(spark, docs, [(1, asked)])
+    assert {k[0]: r["reparameterised"] for k, r in found.items()} == {1: False, 2: False, 3: True, 4: True}
+    assert found[1, 1]["n_matched"] < found[3, 1]["n_matched"]
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("In 2024, the Greens ran 10km, not 5 miles. Then John said 3.5",)], "text string")
     marks = decontamination.with_marked(df).first()["marked"]
