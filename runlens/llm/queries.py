@@ -2,7 +2,33 @@
 
 from __future__ import annotations
 
-from runlens.llm import decontamination, extraction, licences, linededup, mixing, quality_cnn, quality_rules, revisits, simhash, suffixdedup
+from runlens.llm import (
+    decontamination,
+    extraction,
+    licences,
+    linededup,
+    mixing,
+    quality_cnn,
+    quality_rules,
+    revisits,
+    simhash,
+    suffixdedup,
+    whitening,
+)
 from runlens.llm.common import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "decontamination", "extraction", "licences", "linededup", "mixing", "quality_cnn", "quality_rules", "revisits", "simhash", "suffixdedup"]
+__all__ = [
+    "CHECKS",
+    "QUERIES",
+    "decontamination",
+    "extraction",
+    "licences",
+    "linededup",
+    "mixing",
+    "quality_cnn",
+    "quality_rules",
+    "revisits",
+    "simhash",
+    "suffixdedup",
+    "whitening",
+]
