@@ -8,11 +8,13 @@ from runlens.llm import (
     licences,
     linededup,
     mixing,
+    periodic,
     quality_cnn,
     quality_rules,
     revisits,
     simhash,
     suffixdedup,
+    toxicity,
     whitening,
 )
 from runlens.llm.common import CHECKS, QUERIES
@@ -25,10 +27,12 @@ __all__ = [
     "licences",
     "linededup",
     "mixing",
+    "periodic",
     "quality_cnn",
     "quality_rules",
     "revisits",
     "simhash",
     "suffixdedup",
+    "toxicity",
     "whitening",
 ]
