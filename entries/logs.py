@@ -171,6 +171,40 @@ def suggestion_join(v):
     return match_keys(log(v), ADVICE_TABLE, "line").select("run_id", "line_no", "suggestion_no", "suggestion")
 
 
+# Tables of any length; the checks try every pattern and key on every distinct line.
+
+PARTS["o_table_matches"] = """
+SELECT l.run_id, l.line_no, m.pattern_no, m.name, m.hit FROM job_log l
+JOIN (SELECT line, pattern_no, name, unnest(regexp_extract_all(line, pattern, 0)) AS hit
+ FROM (SELECT DISTINCT line FROM job_log) d, pattern_entry) m ON l.line = m.line"""
+
+
+@entry("pattern_match_table", "SELECT run_id, line_no, pattern_no, name, hit FROM o_table_matches")
+def pattern_match_table(v):
+    return match_patterns(log(v), v.pattern_entry).drop("line")
+
+
+@entry(
+    "typed_errors_table",
+    """
+SELECT t.run_id, t.hit AS error_text, t.pattern_no, t.line_no, count(*) OVER (PARTITION BY t.run_id) AS match_count
+FROM (SELECT * FROM o_table_matches WHERE NOT contains(hit, 'WARN') AND NOT contains(hit, 'INFO')
+ QUALIFY row_number() OVER (PARTITION BY run_id, hit ORDER BY pattern_no, line_no) = 1) t""",
+)
+def typed_errors_table(v):
+    return logs.typed_errors(log(v), v.pattern_entry)
+
+
+@entry(
+    "suggestion_table",
+    """
+SELECT l.run_id, l.line_no, m.suggestion_no, m.suggestion FROM job_log l
+JOIN (SELECT line, suggestion_no, suggestion FROM (SELECT DISTINCT line FROM job_log) d, suggestion_entry WHERE contains(line, error_key)) m ON l.line = m.line""",
+)
+def suggestion_table(v):
+    return match_keys(log(v), v.suggestion_entry, "line").select("run_id", "line_no", "suggestion_no", "suggestion")
+
+
 @entry("dedup_keep_first", "SELECT run_id, line, min(line_no) AS line_no FROM job_log GROUP BY 1, 2")
 def dedup_keep_first(v):
     return first_seen(log(v), ["run_id", "line"], ["line_no"], "first").select("run_id", "line", "first.line_no")

@@ -93,18 +93,6 @@ def marked(names: Column) -> Column:
     return F.filter(names, lambda w: w.startswith("&"))
 
 
-def replace_names(text: Column, values: Column) -> Column:
-    """Replace every name of the map, longer names first, in one pass: inserted values are not searched again."""
-    by_length = F.array_sort(
-        F.map_keys(values),
-        lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0),
-    )
-    quoted = F.transform(by_length, lambda n: F.concat(F.lit(r"\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    pieces = F.regexp_extract_all(text, F.concat(F.array_join(quoted, "|"), F.lit("|(?s:.)")), F.lit(0))
-    replaced = F.array_join(F.transform(pieces, lambda p: F.coalesce(value_of(values, p), p)), "")
-    return F.when(F.size(values) > 0, replaced).otherwise(text)
-
-
 def replace_words(text: Column, values: Column) -> Column:
     """Replace every ``&`` word; NULL if one has no value."""
     new = F.transform(words(text), lambda w: F.when(w.startswith("&"), value_of(values, w)).otherwise(w))

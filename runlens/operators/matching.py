@@ -1,8 +1,11 @@
 """Matching lines against configured patterns or keys.
 
-Patterns and keys are configuration, given as lists like any other parameter.  They become
-literal expressions: the lines are read once, without a join, and every regular expression is
+A few patterns or keys are given as lists like any other parameter.  They become literal
+expressions: the lines are read once, without a join, and every regular expression is
 compiled once.  One combined expression first drops the lines that match nothing.
+
+Thousands of them are given as tables.  Lines meet those whose required text they may hold (see
+``postings``), and only these are tried, so the work hardly grows with the length of the table.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.operators.literals import folded, required_texts
+from runlens.operators.postings import meet_entries
+
 
 class Pattern(NamedTuple):
     """A regular expression without groups, its number in the report order and its name."""
@@ -30,8 +36,16 @@ class Suggestion(NamedTuple):
     suggestion: str
 
 
-def match_patterns(lines: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """All matches of all patterns: the line's columns, ``pattern_no``, ``name`` and the matched text ``hit``."""
+def match_patterns(lines: DataFrame, patterns: Sequence[Pattern] | DataFrame) -> DataFrame:
+    """All matches of all patterns: the line's columns, ``pattern_no``, ``name`` and the matched text ``hit``.
+
+    A table of patterns has the columns of ``Pattern``; rows without a pattern match nothing.
+    """
+    if isinstance(patterns, DataFrame):
+        known = patterns.filter(F.col("pattern").isNotNull()).select("pattern_no", "name", F.col("pattern").alias("_pattern"))
+        met = meet_entries(lines, "line", known, required_texts(F.col("_pattern")))
+        hits = F.regexp_extract_all("line", F.col("_pattern"), F.lit(0))
+        return met.withColumn("hit", F.explode(hits)).drop("_pattern")
     if not patterns:
         return lines.select("*", F.lit(0).alias("pattern_no"), F.lit("").alias("name"), F.lit("").alias("hit")).filter(F.lit(False))
     any_pattern = "|".join(f"(?:{p.pattern})" for p in patterns)
@@ -45,8 +59,16 @@ def match_patterns(lines: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     return kept.select(*lines.columns, "_found.*").withColumn("hit", F.explode("_hits")).drop("_hits")
 
 
-def match_keys(errors: DataFrame, suggestions: Sequence[Suggestion], text: str) -> DataFrame:
-    """All suggestions whose key text occurs in the error: the error's columns, ``suggestion_no``, ``suggestion``."""
+def match_keys(errors: DataFrame, suggestions: Sequence[Suggestion] | DataFrame, text: str) -> DataFrame:
+    """All suggestions whose key text occurs in the error: the error's columns, ``suggestion_no``, ``suggestion``.
+
+    A table of suggestions has the columns of ``Suggestion``; rows without a key fit nothing, an empty key fits all.
+    """
+    if isinstance(suggestions, DataFrame):
+        key = F.col("_key")
+        known = suggestions.filter(F.col("error_key").isNotNull()).select("suggestion_no", "suggestion", F.col("error_key").alias("_key"))
+        required = F.array(F.filter(F.array(folded(key)), lambda k: k != ""))
+        return meet_entries(errors, text, known, required).filter(F.contains(F.col(text), key)).drop("_key")
     if not suggestions:
         return errors.select("*", F.lit(0).alias("suggestion_no"), F.lit("").alias("suggestion")).filter(F.lit(False))
 

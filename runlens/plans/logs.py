@@ -112,12 +112,12 @@ def changed_lines(lines: DataFrame, text: str = "url") -> DataFrame:
     return before.filter(~F.col(text).eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def typed_matches(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+def typed_matches(log: DataFrame, patterns: Sequence[Pattern] | DataFrame) -> DataFrame:
     """Pattern matches except those that mention WARN or INFO."""
     return match_patterns(log, patterns).filter(~F.col("hit").contains("WARN") & ~F.col("hit").contains("INFO"))
 
 
-def distinct_errors(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+def distinct_errors(log: DataFrame, patterns: Sequence[Pattern] | DataFrame) -> DataFrame:
     """Distinct error texts per run with the place first seen, by pattern and then line."""
     matches = typed_matches(log.filter(F.col("run_id").isNotNull()), patterns)
     found = first_seen(matches, ["run_id", "hit"], ["pattern_no", "line_no"], "first")
@@ -129,7 +129,7 @@ def distinct_errors(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     )
 
 
-def typed_errors(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+def typed_errors(log: DataFrame, patterns: Sequence[Pattern] | DataFrame) -> DataFrame:
     """Distinct errors with ``match_count``, their number per run: the reports show the list only when it is above one."""
     errors = distinct_errors(log, patterns)
     # Counting a column of the result keeps both inputs of the join alike, so the matching runs once.
@@ -137,7 +137,7 @@ def typed_errors(log: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     return join_groups(errors, sizes, ["run_id"])
 
 
-def suggestions(errors: DataFrame, table: Sequence[Suggestion], text: str = "error_text") -> DataFrame:
+def suggestions(errors: DataFrame, table: Sequence[Suggestion] | DataFrame, text: str = "error_text") -> DataFrame:
     """Distinct suggestions per run; ``suggestion_no`` is the first table entry that gave the text."""
     matches = match_keys(errors, table, text)
     return matches.groupBy("run_id", "suggestion").agg(F.min("suggestion_no").alias("suggestion_no"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text as T
+from runlens.operators.names import replace_names
 from runlens.operators.spread import join_groups, left_join_spread
 
 SKIPPED_ASSIGNMENT = "SA_AUTH_FILE"
@@ -93,26 +94,9 @@ def with_values(lines: DataFrame, variables: DataFrame, names: Column) -> DataFr
     return valued.groupBy(*lines.columns).agg(F.map_from_entries(F.collect_list(pair)).alias("vals"))
 
 
-def with_known_names(lines: DataFrame, variables: DataFrame) -> DataFrame:
-    """Lines with ``vals``, a map of the job's variable names that stand anywhere in the line to their values.
-
-    Names meet lines on their first two characters (a name of one character on that), an equi
-    join, and are then looked for in the line.
-    """
-    line = F.col("line")
-    places = F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1)))
-    starts = F.array_union(F.transform(places, lambda i: F.substr(line, i, F.lit(2))), F.transform(places, lambda i: F.substr(line, i, F.lit(1))))
-    named = variables.filter("key <> ''").select("job_id", F.left("key", F.lit(2)).alias("start"), F.struct("key", "value").alias("pair"))
-    asked = lines.select(*lines.columns, F.explode(starts).alias("start"))
-    met = asked.join(named, ["job_id", "start"], "left")
-    found = F.when(line.contains(F.col("pair.key")) & F.col("pair.value").isNotNull(), F.col("pair"))
-    return met.groupBy(*lines.columns).agg(F.map_from_entries(F.collect_set(found)).alias("vals"))
-
-
 def substitute_regex(lines: DataFrame, variables: DataFrame) -> DataFrame:
     """Replace variable names wherever they stand in a line, in one pass from the left, longer names first."""
-    valued = with_known_names(lines, variables)
-    return valued.withColumn("replaced", T.replace_names(F.col("line"), F.col("vals"))).drop("vals")
+    return replace_names(lines, variables, "job_id", "line_no", "line", "replaced")
 
 
 def substitute_tokens(lines: DataFrame, variables: DataFrame) -> DataFrame:

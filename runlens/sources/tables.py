@@ -90,3 +90,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {WORK_DIR_SETTING} to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="runlens-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared work folder: computed once, and safe if executors are lost."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """A table marked for broadcast if its rows, counted, take at most ``max_bytes``; unmarked beyond.
+
+    ``df`` should be cheap to read twice.
+    """
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

@@ -134,6 +134,21 @@ SELECT event_id AS line_no, user_id AS run_id, ts,
   WHEN 'purchase' THEN 'input part-' || CAST(event_id % 50 AS STRING) || ' is not available'
   ELSE CASE WHEN event_id % 5 = 0 THEN 'managed node is ready' ELSE CAST(event_id % 6 AS STRING) || ' rules failed!' END END AS line
 FROM events""",
+    "pattern_entry": """
+SELECT CAST(p_partkey AS INT) AS pattern_no, 'pattern ' || CAST(p_partkey AS STRING) AS name,
+ CASE WHEN p_partkey = 7 THEN '(?i).*warn.*step.*' WHEN p_partkey = 9 THEN '[0-9]+ rules' WHEN p_partkey = 11 THEN '^[A-Z]+ ' ELSE
+ CASE p_partkey % 5 WHEN 0 THEN '(?i)error in step ' || CAST(p_partkey AS STRING) || '$'
+  WHEN 1 THEN 'part-' || CAST(p_partkey AS STRING) || ' is not (available|ready)'
+  WHEN 2 THEN 'cl[0-9]+-m[.]c[.]proj' || CAST(p_partkey AS STRING) || '[.]internal'
+  WHEN 3 THEN '(?i)CONTAINER ' || CAST(p_partkey AS STRING) || ' (killed|lost)|node ' || CAST(p_partkey AS STRING) || ' is ready'
+  ELSE '^' || CAST(p_partkey AS STRING) || ' rules failed!+$' END END AS pattern
+FROM part""",
+    "suggestion_entry": """
+SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS suggestion_no,
+ CASE l_linenumber % 4 WHEN 0 THEN 'step ' || CAST(l_orderkey AS STRING) WHEN 1 THEN 'part-' || CAST(l_orderkey AS STRING) || ' is'
+  WHEN 2 THEN 'container ' || CAST(l_orderkey AS STRING) || ' killed' ELSE CAST(l_orderkey AS STRING) || ' rules' END AS error_key,
+ 'see guide ' || CAST(l_orderkey % 50 AS STRING) AS suggestion
+FROM lineitem""",
     "process_tab": """
 SELECT p_partkey % 49 AS job_id, p_partkey AS line_no,
  CASE p_partkey % 8 WHEN 0 THEN 'source /u/&TEAM#/ien-&STEP#-env.sh' WHEN 1 THEN 'export REGION=us' || CAST(p_size AS STRING) WHEN 2 THEN 'cd /edge_data/&TEAM# &TEAM#'
