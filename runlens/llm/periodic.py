@@ -201,18 +201,17 @@ def collapse(texts: list[list[bytes]]) -> list[tuple[list[dict], str]]:
 
 def collapse_column():
     @F.pandas_udf(FOUND)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows, block, filled = [], [], 0
-            for text in texts:
-                words = words_of(text)
-                block.append(words)
-                filled += len(words)
-                if filled >= WORDS_PER_BLOCK:
-                    rows.extend(collapse(block))
-                    block, filled = [], 0
-            rows.extend(collapse(block))
-            yield pd.DataFrame(rows, columns=["runs", "collapsed"])
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows, block, filled = [], [], 0
+        for text in texts:
+            words = words_of(text)
+            block.append(words)
+            filled += len(words)
+            if filled >= WORDS_PER_BLOCK:
+                rows.extend(collapse(block))
+                block, filled = [], 0
+        rows.extend(collapse(block))
+        return pd.DataFrame(rows, columns=["runs", "collapsed"])
 
     return found
 
