@@ -63,7 +63,7 @@ def replace_names(lines: DataFrame, names: DataFrame, group: str, number: str, t
     """
     keyed = lines.withColumn("_line", F.xxhash64(text))
     line_key = [group, number, "_line"]
-    places = name_places(keyed.select(*line_key, text).distinct(), names, group, line_key, text)
+    places = name_places(keyed, names, group, line_key, text)
     # The longest name at a place, then one list per line, as long as the places that count.
     length = F.length("key").alias("length")
     longest = places.groupBy(*line_key, "start").agg(F.max_by(F.struct(length, "value"), F.length("key")).alias("_name"))

@@ -2,8 +2,8 @@
 
 A key may hold a third of a table.  These operators split such keys: joins are written in a
 form adaptive execution can split, numbering works inside ordered parts of a key, and nested
-arrays are cut into pages of bounded size.  Keys must not be NULL, but for the left side of a
-left join.
+arrays are cut into pages of bounded size.  Numbering and nesting take NULL as a key like any
+other; joins match no NULL, as in SQL.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.sources.tables import work_dir
+from runlens.sources.tables import sized, work_dir, written
 
 PAGE_SIZE = 20_000
+# Left rows without a match are shared out over this many stand-in rows.
+STAND_INS = 200
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -36,8 +38,8 @@ def left_join_spread(
 
     Adaptive execution splits a skewed partition on either side of an inner join, but never
     the null-supplying side of an outer join.  So the right side's rows are first counted per
-    key, reduced in the map tasks; left rows with a count meet the right side in an inner join
-    and the others are kept as they are.
+    key, reduced in the map tasks.  A left row with a count meets the right side, one without meets one of
+    some stand-in rows of NULLs, in one inner join; each input is read once more than a plain join reads it at most.
 
     ``size`` names a column that keeps the count (NULL without a match).  ``keys_of`` is a
     cheaper input with the same keys as ``right``, and at least as many rows per key, to count.
@@ -45,9 +47,18 @@ def left_join_spread(
     count = size or "_size"
     sizes = (right if keys_of is None else keys_of).groupBy(*on).agg(F.count(F.lit(1)).alias(count))
     counted = join_groups(left, sizes, on, "left")
-    matched = counted.filter(F.col(count).isNotNull()).join(right, on)
-    unmatched = counted.filter(F.col(count).isNull())
-    joined = matched.unionByName(unmatched, allowMissingColumns=True)
+    # Fields of a struct match where both are NULL; a real key has the place 0, so none meets a stand-in.
+    own = F.struct(*on, F.lit(0).cast("bigint").alias("_place"))
+    kinds = dict(right.dtypes)
+    missing = [F.lit(None).cast(kinds[c]).alias(c) for c in on]
+    stand_in = F.struct(*missing, (F.pmod(row_hash(left), F.lit(STAND_INS)) + 1).cast("bigint").alias("_place"))
+    asking = counted.withColumn("_key", F.when(F.col(count).isNotNull(), own).otherwise(stand_in))
+    payload = [c for c in right.columns if c not in on]
+    answers = right.select(own.alias("_key"), *payload)
+    nothing = right.sparkSession.range(STAND_INS).select(
+        F.struct(*missing, (F.col("id") + 1).alias("_place")).alias("_key"), *[F.lit(None).cast(kinds[c]).alias(c) for c in payload]
+    )
+    joined = asking.join(answers.unionByName(nothing), "_key").drop("_key")
     return joined if size else joined.drop(count)
 
 
@@ -88,19 +99,21 @@ def number_parts(parts: DataFrame, keys: list[str], order: list[Column], out: st
     Rows are numbered within their part and shifted by the number of the key's rows in the
     parts before it, a sum over one count per key and part.
     """
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # The keys as one struct, which is never NULL, so that a join by it keeps NULL keys.
+    keyed = parts.withColumn("_group", F.struct(*keys))
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parts.groupBy(*keys, "_part")
+        keyed.groupBy("_group", "_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select("_group", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
     # Ties in the order must fall the same way as between parts.
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order, row_hash(parts.drop("_part"))))
+    inside = F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*order, row_hash(parts.drop("_part"))))
     return (
-        parts.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_part"])
+        keyed.withColumn("_inside", inside)
+        .join(offsets, ["_group", "_part"])
         .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_inside", "_before")
+        .select(*parts.columns, out)
     )
 
 
@@ -112,19 +125,17 @@ def previous_value(
     The first row of a slice takes the last value of the nearest earlier slice.  Positions
     must be unique within a key.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(position) / slice_width))
-    ends = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, position).alias("_end"))
-    ends = ends.select(
-        *keys, "_slice", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carried")
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(position)
+    sliced = df.withColumn("_group", F.struct(*keys)).withColumn("_slice", F.floor(F.col(position) / slice_width))
+    ends = sliced.groupBy("_group", "_slice").agg(F.max_by(value, position).alias("_end"))
+    ends = ends.select("_group", "_slice", F.lag("_end").over(Window.partitionBy("_group").orderBy("_slice")).alias("_carried"))
+    inside = Window.partitionBy("_group", "_slice").orderBy(position)
     first = F.row_number().over(inside) == 1
     return (
         sliced.withColumn("_first", first)
         .withColumn("_lag", F.lag(value).over(inside))
-        .join(ends, [*keys, "_slice"])
+        .join(ends, ["_group", "_slice"])
         .withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
-        .drop("_slice", "_first", "_lag", "_carried")
+        .select(*df.columns, out)
     )
 
 
@@ -148,18 +159,36 @@ def nest_rows(
     Items are in order over the pages of a key: page n holds the items from place
     n * ``page_size`` on, so no row of the result grows without bound.  "First" means smallest
     ``first_by`` (by default the smallest item) and does not depend on the pages.
+
+    The rows are written to the shared work folder first, so their input runs once, while this is called.  Keys
+    of at most one page are nested in one shuffle; the rows of larger keys are numbered in ordered parts.
     """
     order = [F.struct(*first_by).alias("_order")] if first_by else []
-    packed = df.select(*keys, F.struct(*header).alias("_header"), F.struct(*item).alias("_item"), *order)
-    parts = ordered_parts(packed, keys, [F.asc("_item")])
-    heads = parts.groupBy(*keys).agg(F.min_by("_header", "_order" if first_by else "_item").alias("_header"))
-    placed = number_parts(parts.select(*keys, "_item", "_part"), keys, [F.asc("_item")], "_place")
+    key = F.struct(*keys).alias("_key")
+    packed = written(df.select(key, F.struct(*header).alias("_header"), F.struct(*item).alias("_item"), *order), "nested-rows")
+    head = F.min_by("_header", "_order" if first_by else "_item").alias("_header")
+    sizes = packed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
+    large = written(sizes.filter(F.col("_rows") > page_size).select("_key"), "large-keys")
+    columns = ["_key.*", "page", "_header.*", out]
+    if large.isEmpty():
+        return _one_page(packed, head, out).select(*columns)
+    large = sized(large)
+    parts = ordered_parts(packed.join(large, "_key", "left_semi"), ["_key"], [F.asc("_item")])
+    heads = parts.groupBy("_key").agg(head)
+    placed = number_parts(parts.select("_key", "_item", "_part"), ["_key"], [F.asc("_item")], "_place")
     page = F.floor((F.col("_place") - 1) / page_size).cast("bigint")
     # The shuffle by key and page is explicit: grouping must not inherit a layout by key alone.
     pages = (
-        placed.select(*keys, page.alias("page"), "_item")
-        .repartition(*keys, "page")
-        .groupBy(*keys, "page")
+        placed.select("_key", page.alias("page"), "_item")
+        .repartition("_key", "page")
+        .groupBy("_key", "page")
         .agg(F.sort_array(F.collect_list("_item")).alias(out))
     )
-    return join_groups(pages, heads, keys).select(*keys, "page", "_header.*", out)
+    whole = _one_page(packed.join(large, "_key", "left_anti"), head, out)
+    return pages.join(heads, "_key").unionByName(whole).select(*columns)
+
+
+def _one_page(packed: DataFrame, head: Column, out: str) -> DataFrame:
+    """Keys of at most one page, nested."""
+    items = F.sort_array(F.collect_list("_item")).alias(out)
+    return packed.groupBy("_key").agg(head, items).withColumn("page", F.lit(0).cast("bigint"))

@@ -1,7 +1,7 @@
 """Workflow and job status marts.
 
-All marts are lazy DataFrames with one row per run and flagged job; ``nest_jobs`` turns them
-into one row per run with an array of jobs.
+All marts are lazy DataFrames with one row per run and flagged job.  ``nest_jobs`` turns them
+into one row per run with an array of jobs; it writes the mart's rows to the shared work folder while it is called.
 
 Assumptions: text keys compare as stored, and an incident record is unique per
 (parent_run_id, job_name).

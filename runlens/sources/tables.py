@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -82,14 +85,34 @@ def daily_partition_append(df: DataFrame, at: Column, path: str, zone: str = SNA
     write_append(df.withColumn("day", snapshot_day(at, zone)).hint("rebalance", "day"), path, ["day"])
 
 
+_OPEN_SCRATCH: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder the cluster names; a temporary one in local mode only."""
+    """A new folder below the shared folder the cluster names; a temporary one where that is unset and all runs in one process."""
     shared = spark.conf.get(WORK_DIR_SETTING, None) or spark.sparkContext.getConf().get(WORK_DIR_SETTING)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"set {WORK_DIR_SETTING} to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="runlens-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for opened in _OPEN_SCRATCH:
+        opened.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Drop the work folders made inside the block at its end; results that read them must be stored by then."""
+    made: list[str] = []
+    _OPEN_SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN_SCRATCH.remove(made)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -174,7 +174,7 @@ SELECT p_partkey AS line_no, CASE p_partkey % 10 WHEN 0 THEN '# application_1_'
   ELSE 'application_1_' || CAST(p_partkey AS STRING) END AS line
 FROM part""",
     "cluster_state": """
-SELECT 'proj' || CAST(s_nationkey % 5 AS STRING) AS project,
+SELECT CASE WHEN s_nationkey % 7 < 6 THEN 'proj' || CAST(s_nationkey % 5 AS STRING) END AS project,
  CASE s_suppkey % 10 WHEN 0 THEN 'phs-' WHEN 1 THEN 'fd-persistent-' ELSE 'eph-' END || CAST(s_suppkey AS STRING) AS cluster_name,
  CASE WHEN s_suppkey % 4 = 3 THEN 'STOPPED' ELSE 'RUNNING' END AS status,
  CAST('2024-01-15 17:00:00' AS TIMESTAMP_NTZ) - INTERVAL '1' SECOND * (s_suppkey * 421 % 24000) AS state_start_time

@@ -26,6 +26,15 @@ def test_clusters(spark, rows):
     ]
 
 
+def test_clusters_without_a_project_are_numbered(spark, rows):
+    states = spark.createDataFrame(
+        [(p, f"eph-{i}", "RUNNING", NOW - dt.timedelta(hours=i)) for i, p in enumerate([None, "p", None])],
+        "project string, cluster_name string, status string, state_start_time timestamp_ntz",
+    )
+    found = infra.cluster_uptime_list(states, AS_OF)
+    assert rows(found, "cluster_name", "project", "number") == [("eph-0", None, 2), ("eph-1", "p", 1), ("eph-2", None, 1)]
+
+
 def metrics(spark, *values):
     rows = [(i, h, m, mount, NOW + dt.timedelta(minutes=t), float(u), 100.0) for i, (h, m, mount, t, u) in enumerate(values)]
     rows.append((99, "d", "disk", "/", NOW, 5.0, 0.0))

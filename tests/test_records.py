@@ -57,6 +57,18 @@ def test_fold_applies_changes_one_after_the_other(spark):
     assert {r["k"]: (r["a"], r["b"]) for r in fold_changes(df, ["k"]).collect()} == expected
 
 
+def test_records_without_a_job_name_stay(spark, rows):
+    """Numbered, searched and joined to their runs like those of a named job."""
+    table = spark.createDataFrame([record(i, n, error="Error x", at=T0 + dt.timedelta(hours=i)) for i, n in ((1, None), (2, "a"), (3, None))], RECORD)
+    assert rows(I.issue_number(table), "parent_run_id", "issue_number") == [(1, 2), (2, 1), (3, 1)]
+    runs = spark.createDataFrame([(i, f"w{i}", "B", "d", "u", "FAILED") for i in (1, 2, 3)], RUN)
+    history = I.numbered_issue_history(runs, table)
+    assert rows(history, "parent_run_id", "job_name", "issue_number") == [(1, None, 2), (2, "a", 1), (3, None, 1)]
+    notes = spark.createDataFrame([(7, 2, "a", "n", "u", T0)], NOTE)
+    found = I.error_log_search(table, notes, "error").collect()
+    assert [(r["job_name"], len(json.loads(r["notes"]))) for r in found] == [(None, 2), ("a", 1)]
+
+
 def test_upsert_twice_is_upsert_once(spark, rows):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "k string, n int, t string")
     changes = spark.createDataFrame([(1, "a", None, "y"), (2, "c", 3, None), (3, None, 9, "z")], "seq int, k string, n int, t string")

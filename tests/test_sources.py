@@ -1,6 +1,7 @@
 """Readers, writers and streams."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,27 @@ def test_alert_stream_equals_batch(spark, tmp_path, rows):
     polls.host_alert_stream(stream, target, checkpoint).awaitTermination()
     found = spark.read.parquet(target)
     assert found.count() == 20 and rows(found, "event_id", "pct") == rows(polls.host_alerts(samples), "event_id", "pct")
+
+
+def test_scratch_drops_the_work_folders_made_inside(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables.tempfile, "mkdtemp", lambda prefix: str(tmp_path))
+    outside = tables.work_dir(spark, "kept")
+    spark.range(1).write.parquet(outside)
+    with tables.scratch(spark) as made:
+        inner = tables.written(spark.range(3), "inner")
+        with tables.scratch(spark):
+            tables.written(spark.range(3), "innermost")
+        assert inner.count() == 3 and len(made) == 2
+    assert [p.name for p in tmp_path.iterdir()] == [outside.rsplit("/", 1)[1]]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master):
+        conf = SimpleNamespace(get=lambda *_: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError):
+            tables.work_dir(session(master), "x")
+    for master in ("local", "local[*]", "local[8]"):
+        assert tables.work_dir(session(master), "x")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators.latest import keep_first, keep_latest
 from runlens.operators.spread import (
+    STAND_INS,
     first_seen,
     join_groups,
     left_join_spread,
@@ -91,6 +92,25 @@ def test_left_join_spread_counts_with_a_cheaper_input(spark, table, rows):
     ]
 
 
+def test_left_join_spread_of_many_unmatched_rows(spark, rows):
+    """Each stays once, whatever repeats in it; NULL keys match nothing; the right side may be empty."""
+    left = spark.range(3 * STAND_INS).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("a"), (F.col("id") % 5).cast("string").alias("b"), F.lit(None).cast("int").alias("c"))
+    left = left.unionByName(left)
+    right = spark.createDataFrame([(0, "0", "x"), (0, "0", "y"), (None, "0", "z"), (3, None, "z"), (6, "1", None)], "a bigint, b string, word string")
+    for other in (right, right.limit(0)):
+        plain = left.join(other, ["a", "b"], "left")
+        assert rows(left_join_spread(left, other, ["a", "b"]), *plain.columns) == rows(plain)
+    assert left_join_spread(left.limit(0), right, ["a", "b"]).count() == 0
+
+
+def test_left_join_spread_reads_its_left_side_once(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "left"))
+    spark.range(5).write.parquet(str(tmp_path / "right"))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    plan = plan_of(left_join_spread(left, right, ["id"]))
+    assert plan.count("FileScan parquet") == 3
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_join_groups_equals_plain_join(spark, table, rows, how):
     left = table.unionByName(spark.createDataFrame([(None, -1, None, "a")], table.schema))
@@ -116,6 +136,29 @@ def test_nested_pages_follow_the_items(table, skewed, page_size):
     assert sum(len(p) for p in by_key.values()) >= len({r[0] for r in skewed})
 
 
+def test_null_is_a_key_of_its_own(spark, rows):
+    """Numbering, nesting and comparing keep the rows of NULL keys together."""
+    data = [(None, "a", 1), (None, "a", 2), (None, None, 3), ("k", "a", 4), ("k", None, 5), ("k", None, 6)]
+    df = spark.createDataFrame(data, "x string, y string, id bigint").repartition(3)
+    numbered = number_rows(df, ["x", "y"], [F.asc("id")], "n")
+    assert [r[0] for r in sorted(rows(numbered, "n", "id"), key=lambda r: r[1])] == [1, 2, 1, 1, 1, 2]
+    before = previous_value(df, ["x", "y"], "id", "id", "before", 2)
+    assert [r[1] for r in sorted(rows(before, "id", "before"))] == [None, 1, None, None, None, 5]
+    for page_size in (1, 20):
+        nested = nest_rows(df, ["x", "y"], [F.col("id")], [F.col("id").alias("i")], "items", page_size).collect()
+        assert sorted(i["i"] for r in nested for i in r["items"]) == [1, 2, 3, 4, 5, 6]
+        assert len(nested) == (6 if page_size == 1 else 4)
+
+
+def test_large_and_small_keys_nest_alike(table, rows):
+    """Keys of several pages and of one, in one table and apart."""
+    item = [F.col("id"), F.col("word")]
+    whole = nest_rows(table, ["key"], [F.col("word")], item, "items", 60)
+    hot = nest_rows(table.filter("key = 'hot'"), ["key"], [F.col("word")], item, "items", 60)
+    rest = nest_rows(table.filter("key <> 'hot'"), ["key"], [F.col("word")], item, "items", 60)
+    assert whole.filter("page > 0").count() and rows(whole) == rows(hot.unionByName(rest))
+
+
 def test_equal_items_are_cut_into_pages(spark):
     copies = spark.range(1000).select(F.lit("k").alias("key"), F.lit("same").alias("text"))
     nested = nest_rows(copies, ["key"], [F.col("text")], [F.col("text")], "items", 100)
