@@ -9,6 +9,7 @@ from runlens.functions import predicates as P
 from runlens.functions.clock import minutes_until, moment, same_day
 from runlens.functions.labels import run_state
 from runlens.plans import counts, sla
+from runlens.sources.tables import work_dir
 
 STATE = """CASE WHEN return_code_text IN ('CANCELLED', 'SUCCESS') THEN return_code_text
  WHEN hard_sla_status = 'Missed' THEN 'SLA_MISS' WHEN failed_jobs > 0 THEN 'FAILED' WHEN ert_exceeded_jobs > 0 THEN 'ERT' END"""
@@ -33,6 +34,19 @@ def status_counts(v):
     return counts.status_counts(v.wf_run)
 
 
+@entry("status_counts_maintained", "SELECT * FROM o_status")
+def status_counts_maintained(v):
+    """Counts of an earlier state of the runs, kept up to date through two batches of changes, one of them given twice."""
+    folder, key = work_dir(v.spark, "status-counts"), F.col("parent_run_id")
+    earlier = F.when(key % 5 == 0, F.lit("RUNNING")).otherwise(F.col("return_code_text"))
+    counts.start_maintained_counts(v.wf_run.filter(key % 3 != 0).withColumn("return_code_text", earlier), folder, 16)
+    state = v.wf_run.select("parent_run_id", key.alias("seq"), "return_code_text").filter((key % 3 != 0) & (key % 5 == 0))
+    new = v.wf_run.filter(key % 3 == 0).withColumn("seq", key)
+    for changes, batch in ((state, "ended"), (new, "new"), (state, "ended")):
+        counts.change_maintained_counts(v.spark, folder, changes, batch)
+    return counts.maintained_counts(v.spark, folder)
+
+
 @entry("ecomm_status_counts", "SELECT * FROM o_ecomm_status")
 def ecomm_status_counts(v):
     return counts.ecomm_status_counts(v.wf_run)

@@ -14,7 +14,8 @@ from runlens.plans import handover as H
 from runlens.plans import incidents as I
 from runlens.plans import records as R
 from runlens.plans.workflows import JOB_KEY
-from runlens.sources.tables import append_rows
+from runlens.sources import bucketed
+from runlens.sources.tables import append_rows, work_dir
 
 NOTE_JSON = "to_json({'NOTE': n.notes, 'NOTES_SKEY': n.notes_skey, 'UPDATED_DT': n.updated_dt, 'UPDATED_USER': n.updated_user})::VARCHAR"
 NOTE_ORDER = "n.notes_skey NULLS FIRST, n.notes NULLS FIRST, n.updated_dt NULLS FIRST, n.updated_user NULLS FIRST"
@@ -43,6 +44,23 @@ def error_log_search(v):
     return I.error_log_search(v.assignment, v.notes, "error|failed")
 
 
+BUCKETS = 16
+
+
+@entry(
+    "error_log_search_indexed",
+    f"""
+SELECT h.*, g.notes, g.page FROM ({noted('o_found', 'job_name')}) g
+JOIN (SELECT job_name, {', '.join(I.SEARCH_COLUMNS)} FROM o_found
+ QUALIFY row_number() OVER (PARTITION BY job_name ORDER BY created_dt DESC, parent_run_id DESC) = 1) h ON g.job_name = h.job_name""",
+)
+def error_log_search_indexed(v):
+    """The incidents, stored with an index of their errors, searched through it."""
+    folder = work_dir(v.spark, "searchable")
+    I.store_searchable(v.assignment, folder, BUCKETS)
+    return I.error_log_search_indexed(v.spark, folder, v.notes, "error|failed")
+
+
 @entry(
     "left_join_notes",
     """
@@ -247,22 +265,36 @@ def capture_error(v):
     return R.capture_errors(v.assignment, errors)
 
 
-@entry(
-    "upsert_by_key",
-    merged(
-        "SELECT parent_run_id, job_name, 'REOPENED' AS status, arg_max(jira, seq) FILTER (WHERE jira IS NOT NULL) AS jira FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'UP-' || CAST(l_partkey AS VARCHAR) END AS jira FROM o_requests) x GROUP BY 1, 2",
-        "FULL OUTER",
-    ),
+REOPENED = merged(
+    "SELECT parent_run_id, job_name, 'REOPENED' AS status, arg_max(jira, seq) FILTER (WHERE jira IS NOT NULL) AS jira FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'UP-' || CAST(l_partkey AS VARCHAR) END AS jira FROM o_requests) x GROUP BY 1, 2",
+    "FULL OUTER",
 )
-def upsert_by_key(v):
+
+
+def reopened(v):
     flat = R.explode_workflows(requests(v).select("seq", "workflows", (F.col("seq") % 1000000 / 10).cast("bigint").alias("k")))
-    changes = flat.select(
+    return flat.select(
         "seq",
         *JOB_KEY,
         F.lit("REOPENED").alias("status"),
         F.when(F.col("k") % 2 == 0, F.concat(F.lit("UP-"), F.col("k").cast("string"))).alias("jira"),
     )
-    return upsert(v.assignment, changes, JOB_KEY)
+
+
+@entry("upsert_by_key", REOPENED)
+def upsert_by_key(v):
+    return upsert(v.assignment, reopened(v), JOB_KEY)
+
+
+@entry("upsert_pruned", REOPENED)
+def upsert_pruned(v):
+    """The same changes in two batches, each to the buckets of the stored records that it touches."""
+    folder = work_dir(v.spark, "records")
+    bucketed.write_bucketed(v.assignment, folder, JOB_KEY, BUCKETS)
+    changes = reopened(v)
+    for batch in (changes.filter("parent_run_id % 2 = 0"), changes.filter("parent_run_id % 2 = 1")):
+        bucketed.rewrite_touched(v.spark, folder, JOB_KEY, batch.select(*JOB_KEY), lambda old, batch=batch: upsert(old, batch, JOB_KEY))
+    return bucketed.read_bucketed(v.spark, folder)
 
 
 @entry(

@@ -9,6 +9,7 @@ from entries.logs import DURATION
 from runlens.functions import clock as C
 from runlens.functions.predicates import name_not_like
 from runlens.plans import infra
+from runlens.sources import commits
 from runlens.sources.tables import daily_partition_append, scan_table, work_dir
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -222,6 +223,21 @@ def daily_partition_append_entry(v):
     return v.spark.read.parquet(path)
 
 
+@entry(
+    "daily_append_once",
+    "SELECT *, CAST((poll_time AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago' AS DATE) AS day FROM o_reservation",
+)
+def daily_append_once(v):
+    """Three batches, one given twice, one after an attempt that failed between writing and committing."""
+    flat, at = infra.reservation_flatten(v.reservation_raw), F.col("poll_time")
+    path = work_dir(v.spark, "reservations-once")
+    batches = {f"poll-{zone}": flat.filter(F.col("zone") == f"zone-{zone}") for zone in range(3)}
+    commits.write_batch(batches["poll-1"].limit(5).withColumn("day", F.to_date("poll_time")), path, "poll-1", ["day"])
+    for name in ("poll-0", "poll-1", "poll-2", "poll-0"):
+        commits.daily_append_once(batches[name], at, path, name)
+    return commits.read_once(v.spark, path)
+
+
 # Files
 
 AGE = f"CAST(floor(date_diff('second', mtime, {NOW}) / 86400) AS BIGINT)"

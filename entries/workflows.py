@@ -128,9 +128,9 @@ def issues_pending_closure(v):
     return as_text(W.nest_jobs(W.issues_pending_closure(*tables(v))))
 
 
-@entry("nest_jobs", nested(status_mart("WHERE domain_name = 'ASIA'")))
+@entry("nest_jobs", nested(status_mart("")))
 def nest_jobs(v):
-    return as_text(W.nest_jobs(W.all_workflows(*tables(v), ["ASIA"])))
+    return as_text(W.nest_jobs(W.all_workflows(*tables(v))))
 
 
 @entry("all_workflows_flat", status_mart(""))

@@ -139,6 +139,26 @@ def previous_value(
     )
 
 
+def carried_forward(
+    df: DataFrame, keys: list[str], position: str, value: str, out: str, slice_width: int = 100_000
+) -> DataFrame:
+    """The last ``value`` that is not NULL at or before each position of its key, computed inside slices of positions.
+
+    Rows of a slice before its first value take the last one of the slices before.  Positions must be unique within a key.
+    """
+    sliced = df.withColumn("_group", F.struct(*keys)).withColumn("_slice", F.floor(F.col(position) / slice_width))
+    ends = sliced.groupBy("_group", "_slice").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(position))).alias("_end"))
+    before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_group", "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy("_group", "_slice").orderBy(position)
+    return (
+        sliced.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
+        .join(ends, ["_group", "_slice"])
+        .withColumn(out, F.coalesce("_own", "_carried"))
+        .select(*df.columns, out)
+    )
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Distinct keys with the smallest ``order`` at which each was seen; combined in the map tasks."""
     smallest = F.struct(F.min(order[0]).alias(order[0])) if len(order) == 1 else F.min(F.struct(*order))

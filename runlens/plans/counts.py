@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.labels import run_state
 from runlens.functions.predicates import commerce_scope
+from runlens.operators.changes import upsert
+from runlens.sources import bucketed, commits
 
 # The states a counter result always lists, and the label of the e-commerce area.
 COUNTED_STATES = ("SUCCESS", "SLA_MISS", "RUNNING", "FAILED", "ERT", "CANCELLED")
@@ -60,3 +62,49 @@ def distinct_domains(runs: DataFrame) -> DataFrame:
 
 def distinct_close_codes(close_codes: DataFrame) -> DataFrame:
     return close_codes.select("category_text").distinct()
+
+
+# Counts kept up to date: a table of runs in buckets, and beside it one small batch of signed counts per change.
+
+RUN_KEY = ["parent_run_id"]
+
+
+def _signed_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What changes in ``status_counts`` when the old rows give way to the new ones: old states retracted, new ones added."""
+
+    def counted(runs: DataFrame, sign: int) -> DataFrame:
+        return status_counts(runs).withColumn("total_count", F.col("total_count") * sign)
+
+    both = counted(old, -1).unionByName(counted(new, 1))
+    return both.groupBy("domain_name", "rstatus").agg(F.sum("total_count").alias("total_count")).filter("total_count <> 0")
+
+
+def start_maintained_counts(runs: DataFrame, path: str, buckets: int) -> None:
+    """Store a table of runs and its counts by domain and state."""
+    bucketed.write_bucketed(runs, f"{path}/runs", RUN_KEY, buckets)
+    stored = bucketed.read_bucketed(runs.sparkSession, f"{path}/runs")
+    commits.append_once(status_counts(stored), f"{path}/counts", "start")
+
+
+def change_maintained_counts(spark: SparkSession, path: str, changes: DataFrame, batch: str) -> None:
+    """Apply a batch of run changes (see ``operators.changes``) to the stored runs and their counts.
+
+    Only the buckets of the changed runs are read.  A batch given again, whole or after a failure at any point,
+    counts once: its signed counts are made before the runs change, and entered in the ledger after.
+    """
+    counts = f"{path}/counts"
+    if commits.is_committed(spark, counts, batch):
+        return
+    keys = changes.select(*RUN_KEY).filter(" AND ".join(f"{k} IS NOT NULL" for k in RUN_KEY)).distinct()
+    staged = bucketed.stage_touched(spark, f"{path}/runs", RUN_KEY, keys, lambda runs: upsert(runs, changes, RUN_KEY))
+    if not commits.is_written(spark, counts, batch):
+        old = bucketed.read_touched(spark, f"{path}/runs", staged.touched)
+        commits.write_batch(_signed_counts(old, staged.records), counts, batch)
+    bucketed.replace_buckets(staged)
+    commits.commit_batch(spark, counts, batch)
+
+
+def maintained_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``status_counts`` of the stored runs, added up from their signed counts."""
+    found = commits.read_once(spark, f"{path}/counts")
+    return found.groupBy("domain_name", "rstatus").agg(F.sum("total_count").alias("total_count")).filter("total_count <> 0")

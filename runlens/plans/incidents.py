@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.operators.changes import fold_changes, upsert
 from runlens.operators.latest import keep_latest
+from runlens.operators.literals import folded, required_texts
+from runlens.operators.postings import grams
 from runlens.operators.spread import PAGE_SIZE, left_join_spread, nest_rows, number_rows
 from runlens.plans.workflows import JOB_KEY
+from runlens.sources import bucketed
+from runlens.sources.tables import write_append
 
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
 
@@ -77,6 +82,74 @@ def error_log_search(
     return rows.orderBy(F.desc("created_dt"), "job_name", "page")
 
 
+# Search with an index: incidents in buckets by key, and beside them the keys of the incidents that hold each trigram.
+
+TRIGRAM = 3
+
+
+def _postings(assignment: DataFrame) -> DataFrame:
+    held = F.array_distinct(grams(folded(F.col("error")), TRIGRAM))
+    return assignment.filter(F.col("error").isNotNull()).select(F.explode(held).alias("gram"), *JOB_KEY)
+
+
+def store_searchable(assignment: DataFrame, path: str, buckets: int) -> None:
+    """Store incidents with an index of the trigrams of their errors."""
+    spark = assignment.sparkSession
+    bucketed.write_bucketed(assignment, f"{path}/records", JOB_KEY, buckets)
+    bucketed.write_bucketed(_postings(bucketed.read_bucketed(spark, f"{path}/records")), f"{path}/postings", ["gram"], buckets)
+    _add_counts(bucketed.read_bucketed(spark, f"{path}/postings"), path)
+
+
+def _add_counts(postings: DataFrame, path: str) -> None:
+    write_append(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), f"{path}/counts")
+
+
+def upsert_searchable(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """``upsert`` changes into stored incidents and add their trigrams.
+
+    Trigrams of replaced errors stay in the index: a search tests what it finds, so they cost a look only.
+    """
+    keys = fold_changes(changes, JOB_KEY).select(*JOB_KEY)
+    staged = bucketed.stage_touched(spark, f"{path}/records", JOB_KEY, keys, lambda records: upsert(records, changes, JOB_KEY))
+    # The index first: a search between the two steps finds too much, never too little.
+    added = _postings(staged.records.join(keys, JOB_KEY, "left_semi"))
+    folder = next(c for c in spark.read.parquet(f"{path}/postings").columns if c.startswith("bucket_of_"))
+    number = bucketed.bucket_number(["gram"], int(folder.removeprefix("bucket_of_")))
+    write_append(added.withColumn(folder, number).hint("rebalance", folder), f"{path}/postings", [folder])
+    _add_counts(added, path)
+    bucketed.replace_buckets(staged)
+
+
+def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Stored incidents that may match a regular expression whatever its case; all where the index cannot tell.
+
+    Each alternative of the expression is looked up by the rarest trigram of the texts it requires.  Only the
+    buckets of these trigrams and of the incidents they lead to are read.
+    """
+    alternatives = spark.range(1).select(required_texts(F.lit(f"(?i){pattern}"))).first()[0]
+    wanted = [{t[i : i + TRIGRAM] for t in texts for i in range(len(t) - TRIGRAM + 1)} for texts in alternatives]
+    if not all(wanted):
+        return bucketed.read_bucketed(spark, f"{path}/records")
+    counts = spark.read.parquet(f"{path}/counts").filter(F.col("gram").isin(sorted(set().union(*wanted))))
+    known = {r["gram"]: r["n"] for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    # A trigram that no incident holds rules its alternative out.
+    chosen = sorted({min(held, key=lambda g: (known[g], g)) for held in wanted if all(g in known for g in held)})
+    sought = spark.createDataFrame([(g,) for g in chosen], "gram string")
+    lists = bucketed.read_touched(spark, f"{path}/postings", bucketed.touched_buckets(spark, f"{path}/postings", sought, ["gram"]))
+    keys = lists.filter(F.col("gram").isin(chosen)).select(*JOB_KEY).distinct()
+    records = bucketed.read_touched(spark, f"{path}/records", bucketed.touched_buckets(spark, f"{path}/records", keys, JOB_KEY))
+    # As structs, so that keys with NULLs meet, too.
+    met = keys.select(F.struct(*JOB_KEY).alias("_key"))
+    return records.withColumn("_key", F.struct(*JOB_KEY)).join(met, "_key", "left_semi").drop("_key")
+
+
+def error_log_search_indexed(
+    spark: SparkSession, path: str, notes: DataFrame, pattern: str, page_size: int = PAGE_SIZE
+) -> DataFrame:
+    """``error_log_search`` over stored incidents, reading the index first."""
+    return error_log_search(candidates(spark, path, pattern), notes, pattern, page_size)
+
+
 def latest_mapping_per_job(mapping: DataFrame) -> DataFrame:
     """The newest assignee entry of each job name, over all runs."""
     order = [F.desc("assignment_mapping_skey"), F.desc("assigned_user"), F.desc("user_role")]

@@ -17,7 +17,7 @@ from runlens.functions.clock import (
 )
 from runlens.functions.predicates import name_not_like
 from runlens.operators.latest import keep_first, keep_latest
-from runlens.operators.spread import number_rows
+from runlens.operators.spread import carried_forward, number_rows, previous_value
 
 # Clusters that are meant to stay up, the usage limit and the list length.
 KEPT_CLUSTERS = "phs|persistent"
@@ -84,6 +84,35 @@ def host_any_alert(usage: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:
     return usage.groupBy("host").agg(F.bool_or(_over(limit)).alias("alert"))
 
 
+def alerting_samples(samples: DataFrame, limit: int = USAGE_LIMIT) -> DataFrame:
+    """Samples at or over the limit as host, metric, mount, ts and pct; works on batch and streaming input."""
+    pct = usage_percent(F.col("used"), F.col("total"))
+    return samples.select("host", "metric", "mount", "ts", pct.alias("pct")).filter(F.col("pct") >= limit)
+
+
+# Fixed value: positions in time are counted from here.
+TIME_ORIGIN = "1970-01-01 00:00:00"
+SLICE_MICROSECONDS = 86_400_000_000
+
+
+def alert_episodes(samples: DataFrame, gap_minutes: int, limit: int = USAGE_LIMIT) -> DataFrame:
+    """Alerts as episodes: start, last sample, peak and number of samples per host, metric and mount.
+
+    An episode goes on as long as the next sample at the limit comes within the gap.  Samples of one moment are combined
+    first; then each is compared with the one before inside slices of a day, so a host with very many samples is shared out.
+    """
+    keys = ["host", "metric", "mount"]
+    moments = alerting_samples(samples, limit).filter(F.col("ts").isNotNull()).groupBy(*keys, "ts")
+    moments = moments.agg(F.max("pct").alias("pct"), F.count(F.lit(1)).alias("n"))
+    micros = F.timestamp_diff("MICROSECOND", F.lit(TIME_ORIGIN).cast("timestamp_ntz"), F.col("ts"))
+    placed = previous_value(moments.withColumn("_at", micros), keys, "_at", "_at", "_before", SLICE_MICROSECONDS)
+    begins = F.col("_before").isNull() | (F.col("_at") - F.col("_before") > gap_minutes * 60_000_000)
+    marked = placed.withColumn("_first", F.when(begins, F.col("ts")))
+    known = carried_forward(marked, keys, "_at", "_first", "started_at", SLICE_MICROSECONDS)
+    peak, count = F.max("pct").alias("peak"), F.sum("n").alias("samples")
+    return known.groupBy(*keys, "started_at").agg(F.max("ts").alias("last_at"), peak, count)
+
+
 def newest_poll(samples: DataFrame) -> DataFrame:
     """The processes of each host's newest poll."""
     return keep_latest(samples, ["host"], [F.desc("ts")], ties=True)
