@@ -87,7 +87,7 @@ def windows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents that hold a benchmark item, one row for each document and item.
+    """Documents that hold a benchmark item, one row for each document (id and text) and item.
 
     Columns: ``doc_id, item_id, n_matched`` (windows of the item found; templates only, where these
     are enough), ``n_windows`` (all of the item), ``reparameterised`` (some counted value differs from the
@@ -97,9 +97,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     alignment.  Items are also indexed in lower case, where nothing is
     a name, so a copy in other case is found as well, and with their first word as within a
     sentence, where it may be a name.  Items of fewer than ``WINDOW`` words, NULL
-    and empty texts match nothing.  Rows with a NULL id are searched like others.  Rows given twice give
-    one row.  Copies of a benchmark row count once.
+    and empty texts match nothing.  Rows with a NULL id are searched like others; rows of one id, or of NULL, with
+    different texts are documents of their own.  Rows given twice give one row.  Copies of a benchmark row count once.
+    An empty table on either side gives no rows; texts of any length are searched whole.
     """
+    return _leaks(docs, benchmark, key).drop("_text")
+
+
+def _text_hash() -> Column:
+    """What tells apart rows of one id."""
+    return F.xxhash64("text", F.octet_length("text"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
+    """``leaks``, and in ``_text`` the hash of the document's text."""
     items = benchmark.select("item_id", "text").distinct()
     items = items.unionByName(items.withColumn("text", F.lower("text"))).distinct()
     within = windows(benchmark.select("item_id", F.concat(F.lit(", "), F.ltrim("text")).alias("text")), "item_id")
@@ -110,11 +121,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     # Cheap beside the documents, so it is computed again where it is used instead of written.
     totals = item.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
     item = item.filter(F.col("asked").isNull() | (literals >= MIN_LITERALS))
-    found = windows(docs.select(F.col(key).alias("doc_id"), "text"), "doc_id")
-    # A document's id may be NULL, so it is grouped as a struct.  One shuffle serves all groupings
+    # A document's id may be NULL or stand for several texts, so both are grouped as a struct.
+    found = windows(docs.select(F.struct(F.col(key).alias("doc_id"), _text_hash().alias("text")).alias("d"), "text"), "d")
+    # One shuffle serves all groupings
     # below; what meets in it, the hits of one item in one document, is bounded by their lengths.
     shift, more = (F.col("place") - F.col("item_place")).alias("shift"), (F.col("more") | F.col("_more")).alias("more")
-    met = found.join(sized(item), "h").select(F.struct("doc_id").alias("d"), "item_id", "item_place", shift, "asked", "found", more)
+    met = found.join(sized(item), "h").select("d", "item_id", "item_place", shift, "asked", "found", more)
     met = met.repartition("d", "item_id")
     # A value of the item must stand for one value; else only windows that are as in the item count.
     runs = met.groupBy("d", "item_id", "shift").agg(
@@ -144,13 +156,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     needed = F.least(F.lit(MIN_MATCHED), F.col("n_windows"))
     found = pairs.join(totals, "item_id").filter(F.col("n_matched") >= needed)
     n_matched = F.when(F.col("by_template") >= needed, F.col("by_template")).otherwise(F.col("n_matched")).alias("n_matched")
-    return found.select("d.doc_id", "item_id", n_matched, "n_windows", "reparameterised")
+    return found.select("d.doc_id", "item_id", n_matched, "n_windows", "reparameterised", F.col("d.text").alias("_text"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, with the columns of ``docs``."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` without the documents that hold a benchmark item, with the columns of ``docs``.
+
+    Only the row whose own text holds an item goes, also among rows of one id or of NULL.
+    """
+    gone = _leaks(docs, benchmark, "doc_id").select(F.struct(F.col("doc_id"), F.col("_text")).alias("_gone")).distinct()
+    own = docs.withColumn("_own", F.struct(F.col("doc_id"), _text_hash().alias("_text")))
+    return own.join(gone, own["_own"] == gone["_gone"], "left_anti").drop("_own")
 
 
 # Digits are left as they are here: where no benchmark item has one, no window with one can match.

@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import query, read, small_batches
+from runlens.llm.common import query, read, small_batches, written
 from runlens.llm.suffixsort import deep_shallow
+from runlens.operators.spread import number_rows
 
 LENGTH, GRAM = 100, 32
 # UTF-8 never has this byte, so it can stand behind the end of a text.
@@ -28,6 +29,8 @@ END = 0xFF
 # Grams with more anchors than this are shared out by their surroundings, in so many pieces.
 HOT, PIECES = 10_000, 8
 CHUNK = 20_000
+# Neighbourhoods made at a time.
+BLOCK = 50_000
 NO_ID = -(2**63)
 
 _rng = np.random.default_rng(20)
@@ -118,60 +121,74 @@ def bring_contexts(length: int, gram: int, pieces: int):
     """Neighbourhoods of candidate anchors; those equal to an earlier one in the batch are settled at once.
 
     A row is a neighbourhood to judge, for the range of its ``part``, or without one a settled
-    span from ``place`` to -``part``.
+    span from ``place`` to -``part``.  Neighbourhoods are made for ``BLOCK`` anchors at a time, also within a text, so a
+    text of one repeated character, where every place is an anchor, needs no more memory than its places.
     """
     reach = length - gram
     ranges = pieces_of(length, gram, pieces)
 
+    def pieces_in_order(batch: pa.RecordBatch) -> Iterator[tuple]:
+        docs = zip(batch["id"].to_pylist(), _texts(batch["text"]), batch["found"].to_pylist(), strict=True)
+        for doc, text, found in sorted(docs, key=lambda d: d[0]):
+            data = np.frombuffer(text, np.uint8)
+            padded = np.full(len(data) + reach + length, END, np.uint8)
+            padded[reach : reach + len(data)] = data
+            views = np.lib.stride_tricks.sliding_window_view(padded, reach + length)
+            hashes = gram_hashes(data, gram).view(np.int64)
+            places = np.array(found, np.int64)
+            hot = places < 0
+            places = np.where(hot, ~places, places)
+            order = np.argsort(places)
+            for first in range(0, len(places), BLOCK):
+                at = places[order[first : first + BLOCK]]
+                yield np.full(len(at), doc, np.int64), at, hashes[at], hot[order[first : first + BLOCK]], np.minimum(at, reach), np.minimum(len(data) - at, length), views[at]
+
+    def settle(parts: list[tuple], seen: dict[bytes, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        ids, at, h, hot, before, after, view = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # The earliest of equal neighbourhoods stands for all; the others are covered whole.
+        stays = np.zeros(len(ids), bool)
+        settled = np.r_[False, (ids[1:] == ids[:-1]) & (at[1:] != at[:-1]) & (view[1:] == view[:-1]).all(1)]
+        for i in np.flatnonzero(~settled).tolist():
+            own = (int(ids[i]), int(at[i]))
+            first = seen.setdefault(view[i].tobytes(), own)
+            # A row given twice is neither.
+            stays[i], settled[i] = first is own, first != own
+        low, high = np.maximum(0, length - after), before
+        settled &= low <= high
+        rows = [(h, pieces, stays & ~hot)]
+        for part, (lo, hi) in enumerate(ranges[:-1]):
+            if hi > lo and hot.any():
+                # The bytes that all strings of this range share.
+                key = np.zeros(len(h), np.int64)
+                for i in np.flatnonzero(stays & hot):
+                    core = view[i, reach - lo : reach + length - hi + 1].tobytes()
+                    key[i] = xxhash.xxh64_intdigest(core, lo) - (1 << 63)
+                rows.append((key, part, stays & hot))
+        for key, part, c in rows:
+            if c.any():
+                numbers = [key[c], ids[c], at[c].astype(np.int32), np.full(int(c.sum()), part, np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), _binary(view[c])], _names())
+        if settled.any():
+            # Both ends follow the anchors' order, so overlapping spans of a document become one.
+            own, start, stop = ids[settled], (at - high)[settled], (at - low + length)[settled]
+            opens = np.r_[True, (own[1:] != own[:-1]) | (start[1:] > stop[:-1])]
+            own, start, stop = own[opens], start[opens], stop[np.r_[opens[1:], True]]
+            numbers = [own, own, start.astype(np.int32), -stop.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.nulls(len(own), pa.binary())], _names())
+
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for doc, text, found in zip(batch["id"].to_pylist(), _texts(batch["text"]), batch["found"].to_pylist(), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                padded = np.full(len(data) + reach + length, END, np.uint8)
-                padded[reach : reach + len(data)] = data
-                at = np.array(found, np.int64)
-                hot = at < 0
-                at = np.where(hot, ~at, at)
-                view = np.lib.stride_tricks.sliding_window_view(padded, reach + length)[at]
-                h = gram_hashes(data, gram)[at].view(np.int64)
-                parts.append((np.full(len(at), doc, np.int64), at, h, hot, np.minimum(at, reach), np.minimum(len(data) - at, length), view))
-            if not parts:
-                continue
-            ids, at, h, hot, before, after, view = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # The earliest of equal neighbourhoods stands for all; the others are covered whole.
-            order = np.lexsort((at, ids))
-            ids, at, h, hot, before, after, view = (x[order] for x in (ids, at, h, hot, before, after, view))
-            seen: dict[bytes, int] = {}
-            stays = np.ones(len(ids), bool)
-            settled = np.zeros(len(ids), bool)
-            for i, context in enumerate(map(bytes, view)):
-                j = seen.setdefault(context, i)
-                if j != i:
-                    stays[i] = False
-                    settled[i] = ids[j] != ids[i] or at[j] != at[i]
-            low, high = np.maximum(0, length - after), before
-            settled &= low <= high
-            rows = [(h, pieces, stays & ~hot)]
-            for part, (lo, hi) in enumerate(ranges[:-1]):
-                if hi > lo and hot.any():
-                    # The bytes that all strings of this range share.
-                    key = np.zeros(len(h), np.int64)
-                    for i in np.flatnonzero(stays & hot):
-                        core = view[i, reach - lo : reach + length - hi + 1].tobytes()
-                        key[i] = xxhash.xxh64_intdigest(core, lo) - (1 << 63)
-                    rows.append((key, part, stays & hot))
-            for key, part, c in rows:
-                if c.any():
-                    numbers = [key[c], ids[c], at[c].astype(np.int32), np.full(int(c.sum()), part, np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), _binary(view[c])], _names())
-            if settled.any():
-                # Both ends follow the anchors' order, so overlapping spans of a document become one.
-                own, start, stop = ids[settled], (at - high)[settled], (at - low + length)[settled]
-                opens = np.r_[True, (own[1:] != own[:-1]) | (start[1:] > stop[:-1])]
-                own, start, stop = own[opens], start[opens], stop[np.r_[opens[1:], True]]
-                numbers = [own, own, start.astype(np.int32), -stop.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.nulls(len(own), pa.binary())], _names())
+            seen: dict[bytes, tuple[int, int]] = {}
+            parts: list[tuple] = []
+            held = 0
+            for piece in pieces_in_order(batch):
+                parts.append(piece)
+                held += len(piece[0])
+                if held >= BLOCK:
+                    yield from settle(parts, seen)
+                    parts, held = [], 0
+            if parts:
+                yield from settle(parts, seen)
 
     return bring
 
@@ -311,14 +328,41 @@ def drop_repeats(
     ``keep_bytes``).  Earlier means a smaller id, or the same id and an earlier start; strings
     never cross documents, may overlap, and are judged on the input.  Texts are UTF-8, NULL is
     empty.  Rows given twice are one document and get the same result twice.  NULL ids come
-    before all others and count as one id.  An empty table gives no rows.
+    before all others.  Rows of one id (or of NULL) with different texts are documents of their own, in order of
+    their texts' SHA-256.  An empty table gives no rows; a very long text is one row's work.
 
-    A document equal to one with a smaller id goes whole, by a grouped minimum, and takes no
+    A document equal to an earlier one goes whole, by a grouped minimum, and takes no
     further part.  A gram with more than ``hot`` anchors is shared out by what surrounds it;
     this, ``pieces`` and ``chunk`` do not change the result.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    options = (length, gram, hot, pieces, chunk, keep_bytes)
+    if several_texts(texts):
+        numbers = numbered(texts)
+        digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+        single = texts.select("id", digest, "text").join(numbers, ["id", "digest"]).select(F.col("number").alias("id"), "text")
+        found = _drop_repeats(single, *options).withColumnRenamed("id", "number").join(numbers, "number").drop("number", "digest")
+    else:
+        found = _drop_repeats(texts, *options)
+    return found.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def several_texts(texts: DataFrame) -> bool:
+    """Whether any id occurs with different texts."""
+    h = F.xxhash64("text", F.octet_length("text"))
+    return not texts.groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b")).filter("a <> b").isEmpty()
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """``id, digest, number``: numbers from 1 for the different (id, text), in order of id and the text's SHA-256."""
+    known = texts.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).distinct()
+    table = number_rows(known.withColumn("all", F.lit(0)), ["all"], [F.asc("id"), F.asc("digest")], "number")
+    return written(table.select("id", "digest", F.col("number").cast("bigint").alias("number")), "document-numbers")
+
+
+def _drop_repeats(texts: DataFrame, length: int, gram: int, hot: int, pieces: int, chunk: int, keep_bytes: bool) -> DataFrame:
+    """``drop_repeats`` of ``id, text`` where an id has one text."""
     digest = F.sha2(F.col("text").cast("binary"), 256)
     firsts = texts.select("id", digest.alias("digest")).groupBy("digest").agg(F.min("id").alias("own")).select("own").distinct()
     # The texts are shuffled once, by id; the plan below reuses that exchange.
@@ -335,8 +379,7 @@ def drop_repeats(
     spans = sorted_rows.mapInArrow(judge_contexts(length, gram, pieces, chunk), "id bigint, start int, stop int")
     per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("found")).withColumnRenamed("id", "of")
     met = known.join(per_doc, known["id"] == per_doc["of"], "left").select("id", "text", "first", "found")
-    done = met.mapInArrow(cut_out(length, keep_bytes), REMOVED)
-    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return met.mapInArrow(cut_out(length, keep_bytes), REMOVED)
 
 
 @query("op1_suffix_dedup")
