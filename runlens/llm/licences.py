@@ -8,6 +8,7 @@ words the chain covers well gives its label.  Three fixed phrases give labels wh
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,7 +82,8 @@ _SEPARATE = bytes(
 
 MIN_MATCH = 3
 MIN_COVERED = 0.8
-MAX_GAP = 20
+# A chain goes on over so many foreign words, or this many times the template's own, if that is more.
+LEAST_GAP, GAP_TIMES = 200, 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -95,18 +97,21 @@ class Automaton:
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        # For each state: sequence number -> position of the last word of one occurrence.
-        self.ends: list[dict[int, int]] = [{}]
+        # For each state: sequence number -> positions of the last words of all its occurrences, in order.
+        self.ends: list[dict[int, list[int]]] = [{}]
         for s, words in enumerate(sequences):
             last = 0
             for place, word in enumerate(words):
                 last = self._extend(last, self.number.setdefault(word, len(self.number)))
-                self.ends[last].setdefault(s, place)
+                self.ends[last].setdefault(s, []).append(place)
         for state in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):
             above = self.ends[self.link[state]] if self.link[state] > 0 else None
             if above is not None:
-                for s, place in self.ends[state].items():
-                    above.setdefault(s, place)
+                for s, places in self.ends[state].items():
+                    above.setdefault(s, []).extend(places)
+        for found in self.ends:
+            for places in found.values():
+                places.sort()
 
     def _add(self, length: int, transitions: dict[int, int], link: int) -> int:
         self.next.append(transitions)
@@ -162,26 +167,49 @@ class Automaton:
                 length = 0
 
 
-def chain(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
+def chain(matches: list[tuple[int, int, list[int]]], size: int) -> list[tuple[int, int, float]]:
     """Covered spans of one template: (first word, last word, share of the template's words covered).
 
-    ``matches`` are (last place in the text, length, last place in the template) in text order.
-    A match continues the open span if it lies after it in the text, within ``MAX_GAP`` words,
-    and reaches further in the template; what overlaps is counted once.
+    ``matches`` are (last place in the text, length, last places in the template), in text order by end and by beginning.  Chains go forward in text and
+    template, over no more foreign words than ``LEAST_GAP`` or ``GAP_TIMES`` the template's; what overlaps counts
+    once.  Chains are laid one after the other so that they cover most words, where each costs one word less than the
+    shortest match, so none is cut without need.  The search keeps the best chain so far per place in the template only, so
+    matches that overlap in odd ways may end up in chains a few words short of the best.
     """
-    spans: list[tuple[int, int, float]] = []
-    start = end = reached = covered = -1
-    for place, length, at in matches:
-        if covered >= 0 and at > reached and place > end and place - length - end <= MAX_GAP:
-            covered += min(length, at - reached, place - end)
-        else:
-            if covered > 0:
-                spans.append((start, end, covered / size))
-            start, covered = place - length + 1, length
-        end, reached = place, at
-    if covered > 0:
-        spans.append((start, end, covered / size))
-    return spans
+    gap, cost = max(LEAST_GAP, GAP_TIMES * size), min(MIN_MATCH, size) - 1
+    # A node is (words gained, last word in the text, chain it belongs to: first word and words covered, node before the chain).
+    best: dict[int, tuple] = {}
+    top: tuple = (0, -1, None, 0, None)
+    last = top
+    waiting: deque[tuple[int, tuple]] = deque()
+    for place, length, places in matches:
+        first = place - length + 1
+        while waiting and waiting[0][0] < first:
+            node = waiting.popleft()[1]
+            if node[0] > top[0]:
+                top = node
+        made = []
+        for at in places:
+            chosen = (top[0] + length - cost, place, first, length, top)
+            for before, node in best.items():
+                if before < at and node[1] < place and first - 1 - node[1] <= gap:
+                    more = min(length, at - before, place - node[1])
+                    if node[0] + more >= chosen[0]:
+                        chosen = (node[0] + more, place, node[2], node[3] + more, node[4])
+            made.append((at, chosen))
+        for at, node in made:
+            known = best.get(at)
+            if known is None or node[0] >= known[0] or first - 1 - known[1] > gap:
+                best[at] = node
+        heaviest = max((node for _, node in made), key=lambda n: n[0])
+        waiting.append((place, heaviest))
+        last = max(last, heaviest, key=lambda n: n[0])
+    spans = []
+    while last[4] is not None:
+        if last[0] > last[4][0]:
+            spans.append((last[2], last[1], last[3] / size))
+        last = last[4]
+    return spans[::-1]
 
 
 class Scanner:
@@ -205,7 +233,7 @@ class Scanner:
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, float]]]:
         """Places (start, label) of the phrases, and covered spans (label, first word, last word, share)."""
         places: list[tuple[int, str]] = []
-        per_template: dict[int, list[tuple[int, int, int]]] = {}
+        per_template: dict[int, list[tuple[int, int, list[int]]]] = {}
         ends, found_at = self.automaton.ends, self.found_at
         open_match: tuple[int, int, int] | None = None
 
@@ -274,7 +302,9 @@ def scan_licences(docs: DataFrame, text: str = "text", templates: list[tuple[str
     smallest and largest start, else NULL), ``base_labels`` and ``labels`` (comma-joined, empty if
     none), ``score`` (1 with a phrase, else the best covered share of a template) and ``spans``
     (``label:first-last`` of well covered templates).  These replace columns of the same names.
-    NULL is an empty text.  Every row is scanned alone and whole; none is dropped.
+    NULL is an empty text.  Every row is scanned alone and whole; none is dropped.  Rows given twice and NULL ids are
+    judged alike, an empty table gives no rows, and a text of any length takes time in proportion to it.  ``TEMPLATES``
+    are the publishers' short notices and the first paragraphs of the long ones; give others as (label, text).
     """
     kept = [c for c in docs.columns if c != text and c not in FOUND.names]
     return docs.select(*[docs[c] for c in kept], scan_column(templates)(docs[text]).alias("_found")).select(*kept, "_found.*")
