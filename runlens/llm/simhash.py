@@ -124,9 +124,9 @@ def near_duplicates(
     grouped = classes.join(roots, classes["fp"] == roots["node"], "left").drop("node")
     grouped = grouped.join(degree, grouped["fp"] == degree["node"], "left").drop("node")
     grouped = grouped.withColumn("root", F.coalesce("root", "fp")).withColumnRenamed("fp", "class")
-    named = grouped.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = grouped.join(named, "root").select("class", "component_id", F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-    # A struct key gives the join shuffles of its own, so the rows of a hot fingerprint can be split.
+    # Struct keys give the joins shuffles of their own, so the rows of a large component or a hot fingerprint can be split.
+    named = grouped.groupBy("root").agg(F.min("lowest").alias("component_id")).select(F.struct("root").alias("r"), "component_id")
+    named = grouped.join(named, F.struct("root") == F.col("r")).select("class", "component_id", F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
     met = prints.join(named.select(F.struct("class").alias("k"), "component_id", "n_linked"), F.struct(F.col("fp").alias("class")) == F.col("k"))
     return met.select("doc_id", "fp", "component_id", "n_linked")
 
