@@ -1,4 +1,9 @@
-"""From raw documents to a training mix: the stages and the run over a whole table."""
+"""From raw documents to a training mix: the stages and the run over a whole table.
+
+Every stage takes and, but for the last, returns the columns of ``documents``.  NULL and empty texts and NULL ids pass
+the first four stages like other rows, judged as each operator says; rows given twice, ties and texts of any length need no care,
+columns beside those of ``documents`` stay, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ from runlens.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier takes for good."""
+    """Documents the classifier takes for good; without labels all are kept."""
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
@@ -26,12 +31,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest id; rows without an id stay."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; without items all are kept."""
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -48,7 +53,8 @@ STAGES = [
     ("mix", mixed),
 ]
 
-# The trained classifier has no SQL form; tests compare every other stage with a brute-force version.
+# The trained classifier has no SQL form.  Tests compare line dedup, near dedup and decontamination with brute-force versions,
+# and the mix with its own SQL and a resharing loop.
 ORACLE_SQL = None
 
 

@@ -40,12 +40,15 @@ def name_places(lines: DataFrame, names: DataFrame, group: str, line_key: list[s
 
 
 def replaced_text(text: Column, places: Column) -> Column:
-    """The text with its places (start, length, value), in order, replaced from the left, the longest at a place; no value is searched again."""
+    """The text with its places (start, back, value) replaced from the left; no value is searched again.
+
+    ``back`` is the name's length as a negative number, so that in order the longest name at a place comes first.
+    """
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<since: int, start: int, value: string>>").alias("kept"))
 
     def step(state: Column, place: Column) -> Column:
         kept = F.array_append(state["kept"], F.struct(state["next"].alias("since"), place["start"].alias("start"), place["value"].alias("value")))
-        after = F.struct((place["start"] + place["length"]).alias("next"), kept.alias("kept"))
+        after = F.struct((place["start"] - place["back"]).alias("next"), kept.alias("kept"))
         return F.when(place["start"] >= state["next"], after).otherwise(state)
 
     def told(state: Column) -> Column:
@@ -64,11 +67,9 @@ def replace_names(lines: DataFrame, names: DataFrame, group: str, number: str, t
     keyed = lines.withColumn("_line", F.xxhash64(text))
     line_key = [group, number, "_line"]
     places = name_places(keyed, names, group, line_key, text)
-    # The longest name at a place, then one list per line, as long as the places that count.
-    length = F.length("key").alias("length")
-    longest = places.groupBy(*line_key, "start").agg(F.max_by(F.struct(length, "value"), F.length("key")).alias("_name"))
-    place = F.struct("start", "_name.length", "_name.value")
-    listed = longest.groupBy(*line_key).agg(F.sort_array(F.collect_list(place)).alias("_places"))
+    # One list per line, as long as the places in it.
+    place = F.struct("start", F.negative(F.length("key")).alias("back"), "value")
+    listed = places.groupBy(*line_key).agg(F.sort_array(F.collect_list(place)).alias("_places"))
     found = join_groups(keyed, listed, line_key, "left")
     replaced = F.when(F.col("_places").isNull(), F.col(text)).otherwise(replaced_text(F.col(text), F.col("_places")))
     return found.withColumn(out, replaced).drop("_line", "_places")
