@@ -7,7 +7,7 @@ rows and the matches, not rows times entries.  The caller tests the pairs that m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.literals import folded
@@ -31,10 +31,36 @@ def _entry_grams(texts: Column) -> Column:
     return F.when(F.size(long) > 0, full).otherwise(F.array(longest))
 
 
+def _gram_length(texts: Column) -> Column:
+    """How long the grams of ``_entry_grams`` are."""
+    return F.least(F.coalesce(F.array_max(F.transform(texts, F.length)), F.lit(0)), F.lit(GRAM))
+
+
 def _with_gram(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
+    """Every row beside each of its grams, once."""
     own = F.concat(*[grams(folded(F.col(text)), n) for n in lengths])
-    known = rows.filter(F.col(text).isNotNull()).withColumn("_own", F.array_distinct(own))
-    return known.withColumn("_gram", F.explode("_own"))
+    return rows.filter(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.array_distinct(own)))
+
+
+def _numbered(entries: DataFrame, required: Column) -> DataFrame:
+    """The entries with a number and their required texts, stored: reading expressions is dear, and is done once and by all tasks."""
+    tasks = entries.sparkSession.sparkContext.defaultParallelism
+    spread = entries.repartition(tasks) if entries.rdd.getNumPartitions() < tasks else entries
+    entry = F.struct(*entries.columns).alias("_entry")
+    return written(spread.select(F.monotonically_increasing_id().alias("_id"), entry, required.alias("_required")), "entries")
+
+
+def _rarest_grams(numbered: DataFrame, held: DataFrame) -> DataFrame:
+    """(_id, _nth, _place): where in the grams of an alternative the rarest stands; without alternatives that no row can match.
+
+    Rows and place are packed into one number, so the smallest is found in the map tasks, and no text is shuffled with small ``held``.
+    """
+    alternatives = numbered.select("_id", F.posexplode("_required").alias("_nth", "_texts"))
+    filed = alternatives.select("_id", "_nth", F.posexplode(_entry_grams(F.col("_texts"))).alias("_place", "_gram"))
+    rows = F.least(F.coalesce("_rows", F.lit(0)), F.lit(2**31 - 1)).cast("bigint")
+    counted = filed.join(held, "_gram", "left").select("_id", "_nth", (F.shiftleft(rows, 32) + F.col("_place")).alias("_packed"))
+    best = counted.groupBy("_id", "_nth").agg(F.min("_packed").alias("_packed")).filter(F.col("_packed") >= 2**32)
+    return best.select("_id", "_nth", F.col("_packed").bitwiseAND(2**32 - 1).cast("int").alias("_place"))
 
 
 def meet_entries(rows: DataFrame, text: str, entries: DataFrame, required: Column) -> DataFrame:
@@ -42,27 +68,31 @@ def meet_entries(rows: DataFrame, text: str, entries: DataFrame, required: Colum
 
     ``required`` is an array of alternatives over ``entries``, each an array of folded texts; see
     ``literals.required_texts``.  An entry that requires nothing meets every row.  The counts that
-    choose the grams are exact and take a pass over the rows of their own.  The index is measured and sent to all tasks if small,
-    else both sides are shuffled by gram.  Rows with a NULL text meet nothing.
+    choose the grams are exact and take a pass over the rows of their own; an entry with a gram that no row holds is left
+    out.  The counts and the index are measured and sent to all tasks if small, else shuffled by gram.  Rows are shuffled only
+    with grams that the index has.  Rows with a NULL text meet nothing.
     """
-    # Entries given several times are filed once, with their number.
-    single = entries.groupBy(*entries.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    entry = F.struct(*entries.columns, "_copies").alias("_entry")
-    filed = single.select(entry, F.posexplode(required).alias("_nth", "_texts"))
-    filed = written(filed.select("_entry", "_nth", F.explode(_entry_grams(F.col("_texts"))).alias("_gram")), "entry-grams")
-    lengths = sorted(r[0] for r in filed.select(F.length("_gram")).distinct().collect())
+    numbered = _numbered(entries, required)
+    known = numbered.select(F.explode(F.transform("_required", _gram_length)).alias("_length")).distinct()
+    lengths = sorted(r[0] for r in known.collect())
     if not lengths:
         return _nothing(rows, entries)
-    wanted = sized(filed.select("_gram").distinct())
-    held = _with_gram(rows, text, lengths).select("_gram").join(wanted, "_gram").groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
-    counted = filed.join(held, "_gram", "left")
-    rarest = F.min_by("_gram", F.struct(F.coalesce("_rows", F.lit(0)), F.col("_gram"))).alias("_gram")
-    chosen = counted.groupBy("_entry", "_nth").agg(rarest)
+    held = _with_gram(rows, text, lengths).groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = written(_rarest_grams(numbered, sized(written(held, "row-grams"))), "entry-places")
+    placed = numbered.join(sized(chosen.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_nth", "_place"))).alias("_places"))), "_id")
+    alternatives = F.array_sort(F.map_entries("_places"))
+    filed_under = F.transform(
+        alternatives, lambda a: F.get(_entry_grams(F.get("_required", a["key"])), a["value"])
+    )
+    # Entries given several times are filed once, with their number.
+    single = placed.select("_entry", filed_under.alias("_grams")).groupBy("_entry", "_grams").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
     # A row that holds the gram of an earlier alternative has met the entry there.
-    before = Window.partitionBy("_entry").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
-    index = sized(written(chosen.select("_entry", "_gram", F.collect_list("_gram").over(before).alias("_earlier")), "entry-index"))
-    met = _with_gram(rows, text, lengths).join(index, "_gram")
-    found = met.filter(~F.arrays_overlap("_own", "_earlier")).select(*rows.columns, "_entry.*")
+    filed = single.select("_entry", "_copies", "_grams", F.posexplode("_grams").alias("_nth", "_gram"))
+    index = written(filed.select("_entry", "_copies", "_gram", F.slice("_grams", F.lit(1), F.col("_nth")).alias("_earlier")), "entry-index")
+    asking = _with_gram(rows, text, lengths).join(sized(index.select("_gram").distinct()), "_gram", "left_semi")
+    met = asking.join(sized(index), "_gram")
+    new = (F.size("_earlier") == 0) | ~F.exists("_earlier", lambda gram: F.contains(folded(F.col(text)), gram))
+    found = met.filter(new).select(*rows.columns, "_entry.*", "_copies")
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
 
 

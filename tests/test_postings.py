@@ -145,6 +145,38 @@ def test_index_beyond_its_size_is_shuffled(spark, rows, monkeypatch):
     assert rows(found, "line_no", "pattern_no", "hit") == sorted(brute(lines, patterns), key=lambda t: [(True, str(v)) for v in t])
 
 
+def test_entries_that_no_row_can_match_are_left_out(spark, monkeypatch):
+    """Of 20,000 patterns and keys, those with a gram that no line has reach neither the index nor a shuffle."""
+    stored = {}
+    keep = postings.written
+    monkeypatch.setattr(postings, "written", lambda df, name: stored.setdefault(name, keep(df, name)))
+    lines = lines_of(spark, [f"input part-{i} is not available" for i in range(10)])
+    patterns = spark.range(20_000).selectExpr("cast(id as int) pattern_no", "'n' name", "concat('part-', id, ' is (not|now)|gone at ', id) pattern")
+    assert match_patterns(lines, patterns).count() == 10
+    assert stored["entry-index"].count() == 10
+    stored.clear()
+    keys = spark.range(20_000).selectExpr("cast(id as int) suggestion_no", "concat('part-', id, ' is') error_key", "'s' suggestion")
+    assert match_keys(lines, keys, "line").count() == 10
+    assert stored["entry-index"].count() == 10
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rows_are_shuffled_only_with_grams_of_the_index(spark, rows, monkeypatch, broadcast):
+    """Rows carry no list of their grams, and only those with a gram of the index reach the join that may shuffle them."""
+    if not broadcast:
+        monkeypatch.setattr(postings, "sized", lambda df: df)
+    lines = ["abcd efgh", "xabcdx", "efg", "gone away", "away", "", None, "abcd efgh"]
+    patterns = ["abcd|efgh", "efgh|abcd", "ef.|gone|away", "abcd|efgh", r"\d|abcd|", "never seen|efg", "abcdefgh"]
+    table = table_of(spark, patterns)
+    found = match_patterns(lines_of(spark, lines), table.unionByName(table.filter("pattern_no = 2")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "_own" not in plan
+    every = lines_of(spark, lines).crossJoin(table.unionByName(table.filter("pattern_no = 2")))
+    every = every.withColumn("hit", F.explode(F.regexp_extract_all("line", F.col("pattern"), F.lit(0))))
+    columns = ["line_no", "pattern_no", "name", "hit"]
+    assert rows(found, *columns) == rows(every, *columns)
+
+
 # Names
 
 
