@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from runlens.operators import names, postings
 from runlens.operators.literals import required_texts
-from runlens.operators.matching import Suggestion, match_keys, match_patterns
+from runlens.operators.matching import Pattern, Suggestion, match_keys, match_patterns
+from runlens.plans import logs
 
 NO_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -177,6 +178,20 @@ def test_rows_are_shuffled_only_with_grams_of_the_index(spark, rows, monkeypatch
     assert rows(found, *columns) == rows(every, *columns)
 
 
+def test_typed_errors_of_a_long_table(spark, rows, monkeypatch):
+    """The same errors as of the few patterns that match, given as a list; the index holds no others."""
+    stored = {}
+    keep = postings.written
+    monkeypatch.setattr(postings, "written", lambda df, name: stored.setdefault(name, keep(df, name)))
+    texts = ["Error in step 7", "WARN Error in step 7", None, "error in step 19", "part-3 is lost", "Error in step 7"]
+    log = lines_of(spark, texts).withColumn("run_id", F.col("line_no") % 2)
+    expected = logs.typed_errors(log, [Pattern(i, "n", f"(?i)error in step {i}$") for i in range(20)])
+    table = spark.range(20_000).selectExpr("cast(id as int) pattern_no", "'n' name", "concat('(?i)error in step ', id, '$') pattern")
+    columns = ["run_id", "error_text", "pattern_no", "line_no", "match_count"]
+    assert rows(logs.typed_errors(log, table), *columns) == rows(expected, *columns)
+    assert stored["entry-index"].count() < 20
+
+
 # Names
 
 
