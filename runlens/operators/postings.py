@@ -27,8 +27,11 @@ def _entry_grams(texts: Column) -> Column:
     """The grams an alternative may be filed under: of its texts of full size, else its longest text, else the empty one."""
     long = F.filter(texts, lambda t: F.length(t) >= GRAM)
     longest = F.reduce(texts, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
-    full = F.array_distinct(F.flatten(F.transform(long, lambda t: grams(t, GRAM))))
-    return F.when(F.size(long) > 0, full).otherwise(F.array(longest))
+    full = F.flatten(F.transform(long, lambda t: grams(t, GRAM)))
+    # Most have one text; it is read by generated code.
+    only = F.get(texts, F.lit(0))
+    one = (F.size(texts) == 1) & (F.length(only) >= GRAM)
+    return F.when(one, grams(only, GRAM)).when(F.size(long) > 0, full).otherwise(F.array(longest))
 
 
 def _gram_length(texts: Column) -> Column:

@@ -192,6 +192,23 @@ def test_typed_errors_of_a_long_table(spark, rows, monkeypatch):
     assert stored["entry-index"].count() < 20
 
 
+def test_keys_of_several_lengths_given_twice(spark, rows, monkeypatch):
+    """Short, empty, equal and unknown keys, shuffled: each pair as often as the key is given, unknown ones in no index."""
+    stored = {}
+    keep = postings.written
+    monkeypatch.setattr(postings, "sized", lambda df: df)
+    monkeypatch.setattr(postings, "written", lambda df, name: stored.setdefault(name, keep(df, name)))
+    keys = ["", "a", "ab", "aaaaaa", "step 1", "step 1", "STEP 1", "step 123", None, "\ue000\ue000\ue000\ue000", "b\nc d"]
+    lines = ["step 12", "aaaaaaaa", "Step 1", "", None, "x\ue000\ue000\ue000\ue000", "ab\nc d"]
+    table = spark.createDataFrame([(i // 6, k, "s") for i, k in enumerate(keys)], "suggestion_no int, error_key string, suggestion string")
+    table = table.unionByName(table.filter("error_key in ('ab', 'step 1')"))
+    given = [tuple(r) for r in table.collect()]
+    expected = [(i, no, s) for i, line in enumerate(lines) for no, k, s in given if line is not None and k is not None and k in line]
+    found = match_keys(lines_of(spark, lines), table, "line")
+    assert rows(found, "line_no", "suggestion_no", "suggestion") == sorted(expected, key=lambda t: [(True, str(v)) for v in t])
+    assert "step 123" not in {r[0] for r in stored["entry-index"].select("_entry._key").collect()}
+
+
 # Names
 
 
