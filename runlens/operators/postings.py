@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.literals import folded
-from runlens.sources.tables import sized, written
+from runlens.sources.tables import packed, sized, written
 
 GRAM = 4
+# Entries of few partitions are stored in files of so many, which tasks share.
+FILE_ROWS = 20_000
 
 
 def grams(text: Column, size: int) -> Column:
@@ -48,18 +50,24 @@ def _with_gram(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
 def _numbered(entries: DataFrame, required: Column) -> DataFrame:
     """The entries with a number and their required texts, stored: reading expressions is dear, and is done once and by all tasks."""
     tasks = entries.sparkSession.sparkContext.defaultParallelism
-    spread = entries.repartition(tasks) if entries.rdd.getNumPartitions() < tasks else entries
+    spread = packed(entries, "entry-files", FILE_ROWS) if entries.rdd.getNumPartitions() < tasks else entries
     entry = F.struct(*entries.columns).alias("_entry")
-    return written(spread.select(F.monotonically_increasing_id().alias("_id"), entry, required.alias("_required")), "entries")
+    return packed(spread.select(F.monotonically_increasing_id().alias("_id"), entry, required.alias("_required")), "entries")
 
 
-def _rarest_grams(numbered: DataFrame, held: DataFrame) -> DataFrame:
+def _rarest_grams(numbered: DataFrame, held: DataFrame, small: bool) -> DataFrame:
     """(_id, _nth, _place): where in the grams of an alternative the rarest stands; without alternatives that no row can match.
 
-    Rows and place are packed into one number, so the smallest is found in the map tasks, and no text is shuffled with small ``held``.
+    Rows and place are packed into one number, so the smallest is found in the map tasks, and no text is shuffled with ``small`` held.
+    Most alternatives that no row can match then go before any shuffle, by their last and middle gram; all others of them by their smallest number.
     """
     alternatives = numbered.select("_id", F.posexplode("_required").alias("_nth", "_texts"))
-    filed = alternatives.select("_id", "_nth", F.posexplode(_entry_grams(F.col("_texts"))).alias("_place", "_gram"))
+    listed = alternatives.select("_id", "_nth", _entry_grams(F.col("_texts")).alias("_grams"))
+    if small:
+        known = held.select(F.col("_gram").alias("_probe"))
+        for place in (F.size("_grams") - 1, F.floor(F.size("_grams") / 2).cast("int")):
+            listed = listed.withColumn("_probe", F.get("_grams", place)).join(known, "_probe", "left_semi").drop("_probe")
+    filed = listed.select("_id", "_nth", F.posexplode("_grams").alias("_place", "_gram"))
     rows = F.least(F.coalesce("_rows", F.lit(0)), F.lit(2**31 - 1)).cast("bigint")
     counted = filed.join(held, "_gram", "left").select("_id", "_nth", (F.shiftleft(rows, 32) + F.col("_place")).alias("_packed"))
     best = counted.groupBy("_id", "_nth").agg(F.min("_packed").alias("_packed")).filter(F.col("_packed") >= 2**32)
@@ -81,7 +89,9 @@ def meet_entries(rows: DataFrame, text: str, entries: DataFrame, required: Colum
     if not lengths:
         return _nothing(rows, entries)
     held = _with_gram(rows, text, lengths).groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = written(_rarest_grams(numbered, sized(written(held, "row-grams"))), "entry-places")
+    counts = written(held, "row-grams")
+    marked = sized(counts)
+    chosen = written(_rarest_grams(numbered, marked, marked is not counts), "entry-places")
     placed = numbered.join(sized(chosen.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_nth", "_place"))).alias("_places"))), "_id")
     alternatives = F.array_sort(F.map_entries("_places"))
     filed_under = F.transform(

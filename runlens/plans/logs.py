@@ -18,6 +18,7 @@ from runlens.functions.labels import last_name_part, runtime_advice
 from runlens.operators.latest import keep_latest
 from runlens.operators.matching import Pattern, Suggestion, match_keys, match_patterns
 from runlens.operators.spread import first_seen, join_groups, number_rows, previous_value
+from runlens.sources.tables import packed, sized
 
 PROJECT_SLOT = "$$$gcp"
 CLUSTER_SLOT = "$$$CN"
@@ -130,11 +131,14 @@ def distinct_errors(log: DataFrame, patterns: Sequence[Pattern] | DataFrame) ->
 
 
 def typed_errors(log: DataFrame, patterns: Sequence[Pattern] | DataFrame) -> DataFrame:
-    """Distinct errors with ``match_count``, their number per run: the reports show the list only when it is above one."""
-    errors = distinct_errors(log, patterns)
-    # Counting a column of the result keeps both inputs of the join alike, so the matching runs once.
-    sizes = errors.groupBy("run_id").agg(F.count("line_no").alias("match_count"))
-    return join_groups(errors, sizes, ["run_id"])
+    """Distinct errors with ``match_count``, their number per run: the reports show the list only when it is above one.
+
+    The errors are written to the shared work folder while this is called, so the matching runs once and they are not shuffled again
+    unless the runs are too many to send to all tasks.
+    """
+    errors = packed(distinct_errors(log, patterns), "errors")
+    sizes = packed(errors.groupBy("run_id").agg(F.count("line_no").alias("match_count")), "errors-per-run")
+    return join_groups(errors, sized(sizes), ["run_id"])
 
 
 def suggestions(errors: DataFrame, table: Sequence[Suggestion] | DataFrame, text: str = "error_text") -> DataFrame:

@@ -122,6 +122,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """As ``written``, for large tables of text: tighter compression, and files of at most so many rows, which many tasks read."""
+    path = work_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sized(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """A table marked for broadcast if its rows, counted, take at most ``max_bytes``; unmarked beyond.
 

@@ -192,6 +192,61 @@ def test_typed_errors_of_a_long_table(spark, rows, monkeypatch):
     assert stored["entry-index"].count() < 20
 
 
+def test_long_tables_are_stored_without_a_shuffle(spark, monkeypatch):
+    """One partition of 50,000 patterns goes through files into several tasks; nothing is lost or given twice."""
+    plans = {}
+    keep = postings.packed
+
+    def kept(df, name, *rows):
+        plans[name] = plan_of(df)
+        return keep(df, name, *rows)
+
+    monkeypatch.setattr(postings, "packed", kept)
+    table = spark.range(50_000).selectExpr("cast(id % 40000 as int) pattern_no", "concat('(?i)step ', id % 40000, '$') _pattern").coalesce(1)
+    numbered = postings._numbered(table, required_texts(F.col("_pattern")))
+    assert not [name for name, plan in plans.items() if "Exchange" in plan]
+    spread = spark.read.parquet(*numbered.inputFiles())
+    assert len(numbered.inputFiles()) > 1
+    assert spread.select("_id").distinct().count() == spread.count() == 50_000
+    assert spread.select("_entry").distinct().count() == 40_000
+
+
+@pytest.mark.parametrize("text", ["abcd", "ab", "", "b a b a", "é"])
+def test_entries_left_out_early_are_those_no_row_can_match(spark, rows, text):
+    """Rarest grams with and without the first look at the last and middle gram; that leaves the most out before a shuffle."""
+    draw = random.Random(text)
+    lines = lines_of(spark, [text, None, *["".join(draw.choice("abé ") for _ in range(draw.randint(0, 12))) for _ in range(15)]])
+    keys = [text, *["".join(draw.choice("abé ") for _ in range(draw.randint(0, 9))) for _ in range(150)]]
+    table = spark.createDataFrame([(i, [[k for k in (keys[i], keys[-i]) if k], [text][: len(text)]]) for i in range(150)], "_id long, _required array<array<string>>")
+    held = postings._with_gram(lines, "line", [0, 1, 2, 3, 4]).groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
+    early, late = (postings._rarest_grams(table, F.broadcast(held), small) for small in (True, False))
+    assert rows(early) == rows(late) and early.count() > 0
+    plan = early._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_errors_of_many_runs_are_shuffled_once(spark, rows, monkeypatch, broadcast):
+    """Distinct errors are stored and counted per run; with few runs the result needs no further shuffle. NULL runs and line numbers, too."""
+    if not broadcast:
+        monkeypatch.setattr(logs, "sized", lambda df: df.hint("merge"))
+    given = [(i % 7 if i % 11 else None, i if i % 13 else None, f"{'WARN ' if i % 5 == 0 else ''}Error in step {i % 20}") for i in range(300)]
+    given += [(1, 1, None), *given[:40]]
+    log = spark.createDataFrame(given, "run_id long, line_no long, line string").repartition(3)
+    table = spark.range(2_000).selectExpr("cast(id as int) pattern_no", "'n' name", "concat('(?i)(warn )?error in step ', id, '$') pattern")
+    found = logs.typed_errors(log, table)
+    assert ("hashpartitioning" in plan_of(found)) is not broadcast
+    places = {}
+    for run, line_no, line in given:
+        if run is not None and line is not None and "WARN" not in line:
+            places.setdefault((run, line), []).append((int(line.split()[-1]), line_no))
+    first = {key: min(seen, key=lambda s: (s[0], s[1] is not None, s[1] or 0)) for key, seen in places.items()}
+    sizes = {run: sum(r == run and n is not None for (r, _), (_, n) in first.items()) for run, _ in first}
+    expected = [(run, line, no, line_no, sizes[run]) for (run, line), (no, line_no) in first.items()]
+    columns = ["run_id", "error_text", "pattern_no", "line_no", "match_count"]
+    assert rows(found, *columns) == sorted(expected, key=lambda t: [(v is not None, str(v)) for v in t])
+
+
 def test_keys_of_several_lengths_given_twice(spark, rows, monkeypatch):
     """Short, empty, equal and unknown keys, shuffled: each pair as often as the key is given, unknown ones in no index."""
     stored = {}
