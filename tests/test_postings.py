@@ -217,7 +217,7 @@ def test_entries_left_out_early_are_those_no_row_can_match(spark, rows, text):
     draw = random.Random(text)
     lines = lines_of(spark, [text, None, *["".join(draw.choice("abé ") for _ in range(draw.randint(0, 12))) for _ in range(15)]])
     keys = [text, *["".join(draw.choice("abé ") for _ in range(draw.randint(0, 9))) for _ in range(150)]]
-    table = spark.createDataFrame([(i, [[k for k in (keys[i], keys[-i]) if k], [text][: len(text)]]) for i in range(150)], "_id long, _required array<array<string>>")
+    table = spark.createDataFrame([(i, [[k for k in (keys[i], keys[-i]) if k], [k for k in [text] if k]]) for i in range(150)], "_id long, _required array<array<string>>")
     held = postings._with_gram(lines, "line", [0, 1, 2, 3, 4]).groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
     early, late = (postings._rarest_grams(table, F.broadcast(held), small) for small in (True, False))
     assert rows(early) == rows(late) and early.count() > 0
