@@ -81,7 +81,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         for bit in range(BITS)
     ]
     index = prints.select("fp", F.explode(F.array(*wildcards)).alias("v")).select("fp", "v.wildcard", "v.key")
-    a, b = index.alias("a"), index.alias("b")
+    # Spark takes the index to be about as large as the fingerprints, 64 times too small, and would broadcast it.
+    a, b = index.alias("a"), index.hint("merge").alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     close = F.bit_count(differ) <= max_bits
     place = F.col("a.wildcard")

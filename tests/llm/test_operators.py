@@ -375,6 +375,16 @@ def test_links_and_components(spark):
     assert roots == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_links_are_not_broadcast(spark):
+    # Their index has 64 rows for each fingerprint, but Spark takes it to be about as large as these.
+    pick = random.Random(5)
+    seeds = [pick.getrandbits(63) for _ in range(500)]
+    rows = spark.createDataFrame([(p,) for s in seeds for p in (s, s ^ 5 << pick.randrange(60))], "fp bigint")
+    found = simhash.links(rows.groupBy("fp").agg(F.count("fp")).select("fp"))
+    assert len(found.collect()) >= 500
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates(odd, nothing):
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(odd).collect()}
     assert len(found) == len(TEXTS)
