@@ -62,9 +62,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, max_bytes: int = 4 << 20) -> DataFrame:
-    """A table marked for broadcast if its rows, counted, take at most ``max_bytes``; unmarked beyond.
+    """A table marked for broadcast if its rows, counted, take at most ``max_bytes``, and for a merge join beyond.
 
+    Unmarked, a table that Spark sizes too low, as after an explode, would be broadcast whatever it takes.
     ``df`` should be cheap to read twice (written or checkpointed).
     """
     size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if size <= max_bytes else df.hint("merge")

@@ -20,6 +20,8 @@ WINDOW = 8
 MIN_LITERALS = 5
 # So many windows of an item (13 words) must be found, or all of a shorter item.
 MIN_MATCHED = 6
+# Beyond so many bytes the items' windows are not broadcast, and those of all documents are shuffled.
+ITEM_BYTES = 32 << 20
 
 NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 UNITS = (
@@ -126,7 +128,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
     # One shuffle serves all groupings
     # below; what meets in it, the hits of one item in one document, is bounded by their lengths.
     shift, more = (F.col("place") - F.col("item_place")).alias("shift"), (F.col("more") | F.col("_more")).alias("more")
-    met = found.join(sized(item), "h").select("d", "item_id", "item_place", shift, "asked", "found", more)
+    met = found.join(sized(item, ITEM_BYTES), "h").select("d", "item_id", "item_place", shift, "asked", "found", more)
     met = met.repartition("d", "item_id")
     # A value of the item must stand for one value; else only windows that are as in the item count.
     runs = met.groupBy("d", "item_id", "shift").agg(

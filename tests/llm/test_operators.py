@@ -30,6 +30,7 @@ from runlens.llm import (
     simhash,
     suffixdedup,
 )
+from runlens.llm.common import sized
 from runlens.llm.queries import CHECKS, QUERIES
 from runlens.llm.suffixsort import deep_shallow
 
@@ -395,6 +396,31 @@ def test_near_duplicates(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def test_near_dedup_broadcasts_no_index(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        done = df.localCheckpoint()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(simhash, "checkpointed", noted)
+    rows = [(i, prose(i // 2, 40), "en", "a", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(0, 300, 2))
+    (pairs,) = [p for p in plans if "Generate explode" in p]
+    assert "SortMergeJoin" in pairs and "Broadcast" not in pairs
+
+
+def test_a_measured_table_is_not_broadcast_beyond_its_limit(spark):
+    few, many = spark.range(50), spark.range(100).select("id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n"))
+    for limit, join in ((1 << 20, "BroadcastHashJoin"), (1 << 10, "SortMergeJoin")):
+        met = few.join(sized(many, limit), "id", "left")
+        assert len(met.collect()) == 2500
+        assert join in met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 # 6 quality classifier
 
 QUICK = quality_cnn.Training(max_docs=300, epochs=3, min_steps=250)
